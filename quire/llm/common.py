@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,3 +46,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(said)
     return said
+
+
+def saver(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
+    """A function that writes a DataFrame to the shared checkpoint folder and reads it back.
+
+    This cuts lineage in a form that outlives executors. The files belong to the
+    query: the DataFrame it returns still reads them, so they go with the folder.
+    """
+    base = f"{checkpoint_dir(spark)}/quire-{uuid.uuid4().hex}"
+    count = itertools.count()
+
+    def save(df: DataFrame) -> DataFrame:
+        path = f"{base}/{next(count)}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    return save
