@@ -40,10 +40,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import saver, shuffle_parts
+from .sketch import sum_parts, to_parts
 from .words import mix, shingles, words
 
 PERCENT, SHINGLE = 70, 3
-SKETCH, CHUNKS = 1 << 20, 16
+SKETCH = 1 << 20
 HOT = 20_000
 BLOCK = 1_000_000
 MAX_LIGHT = 8
@@ -71,7 +72,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, i
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per document (doc_id, cid, n), and per task its part of the sketch in CHUNKS rows."""
+    """A row per document (doc_id, cid, n), and per task its part of the sketch."""
     sketch = np.zeros(SKETCH, np.uint32)
     for b, lo, h, bounds, cid in _sets(batches):
         sketch += np.bincount((h & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
@@ -79,29 +80,11 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch(
             {"doc_id": b.column("doc_id").slice(lo, k).cast(pa.int64()), "cid": pa.array(cid), "n": pa.array(np.diff(bounds).astype(np.int32)), "chunk": pa.nulls(k, pa.int32()), "part": pa.nulls(k, pa.binary())}
         )
-    part = SKETCH // CHUNKS
-    blobs = [zlib.compress(sketch[i * part : (i + 1) * part].tobytes(), 1) for i in range(CHUNKS)] if sketch.any() else []
+    blobs = to_parts(sketch)
     k = len(blobs)
     yield pa.record_batch({"doc_id": pa.nulls(k, pa.int64()), "cid": pa.nulls(k, pa.int64()), "n": pa.nulls(k, pa.int32()), "chunk": pa.array(range(k), pa.int32()), "part": pa.array(blobs, pa.binary())})
 
 
-def _add_parts(group: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(SKETCH // CHUNKS, np.uint64)
-    for blob in group["part"]:
-        total += np.frombuffer(zlib.decompress(blob), np.uint32)
-    return pd.DataFrame({"chunk": group["chunk"][:1], "part": [np.minimum(total, np.iinfo(np.uint32).max).astype(np.uint32).tobytes()]})
-
-
-def _sum_sketch(parts: DataFrame) -> np.ndarray:
-    """The whole sketch; parts are first summed in groups of 64 tasks, then together."""
-    some = parts.withColumn("g", F.pmod(F.xxhash64("part"), F.lit(64)))
-    packed = lambda g: _add_parts(g).assign(part=lambda d: [zlib.compress(x, 1) for x in d["part"]])
-    once = some.groupBy("chunk", "g").applyInPandas(packed, "chunk int, part binary")
-    rows = {r["chunk"]: r["part"] for r in once.groupBy("chunk").applyInPandas(_add_parts, "chunk int, part binary").collect()}  # SKETCH * 4 bytes in all
-    none = bytes(4 * SKETCH // CHUNKS)
-    return np.frombuffer(b"".join(rows.get(i, none) for i in range(CHUNKS)), np.uint32)
-
-
 def light_boundary(histogram: dict[int, int], mean_list: float) -> int:
     """The largest size whose subsets cost less than scanning its lists: per set, the subsets against list entries met."""
     x = 0
@@ -335,7 +318,7 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     save = saver(spark)
     profile = save(docs.mapInArrow(_profile, "doc_id bigint, cid bigint, n int, chunk int, part binary"))
     own = profile.where("chunk is null").select("doc_id", "cid", "n")
-    sketch = _sum_sketch(profile.where("chunk is not null").select("chunk", "part"))
+    sketch = sum_parts(profile.where("chunk is not null").select("chunk", "part"), SKETCH)
     histogram = {r["n"]: r["count"] for r in own.where(F.col("n") <= MAX_LIGHT).groupBy("n").count().collect()}
     x = light_boundary(histogram, float(sketch.mean()))
     signatures = docs.mapInArrow(_signatures(sketch, x), "key bigint, cid bigint, at bigint")

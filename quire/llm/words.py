@@ -23,6 +23,8 @@ _LOWER = _TABLE.copy()
 _LOWER[65:91] = _TABLE[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: For terms: everything in ASCII but letters and digits parts words.
+TERM_BREAKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -89,13 +91,13 @@ class Words:
         return np.searchsorted(self.doc, np.arange(self.hi - self.lo + 1))
 
 
-def words(column: pa.Array, lower: bool = True) -> Iterator[Words]:
+def words(column: pa.Array, lower: bool = True, breaks: np.ndarray = _SPACE) -> Iterator[Words]:
     data, offsets = raw(column)
     for lo, hi in slices(offsets):
         a, b = offsets[lo], offsets[hi]
         d, o = data[a:b], offsets[lo : hi + 1] - a
         n = len(d)
-        inside = ~_SPACE[d]
+        inside = ~breaks[d]
         edge = np.zeros(n + 1, bool)
         edge[o] = True
         before, after = np.empty(n, bool), np.empty(n, bool)
@@ -114,6 +116,13 @@ def words(column: pa.Array, lower: bool = True) -> Iterator[Words]:
         yield Words(lo, hi, d, o, h, doc, start, end)
 
 
+def terms(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, bounds): the distinct words of each text, sorted."""
+    b = w.bounds
+    sets = [np.unique(w.hash[b[i] : b[i + 1]]) for i in range(w.hi - w.lo)]
+    return (np.concatenate(sets) if sets else np.zeros(0, np.uint64)), np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64)
+
+
 def shingles(w: Words, size: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, bounds): the distinct ``size``-word shingles of each text, sorted; a shorter text's whole sequence is one."""
     h, bounds = w.hash, w.bounds
