@@ -19,8 +19,9 @@ import pyarrow as pa
 from . import words as W
 
 #: Units kept by a worker, at about 40 bytes; a full cache starts again.
-CACHE = 3_000_000
-SLICE = 8 << 20
+CACHE = 1_500_000
+#: Units encoded in one call.
+CALL = 20_000
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
@@ -105,7 +106,7 @@ class Encoder:
 
     def __call__(self, column: pa.Array) -> Iterator[Ids]:
         data, offsets = W.raw(column)
-        for lo, hi in W.slices(offsets, SLICE):
+        for lo, hi in W.slices(offsets):
             a = offsets[lo]
             d, o = data[a : offsets[hi]], offsets[lo : hi + 1] - a
             start, end = self._units(d, o)
@@ -156,11 +157,15 @@ class Encoder:
         if len(new := np.flatnonzero(~hit)):
             raw = d.tobytes()
             s, e = start[at[new]].tolist(), end[at[new]].tolist()
-            made = self._batch([raw[i:j].decode() for i, j in zip(s, e)])
-            lens = np.fromiter(map(len, made), np.int32, len(made))
+            lens, flat = [], []
+            for lo in range(0, len(s), CALL):
+                made = self._batch([raw[i:j].decode() for i, j in zip(s[lo : lo + CALL], e[lo : lo + CALL])])
+                lens.append(np.fromiter(map(len, made), np.int32, len(made)))
+                flat.append(np.fromiter((x for m in made for x in m), np.int32, int(lens[-1].sum())))
+            lens = np.concatenate(lens)
             k = len(self.len)
             self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(lens, dtype=np.int64) - lens])
-            self.flat = np.concatenate([self.flat, np.fromiter((x for m in made for x in m), np.int32, int(lens.sum()))])
+            self.flat = np.concatenate([self.flat, *flat])
             self.len = np.concatenate([self.len, lens])
             found[new] = slots = np.arange(k, k + len(new), dtype=np.int32)
             self.known = np.insert(self.known, place[new], u[new])
