@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, imatch, jaccard_join, line_dedup, packing, pii, quality
-from .common import table
+from . import decontaminate, html_text, imatch, jaccard_join, line_dedup, packing, pii, quality, token_files
+from .common import checkpoint_dir, table
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +31,12 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("_key")
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{checkpoint_dir(spark)}/quire-tokens-{uuid.uuid4().hex}"
+    token_files.write_segments(table(spark, sf_dir, "documents"), folder)
+    return token_files.read_segments(spark, folder)
+
+
 def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprint_table(table(spark, sf_dir, "documents"))
 
