@@ -7,9 +7,9 @@ hash is the class id ``cid``), so copies never meet as pairs.
 Light sets (at most ``x`` shingles, x chosen by cost from the size histogram)
 are joined by enumerating the subsets of a fixed size that a link must share.
 Heavy sets are joined by scanning inverted lists: with every set in the same
-order, rarest shingle first, a link shares a shingle among the first
-n - ceil(.7 n) + 1 of the larger and the first n - ceil(1.4 n / 1.7) + 1 of the
-smaller set. The order comes from a count sketch of fixed size (SKETCH cells)
+order, rarest shingle first, a link shares k shingles among the first
+n - ceil(.7 n) + k of the larger and the first n - ceil(1.4 n / 1.7) + k of the
+smaller set; k is a twelfth of the smaller set. The order comes from a count sketch of fixed size (SKETCH cells)
 over all documents; a collision costs time, never a link. Lists longer than HOT
 by the sketch are split into pairs of blocks, so no list lies in one task.
 
@@ -57,6 +57,11 @@ def least_overlap(n: int, m: int) -> int:
     return -(-PERCENT * (n + m) // (100 + PERCENT))
 
 
+def shared_needed(n):
+    """k: how many shingles of its prefix a link of a smaller set of n must share; prefixes are longer by k - 1."""
+    return np.maximum(1, n // 12)
+
+
 def _class_ids(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     sizes = np.diff(bounds)
     sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)])
@@ -111,7 +116,7 @@ def _signatures(sketch: np.ndarray, x: int) -> Callable:
                 for some in combinations(h, c):
                     out.append((int(mix(np.array([sum(int(v) for v in some) + c & (1 << 64) - 1], np.uint64))[0]), -1, n, -1))
         if n * 100 >= PERCENT * (x + 1):
-            order = np.lexsort((h, load))[: n - -(-PERCENT * n // 100) + 1]
+            order = np.lexsort((h, load))[: n - -(-PERCENT * n // 100) + int(shared_needed(n))]
             for pos, k in enumerate(order):
                 key = int(h[k])
                 if hot[key & SKETCH - 1]:
@@ -148,7 +153,7 @@ def _signatures(sketch: np.ndarray, x: int) -> Callable:
             counts = np.where(plain, size, 0)
             pos = np.arange(len(d)) - np.repeat(np.concatenate([[0], np.cumsum(counts)[:-1]]), counts)
             n = size[d]
-            keep = pos < n - -(-PERCENT * n // 100) + 1
+            keep = pos < n - -(-PERCENT * n // 100) + shared_needed(n)
             d, v, pos, n = d[keep], v[keep], pos[keep], n[keep]
             yield _rows(v.view(np.int64), np.full(len(v), -1, np.int8), cids[d], n, pos)
             for i in np.flatnonzero(first & ~plain):
@@ -165,15 +170,27 @@ def _rows(key, side, cid, n, pos) -> pa.RecordBatch:
     return pa.record_batch({"key": pa.array(key), "cid": pa.array(cid), "at": pa.array(packed)})
 
 
+def _counted(p: np.ndarray) -> np.ndarray:
+    """Columns (a, b, an, bn, count), one per pair with the sum of its counts."""
+    order = np.lexsort((p[1], p[0]))
+    p = p[:, order]
+    at = np.flatnonzero(np.r_[True, (p[0, 1:] != p[0, :-1]) | (p[1, 1:] != p[1, :-1])])
+    out = p[:, at]
+    out[4] = np.add.reduceat(p[4], at)
+    return out
+
+
 def _pairs(x: int) -> Callable:
-    """Candidate pairs (a, b, an, bn), the smaller set first, from rows sorted by key and n."""
+    """Pairs (a, b, an, bn, shared), the smaller set first, from rows sorted by key, size and class."""
 
     def among(key, cid, at) -> pa.RecordBatch | None:
+        once = np.r_[True, (key[1:] != key[:-1]) | (cid[1:] != cid[:-1])]  # copies read by several tasks
+        key, cid, at = key[once], cid[once], at[once]
         n, pos, side = at >> 32, ((at >> 2) & ((1 << 30) - 1)) - 1, (at & 3) - 1
         last = np.flatnonzero(np.r_[key[1:] != key[:-1], True])
         left = np.repeat(last, np.diff(np.r_[-1, last])) - np.arange(len(key))  # rows of the key after this one
         live, found, step = np.flatnonzero(left > 0), [], 1
-        index = n - -(-2 * PERCENT * n // (100 + PERCENT)) + 1
+        index = n - -(-2 * PERCENT * n // (100 + PERCENT)) + shared_needed(n)
         live = live[(pos[live] < index[live]) | (pos[live] < 0)]
         waiting = 0
         while len(live):
@@ -181,22 +198,22 @@ def _pairs(x: int) -> Callable:
             ok = (cid[a] != cid[b]) & (n[a] * 100 >= PERCENT * n[b]) & ((side[a] < 0) | (side[a] != side[b]))
             need = -(-PERCENT * (n[a] + n[b]) // (100 + PERCENT))
             subset = pos[a] < 0
-            ok &= np.where(subset, pos[b] < 0, (pos[b] >= 0) & (n[b] > x) & (np.minimum(n[a] - pos[a], n[b] - pos[b]) >= need))
+            ok &= np.where(subset, pos[b] < 0, (pos[b] >= 0) & (n[b] > x) & (np.minimum(n[a] - pos[a], n[b] - pos[b]) > need - shared_needed(n[a])))
             if ok.any():
                 a, b = a[ok], b[ok]
                 # Equal sizes come in either order: the smaller class first.
                 turn = (n[a] == n[b]) & (cid[a] > cid[b])
                 a, b = np.where(turn, b, a), np.where(turn, a, b)
-                found.append(np.stack([cid[a], cid[b], n[a], n[b]]))
+                found.append(np.stack([cid[a], cid[b], n[a], n[b], np.ones(len(a), np.int64)]))
                 waiting += len(a)
-                if waiting > 4_000_000:
-                    found, waiting = [np.unique(np.concatenate(found, 1), axis=1)], 0
+                if waiting > 2_000_000:
+                    found, waiting = [_counted(np.concatenate(found, 1))], 0
             step += 1
             live = live[left[live] >= step]
         if not found:
             return None
-        p = np.unique(np.concatenate(found, 1), axis=1)
-        return pa.record_batch({"a": pa.array(p[0]), "b": pa.array(p[1]), "an": pa.array(p[2].astype(np.int32)), "bn": pa.array(p[3].astype(np.int32))})
+        p = _counted(np.concatenate(found, 1))
+        return pa.record_batch({"a": pa.array(p[0]), "b": pa.array(p[1]), "an": pa.array(p[2].astype(np.int32)), "bn": pa.array(p[3].astype(np.int32)), "shared": pa.array(p[4].astype(np.int32))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = [np.zeros(0, np.int64)] * 3
@@ -323,7 +340,13 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     x = light_boundary(histogram, float(sketch.mean()))
     signatures = docs.mapInArrow(_signatures(sketch, x), "key bigint, cid bigint, at bigint")
     pairs = save(
-        signatures.repartition(shuffle_parts(spark), "key").sortWithinPartitions("key", "at").mapInArrow(_pairs(x), "a bigint, b bigint, an int, bn int").distinct()
+        signatures.repartition(shuffle_parts(spark), "key")
+        .sortWithinPartitions("key", "at", "cid")
+        .mapInArrow(_pairs(x), "a bigint, b bigint, an int, bn int, shared int")
+        .groupBy("a", "b", "an", "bn")
+        .agg(F.sum("shared").alias("shared"))
+        .where(F.col("shared") >= F.greatest(F.lit(1), F.floor(F.col("an") / 12)))
+        .select("a", "b", "an", "bn")
     )
     classes = save(own.where("n > 0").groupBy("cid").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first")))
     ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("cid"), F.col("an").alias("n")), F.struct(F.col("b").alias("cid"), F.col("bn").alias("n")))).alias("e"), F.least("a", "b").alias("m"))
