@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, imatch, jaccard_join, line_dedup, packing, pii, quality, token_files
+from . import decontaminate, html_text, imatch, jaccard_join, line_dedup, packing, parse_dedup, pii, quality, token_files
 from .common import checkpoint_dir, table
 
 
@@ -27,6 +27,10 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op5_parse_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse_dedup.parse_dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("_key")
 
