@@ -380,6 +380,12 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each component: that of the smallest doc_id; of several rows with it, each distinct text once."""
-    kept = jaccard_join(docs).where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates()
+    """One document of each component, that of the smallest doc_id.
+
+    Of repeated rows one stays; different texts of one doc_id that aren't in a
+    component with a smaller one all stay, and so do rows without doc_id.
+    """
+    kept = jaccard_join(docs).where(F.col("component_id") == F.col("doc_id")).select("doc_id").distinct()
+    # The join places rows by doc_id, which serves the removal of repeats, too.
+    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
