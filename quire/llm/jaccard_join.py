@@ -44,7 +44,7 @@ from .sketch import sum_parts, to_parts
 from .words import mix, shingles, words
 
 PERCENT, SHINGLE = 70, 3
-SKETCH = 1 << 20
+SKETCH = 1 << 22
 HOT = 20_000
 BLOCK = 1_000_000
 MAX_LIGHT = 8
