@@ -88,16 +88,21 @@ class Machine:
                     continue
                 if not isinstance(part, bytes):
                     continue
+                low, high = state.rise + font.descent / 1000 * state.size, state.rise + font.ascent / 1000 * state.size
+                at, along = concat(tm, state.ctm), 0.0
+                before = along
                 for code in font.codes(part):
                     c, conf = font.char(code)
                     sure = min(sure, conf)
-                    advance = font.width(code) / 1000 * state.size * state.scale + state.char + (state.word if code == 32 and not font.wide else 0)
-                    at = concat(tm, state.ctm)
-                    points = [apply(at, 0, state.rise), apply(at, 0, state.rise + font.descent / 1000 * state.size), apply(at, advance, state.rise + font.ascent / 1000 * state.size)]
+                    before = along
+                    along += font.width(code) / 1000 * state.size * state.scale + state.char + (state.word if code == 32 and not font.wide else 0)
+                    text.append(c)
+                if along or before or text:
+                    # Glyphs of a string stand on one line: its box is that of its ends.
+                    points = [apply(at, x, y) for x in (0.0, before, along) for y in (state.rise, low, high)]
                     xs, ys = [p[0] for p in points] + ([box[0], box[2]] if box else []), [p[1] for p in points] + ([box[1], box[3]] if box else [])
                     box = (min(xs), min(ys), max(xs), max(ys))
-                    text.append(c)
-                    tm = concat((1, 0, 0, 1, advance, 0), tm)
+                    tm = concat((1, 0, 0, 1, along, 0), tm)
             if box:
                 size = max(abs(math.sqrt(abs(start[0] * start[3] - start[1] * start[2])) * state.size), 1e-3)
                 found.runs.append({"text": "".join(text), "x0": box[0], "y0": box[1], "x1": box[2], "y1": box[3], "font_name": name, "font_size": size, "mapping_confidence": sure, "metrics_confidence": metrics, "invisible": state.mode == 3, "in_form": depth > 0})

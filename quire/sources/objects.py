@@ -59,6 +59,11 @@ _DELIMITER = b"()<>[]{}/%"
 _REGULAR = re.compile(rb"[^\0\t\n\f\r ()<>\[\]{}/%]+")
 _BLANK = re.compile(rb"(?:[\0\t\n\f\r ]+|%[^\r\n]*)*")
 _NUMBER = re.compile(rb"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$")
+#: The tokens that most of a content stream is made of; the rest takes the long way.
+_COMMON = re.compile(
+    rb"(?:[\0\t\n\f\r ]+|%[^\r\n]*)*(?:([+-]?(?:\d+\.?\d*|\.\d+)(?=[\0\t\n\f\r ()<>\[\]{}/%]|$))|/([^\0\t\n\f\r ()<>\[\]{}/%#]*+)(?!#)|\(([^()\\\r]*)\)|([A-Za-z'\"][^\0\t\n\f\r ()<>\[\]{}/%]*))"
+)
+_WORDS = {b"true": True, b"false": False, b"null": None}
 _ESCAPES = {ord("n"): 10, ord("r"): 13, ord("t"): 9, ord("b"): 8, ord("f"): 12}
 END = Keyword("")
 
@@ -74,6 +79,16 @@ class Lexer:
 
     def next(self):
         """The next object; a Keyword for operators, END at the end."""
+        if m := _COMMON.match(self.data, self.at):
+            self.at = m.end()
+            kind, word = m.lastindex, m[m.lastindex]
+            if kind == 1:
+                return float(word) if b"." in word else int(word)
+            if kind == 2:
+                return Name(word.decode("latin-1"))
+            if kind == 3:
+                return word
+            return _WORDS[word] if word in _WORDS else Keyword(word.decode("latin-1"))
         self.blank()
         d, i = self.data, self.at
         if i >= len(d):
@@ -121,8 +136,7 @@ class Lexer:
             return float(word) if b"." in word or b"e" in word or b"E" in word else int(word)
         if word[:1] in b"+-.0123456789" and (n := re.match(rb"[+-]*(\d*\.?\d*)", word)) and n[1] not in (b"", b"."):
             return float(n[1]) * (-1 if word.startswith(b"-") else 1)
-        known = {b"true": True, b"false": False, b"null": None}
-        return known[word] if word in known else Keyword(word.decode("latin-1"))
+        return _WORDS[word] if word in _WORDS else Keyword(word.decode("latin-1"))
 
     @staticmethod
     def _push(out: list, x) -> None:
