@@ -79,3 +79,41 @@ def latency(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Exact percentiles, linear between values."""
     p = F.percentile(F.col(value), F.array(F.lit(0.5), F.lit(0.95)))
     return df.groupBy(*by).agg(F.count("*").alias("n"), F.round(p[0], 6).alias("p50"), F.round(p[1], 6).alias("p95"), F.round(F.avg(value), 6).alias("mean"), F.max(value).alias("most"))
+
+
+def detection_discipline(counts: DataFrame, by: list[str], want: str = "want", got: str = "got") -> DataFrame:
+    """Shares of exact, too many, too few and far too many (three more) tables found, and found over expected."""
+    w, g = F.col(want), F.col(got)
+    rate = lambda c, n: F.avg(c.cast("double")).alias(n)
+    return counts.groupBy(*by).agg(F.count("*").alias("n"), rate(w == g, "exact"), rate(g > w, "over"), rate(g < w, "under"), rate(g - w >= 3, "far_over"), share(F.sum(g).cast("double"), F.sum(w).cast("double")).alias("ratio"))
+
+
+def failure_modes(counts: DataFrame, key: list[str], want: str = "want", got: str = "got", cells: str | None = None) -> DataFrame:
+    """A row per document and way in which it fails."""
+    w, g = F.col(want), F.col(got)
+    tags = [F.when((w > 0) & (g == 0), "missed"), F.when((w == 0) & (g > 0), "false_positive"), F.when((w > 0) & (g > w), "over_split"), F.when((g > 0) & (g < w), "under_split")]
+    if cells:
+        tags.append(F.when((w == g) & (F.col(cells) < 0.5), "wrong_cells"))
+    return counts.select(*key, F.explode(F.array_compact(F.array(*tags))).alias("mode"))
+
+
+def peer_board(scores: DataFrame, document: str, peer: str, value: str) -> DataFrame:
+    """Per peer the mean score over documents and how many it wins; ties win for all."""
+    from pyspark.sql import Window
+
+    best = F.max(value).over(Window.partitionBy(document))
+    return scores.withColumn("_win", (F.col(value) == best).cast("long")).groupBy(peer).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.sum("_win").alias("wins"))
+
+
+def cell_vote(cells: DataFrame, key: list[str], value: str = "text") -> DataFrame:
+    """The text that most peers read in a cell, ties to the longer then the first, and whether all agree."""
+    votes = cells.groupBy(*key, value).agg(F.count("*").alias("n"))
+    order = F.struct(F.col("n"), F.length(value).alias("l"), F.col(value))
+    return votes.groupBy(*key).agg(F.max_by(value, order).alias(value), (F.count("*") == 1).alias("agreed"), F.sum("n").alias("n_votes"))
+
+
+def gates(scores: DataFrame, least: dict[str, float]) -> DataFrame:
+    """A row per gate: the mean of a column against its least value."""
+    row = scores.agg(*[F.avg(c).alias(c) for c in least])
+    each = F.array(*[F.struct(F.lit(c).alias("gate"), F.col(c).alias("value"), F.lit(float(v)).alias("least"), (F.col(c) >= v).alias("passed")) for c, v in least.items()])
+    return row.select(F.inline(each))

@@ -81,6 +81,12 @@ def rt_filled_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cells(T.tables(render.grids(_orders(spark, sf_dir), style="filled"), preset("lattice_only")))
 
 
+@query(_cells_sql(2))
+def rt_painted_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with lines that are only painted in an image."""
+    return _cells(T.tables(render.grids(_orders(spark, sf_dir), style="painted"), preset("lattice_only")))
+
+
 @query(_cells_sql(3))
 def rt_network_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same without lines."""
@@ -433,3 +439,77 @@ def evl_scoreboard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(avg(value), 6) AS mean, max(value) AS most FROM events GROUP BY event_type")
 def evl_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.latency(table(spark, sf_dir, "events"), ["event_type"], "value")
+
+
+_CELLS4 = f"SELECT doc_id, CAST(rn AS INTEGER) AS r, unnest([k, s, p, r]) AS t, unnest([0, 1, 2, 3]) AS c FROM ({_ORDERS})"
+_FEATURES = f"""
+SELECT doc_id, max(r) + 1 AS n_rows, 4 AS cols, 1.0 AS fill, avg(len(t)) AS chars, avg(CAST(len(regexp_replace(t, '[^0-9]', '', 'g')) >= greatest(1, len(regexp_replace(t, '\\P{{L}}', '', 'g'))) AS INTEGER)) AS num,
+       avg(len(regexp_replace(t, '\\P{{L}}', '', 'g')) / len(t)) FILTER (WHERE r = 0) AS head, avg(CAST(len(regexp_replace(t, '[^0-9a-fA-F]', '', 'g')) / len(t) >= 0.9 AS INTEGER)) AS hex FROM ({_CELLS4}) GROUP BY doc_id
+"""
+
+
+@query(f"""
+WITH f AS ({_FEATURES}), s AS (SELECT *, (0.30 * head + 0.20 * fill + 0.15 * greatest(0, least(1, 1 - abs(chars - 12) / 40)) + 0.15 * CASE WHEN num BETWEEN 0.15 AND 0.85 THEN 1 WHEN num > 0.85 THEN 0.35 ELSE 0.2 END + 0.10 + 0.10 * CASE WHEN n_rows BETWEEN 3 AND 80 THEN 1 ELSE 0.2 END)
+    * (1 - 0.75 * hex) * CASE WHEN chars < 3.5 AND num > 0.7 THEN 0.35 ELSE 1 END AS d, 0.30 * (1 - num) + 0.15 * (1 - least(chars / 40, 1)) + 0.10 AS f FROM f)
+SELECT doc_id, CAST(n_rows AS INTEGER) AS "rows", round(chars, 6) AS mean_chars, round(num, 6) AS "numeric", round(least(1, greatest(0, d)), 6) AS data_score, round(least(1, greatest(0, f)), 6) AS form_score FROM s
+""")
+def prd_table_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every customer's orders as a table."""
+    from ..functions import scores as S
+
+    cells = _order_cells(spark, sf_dir)
+    f = S.features(cells, ["doc_id"])
+    return f.select("doc_id", "rows", F.round("mean_chars", 6).alias("mean_chars"), F.round("numeric", 6).alias("numeric"), F.round(S.data_score(), 6).alias("data_score"), F.round(S.form_score(), 6).alias("form_score"))
+
+
+def _order_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    o = table(spark, sf_dir, "orders").withColumn("row", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1)
+    texts = F.array(F.col("o_orderkey").cast("string"), F.col("o_orderstatus"), F.format_string("%.2f", "o_totalprice"), F.col("o_orderpriority"))
+    return o.select(F.col("o_custkey").cast("string").alias("doc_id"), "row", F.posexplode(texts).alias("col", "text"))
+
+
+_COUNTS = "SELECT o_custkey, o_orderpriority, count(*) AS want, count(*) FILTER (WHERE o_orderstatus <> 'F') AS got FROM orders GROUP BY ALL"
+
+
+def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").groupBy("o_custkey", "o_orderpriority").agg(F.count("*").alias("want"), F.count_if(F.col("o_orderstatus") != "F").alias("got"))
+
+
+@query(f"""
+SELECT o_orderpriority, count(*) AS n, round(avg(CAST(want = got AS INTEGER)), 6) AS exact, round(avg(CAST(got > want AS INTEGER)), 6) AS "over", round(avg(CAST(got < want AS INTEGER)), 6) AS "under", round(sum(got) / sum(want), 6) AS ratio FROM ({_COUNTS}) GROUP BY 1
+""")
+def evl_discipline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = E.detection_discipline(_counts(spark, sf_dir), ["o_orderpriority"])
+    return d.select("o_orderpriority", "n", *[F.round(c, 6).alias(c) for c in ("exact", "over", "under", "ratio")])
+
+
+@query(f"SELECT mode, count(*) AS n FROM (SELECT CASE WHEN got = 0 THEN 'missed' WHEN got < want THEN 'under_split' END AS mode FROM ({_COUNTS})) WHERE mode IS NOT NULL GROUP BY mode")
+def evl_failure_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.failure_modes(_counts(spark, sf_dir), ["o_custkey"]).groupBy("mode").agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH s AS (SELECT user_id, event_type, max(value) AS v FROM events GROUP BY ALL), w AS (SELECT *, max(v) OVER (PARTITION BY user_id) AS best FROM s)
+SELECT event_type, count(*) AS n, round(avg(v), 6) AS mean, CAST(sum(CAST(v = best AS INTEGER)) AS BIGINT) AS wins FROM w GROUP BY event_type
+""")
+def evl_peer_board(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.max("value").alias("v"))
+    return E.peer_board(s, "user_id", "event_type", "v").select("event_type", "n", F.round("mean", 6).alias("mean"), "wins")
+
+
+@query("""
+WITH v AS (SELECT o_custkey, o_orderpriority AS text, count(*) AS n FROM orders GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, len(text) DESC, text DESC) AS k, count(*) OVER (PARTITION BY o_custkey) AS d, sum(n) OVER (PARTITION BY o_custkey) AS t FROM v)
+SELECT o_custkey, text, d = 1 AS agreed, CAST(t AS BIGINT) AS n_votes FROM r WHERE k = 1
+""")
+def evl_cell_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.cell_vote(table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderpriority").alias("text")), ["o_custkey"])
+
+
+@query("""
+SELECT gate, value, least, value >= least AS passed FROM (SELECT 'quality' AS gate, round(avg(quality), 9) AS value, CAST(0.5 AS DOUBLE) AS least FROM labels UNION ALL SELECT 'toxic', round(avg(toxic), 9), CAST(0.5 AS DOUBLE) FROM labels)
+""")
+def evl_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.gates(table(spark, sf_dir, "labels"), {"quality": 0.5, "toxic": 0.5}).withColumn("value", F.round("value", 9))

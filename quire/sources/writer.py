@@ -31,7 +31,9 @@ class Page:
 
 
 def table(page: Page, rows: Sequence[Sequence[str]], xs: Sequence[float], top: float = 740, pitch: float = 18, size: float = 9, style: str = "ruled") -> None:
-    """Rows in columns that start at xs (one more than columns); styles: ruled, filled, borderless."""
+    """Rows in columns that start at xs (one more than columns); styles: ruled, filled, painted (an image of the lines), borderless."""
+    if style == "painted":
+        _painted(page, xs, [top - pitch * k for k in range(len(rows) + 1)])
     ys = [top - pitch * k for k in range(len(rows) + 1)]
     for y in ys:
         if style == "ruled":
@@ -49,6 +51,24 @@ def table(page: Page, rows: Sequence[Sequence[str]], xs: Sequence[float], top: f
                 page.text(xs[c] + 3, ys[r + 1] + pitch / 2 - 0.3 * size, cell, size)
 
 
+def _painted(page: Page, xs: Sequence[float], ys: Sequence[float], scale: int = 2) -> None:
+    """The lines of a grid as a grey image, two pixels a point, placed over it."""
+    wide, high = int((xs[-1] - xs[0]) * scale) + 2 * scale, int((ys[0] - ys[-1]) * scale) + 2 * scale
+    rows = [bytearray(b"\xff" * wide) for _ in range(high)]
+    at = lambda v: int(round(v * scale))
+    for y in ys:
+        k = at(ys[0] - y)
+        for j in (k, k + 1):
+            rows[j][: at(xs[-1] - xs[0]) + 2] = bytes(at(xs[-1] - xs[0]) + 2)
+    for x in xs:
+        k = at(x - xs[0])
+        for j in range(at(ys[0] - ys[-1]) + 2):
+            rows[j][k : k + 2] = b"\0\0"
+    name = f"Grid{len(page.images)}"
+    page.images[name] = (wide, high, b"".join(rows))
+    page.raw(b"q %g 0 0 %g %g %g cm /%s Do Q" % (wide / scale, high / scale, xs[0] - 0.5, ys[-1] - 2 + 0.5, name.encode()))
+
+
 #: Widths of Helvetica in thousandths, from code 32.
 HELVETICA = [278, 278, 355, 556, 556, 889, 667, 191, 333, 333, 389, 584, 278, 333, 278, 278] + [556] * 10 + [278, 278, 584, 584, 584, 556, 1015, 667, 667, 722, 722, 667, 611, 778, 722, 278, 500, 667, 556, 833, 722, 778, 667, 778, 722, 667, 611, 722, 667, 944, 667, 667, 611, 278, 278, 278, 469, 556, 333, 556, 556, 500, 556, 556, 278, 556, 556, 222, 222, 500, 222, 833, 556, 556, 556, 556, 333, 500, 278, 556, 500, 722, 500, 500, 500, 334, 260, 334, 584, 350] + [556] * 128
 
