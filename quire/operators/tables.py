@@ -13,6 +13,7 @@ from bisect import bisect_left, bisect_right
 from collections import defaultdict
 
 from ..plans.options import Knobs, TableOptions
+from . import refine
 
 Rule = tuple[float, float, float, float]
 
@@ -204,6 +205,14 @@ def lattice(page: int, runs: list[dict], rules: list[Rule], k: Knobs) -> list[di
             return kept
 
         xs, ys = spread(sorted(supported(v, on_v, vs, tall, k.v_span))), spread(sorted(supported(h, on_h, hs, wide, k.h_span)))
+        if len(xs) > 1 and len(ys) > 1:
+            inside = [r for r in runs if xs[0] <= (r["x0"] + r["x1"]) / 2 <= xs[-1] and ys[0] <= (r["y0"] + r["y1"]) / 2 <= ys[-1]]
+            size = upper_median([r["font_size"] for r in inside], 10.0)
+            bands = text_lines(inside, 0.35 * size)
+            ruled = (len(xs), len(ys))
+            ys = refine.row_edges(ys, bands, size, k)
+            if ruled[0] <= 3 and len(bands) >= 3:
+                xs = refine.column_edges(xs, _columns(bands, size, k), size, k)
         rows, cols = len(ys) - 1, len(xs) - 1
         if rows < 1 or cols < 1 or rows > k.max_rows or cols > k.max_cols or rows * cols < 2:
             continue
@@ -214,9 +223,9 @@ def lattice(page: int, runs: list[dict], rules: list[Rule], k: Knobs) -> list[di
             for c in range(cols):
                 edges = [_covered(own_v, xs[c], y0, y1, k), _covered(own_v, xs[c + 1], y0, y1, k), _covered(own_h, y0, xs[c], xs[c + 1], k), _covered(own_h, y1, xs[c], xs[c + 1], k)]
                 covered += sum(edges)
-                if not edges[1] and c + 1 < cols:
+                if not edges[1] and c + 1 < cols and ruled[0] == len(xs):
                     right.add((r, c))
-                if not edges[2] and r + 1 < rows:
+                if not edges[2] and r + 1 < rows and ruled[1] == len(ys):
                     below.add((r, c))
         cells = grid_cells(xs, ys, runs, right, below)
         filled = sum(bool(c["text"]) for c in cells)
@@ -227,7 +236,7 @@ def lattice(page: int, runs: list[dict], rules: list[Rule], k: Knobs) -> list[di
         density = min(1.0, len(group) / max(1, (rows + 1) * (cols + 1)))
         regular = (_regularity(xs) + _regularity(ys)) / 2
         confidence = 0.30 * regular + 0.25 * edge + 0.20 * fill + 0.15 * density + 0.10 * min(1.0, rows * cols / 12)
-        out.append(_trimmed(_table(page, "lattice", confidence, xs, ys, cells, edge_score=edge, joints=len(group), notes=["weak_edges"] if edge < k.weak_edge else [])))
+        out.append(_trimmed(_table(page, "lattice", confidence, xs, ys, cells, edge_score=edge, joints=len(group), notes=(["weak_edges"] if edge < k.weak_edge else []) + (["densified"] if ruled != (len(xs), len(ys)) else []))))
     return out
 
 
@@ -423,12 +432,13 @@ def page_tables(page: int, runs: list[dict], rules: list[Rule], options: TableOp
     if not options.detect:
         return []
     k = options.knobs
+    runs = refine.unglued(runs)
     found = lattice(page, runs, rules, k) if options.lattice else []
     if options.hybrid and not found:
         found += hybrid(page, runs, rules, k)
     if options.network:
         found += network(page, runs, k)
-    kept = choose(found, k)
+    kept = [refine.without_footer(t) for t in choose(found, k)]
     return [s for t in kept for s in (split_sides(t, k) if options.split else [t])]
 
 

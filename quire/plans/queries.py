@@ -87,6 +87,12 @@ def rt_painted_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cells(T.tables(render.grids(_orders(spark, sf_dir), style="painted"), preset("lattice_only")))
 
 
+@query(_cells_sql(3))
+def rt_column_ruled_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with lines between columns only."""
+    return _cells(T.tables(render.grids(_orders(spark, sf_dir), style="columns"), preset("lattice_only")))
+
+
 @query(_cells_sql(3))
 def rt_network_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same without lines."""

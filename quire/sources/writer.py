@@ -31,21 +31,24 @@ class Page:
 
 
 def table(page: Page, rows: Sequence[Sequence[str]], xs: Sequence[float], top: float = 740, pitch: float = 18, size: float = 9, style: str = "ruled") -> None:
-    """Rows in columns that start at xs (one more than columns); styles: ruled, filled, painted (an image of the lines), borderless."""
+    """Rows in columns that start at xs (one more than columns); styles: ruled, filled, painted (an image of the lines), columns (no lines between rows), glued (a row is one string), borderless."""
     if style == "painted":
         _painted(page, xs, [top - pitch * k for k in range(len(rows) + 1)])
     ys = [top - pitch * k for k in range(len(rows) + 1)]
     for y in ys:
-        if style == "ruled":
+        if style == "ruled" or style == "columns" and y in (ys[0], ys[-1]):
             page.line(xs[0], y, xs[-1], y)
         elif style == "filled":
             page.bar(xs[0], y - 0.5, xs[-1] - xs[0], 1)
     for x in xs:
-        if style == "ruled":
+        if style in ("ruled", "columns"):
             page.line(x, ys[0], x, ys[-1])
         elif style == "filled":
             page.bar(x - 0.5, ys[-1], 1, ys[0] - ys[-1])
     for r, row in enumerate(rows):
+        if style == "glued":
+            page.text(xs[0] + 3, ys[r + 1] + pitch / 2 - 0.3 * size, " ".join(row), size)
+            continue
         for c, cell in enumerate(row):
             if cell:
                 page.text(xs[c] + 3, ys[r + 1] + pitch / 2 - 0.3 * size, cell, size)

@@ -6,6 +6,7 @@ import zlib
 import pytest
 
 from quire.operators.tables import cell_text, choose, clusters, is_prose, logical_tables, page_tables, split_sides, stitch
+from quire.operators import refine
 from quire.plans.options import Knobs, as_row, chosen, page_range, preset, tuned
 from quire.sources import fonts
 from quire.sources.content import interpret
@@ -219,3 +220,29 @@ def test_options():
         with pytest.raises(ValueError):
             tuned(o, bad)
     assert chosen("fast", True, True).stitch is False and chosen(high_quality=True, auto=True) == preset("high_quality") and not chosen().detect
+
+
+def test_missing_row_lines_and_painted_lines():
+    for style in ("columns", "painted"):
+        p = Page()
+        table(p, ROWS, XS, style=style)
+        (t,) = detect(p, "lattice_only")
+        assert grid(t) == ROWS and ("densified" in t["notes"]) == (style == "columns")
+
+
+def test_glued_rows():
+    p = Page()
+    table(p, [[f"row {chr(97 + i)}", str(1000 + i), f"{i}.5", "7"] for i in range(8)], XS, style="glued")
+    (t,) = detect(p)
+    assert t["cols"] == 4 and grid(t)[2] == ["row c", "1002", "2.5", "7"]
+
+
+def test_token_splits_and_footers():
+    assert refine.split_tokens("201920202021 1.2343.456 12,3454,567 x") == ["2019", "2020", "2021", "1.234", "3.456", "12,345", "4,567", "x"]
+    p = Page()
+    table(p, ROWS + [["Total", "", "", "99"]], XS, style="ruled")
+    (t,) = detect(p)
+    assert t["rows"] in (7, 8)
+    cells = [{"row": r, "col": c, "rowspan": 1, "colspan": 1, "x0": 0.0, "y0": -r * 10.0, "x1": 1.0, "y1": 10 - r * 10.0, "text": f"{r}{c}" if r < 5 else ("Total" if c == 4 else "9" if c == 5 else ""), "header": False} for r in range(6) for c in range(6)]
+    cut = refine.without_footer({"rows": 6, "cols": 6, "cells": cells, "notes": [], "y0": -50.0})
+    assert cut["rows"] == 5 and cut["y0"] == -40
