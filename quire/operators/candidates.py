@@ -76,3 +76,34 @@ def adjacent_pages(fragments: DataFrame, height: float = 792.0, band: float = 0.
     high = fragments.where((F.col("y1") > (1 - band) * height) | ((F.col("y0") + F.col("y1")) / 2 > (1 - reach) * height))
     a = low.select("doc_id", (F.col("page") + 1).alias("page"), *[F.col(c).alias(f"a_{c}") for c in low.columns if c not in PAGE])
     return a.join(_renamed(high, "b_"), PAGE).where((F.col("a_cols") == F.col("b_cols")) & (F.col("a_cols") >= 2))
+
+
+def _beside(candidates: DataFrame, others: DataFrame, test: Column, how: str) -> DataFrame:
+    o = _renamed(others, "o_").withColumnsRenamed({"doc_id": "o_doc", "page": "o_page"})
+    return candidates.join(o, (F.col("doc_id") == F.col("o_doc")) & (F.col("page") == F.col("o_page")) & test, how)
+
+
+def without_subordinate_streams(streams: DataFrame, lattices: DataFrame, ratio: float = 2.0) -> DataFrame:
+    """Borderless candidates that meet a ruled table go, unless they are more than ``ratio`` times as large as every one they meet."""
+    a, b = Box.of(), Box.of("o_")
+    meets = (least_area_overlap(a, b) >= 0.40) | (iou(a, b) >= 0.35)
+    return _beside(streams, lattices, meets & (a.area <= ratio * b.area), "left_anti")
+
+
+def without_wide_hybrids(hybrids: DataFrame, streams: DataFrame, cols: int = 14) -> DataFrame:
+    """Partly ruled candidates of many columns go where a borderless one covers the same place."""
+    return _beside(hybrids, streams, (F.col("cols") >= cols) & covers(Box.of(), Box.of("o_")), "left_anti")
+
+
+def without_sparse_ruled(ruled: DataFrame, streams: DataFrame, fill: float = 0.35, strong: float = 0.62) -> DataFrame:
+    """Ruled candidates that are mostly empty go where a sure borderless one covers the same place."""
+    return _beside(ruled, streams, (F.col("fill") < fill) & (F.col("o_confidence") >= strong) & covers(Box.of(), Box.of("o_")), "left_anti")
+
+
+def demoted_slices(lattices: DataFrame, streams: DataFrame, factor: float = 0.45, share: float = 0.35) -> DataFrame:
+    """Ruled tables that are a narrow slice of a wider borderless table lose confidence."""
+    a, b = Box.of(), Box.of("o_")
+    slice_ = (containment(a, b) >= 0.85) & (a.area <= share * b.area) & (F.col("cols") <= 2)
+    hit = _beside(lattices, streams, slice_, "left_semi").select("doc_id", "page", "id", F.lit(True).alias("_hit"))
+    found = lattices.join(hit, [*PAGE, "id"], "left")
+    return found.withColumn("confidence", F.col("confidence") * F.when(F.col("_hit"), factor).otherwise(1.0)).drop("_hit")

@@ -519,3 +519,51 @@ SELECT gate, value, least, value >= least AS passed FROM (SELECT 'quality' AS ga
 """)
 def evl_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.gates(table(spark, sf_dir, "labels"), {"quality": 0.5, "toxic": 0.5}).withColumn("value", F.round("value", 9))
+
+
+_MEETS = f"({_I} / least({_A}, {_B}) >= 0.4 OR {_IOU} >= 0.35)"
+_COVERS = f"({_I} / {_A} >= 0.5 OR {_I} / {_B} >= 0.5 OR {_IOU} >= 0.4)"
+
+
+@query(f"WITH x AS ({_BOXES}) SELECT a.doc_id, a.id FROM x a WHERE a.method = 'network' AND NOT EXISTS (SELECT 1 FROM x b WHERE b.doc_id = a.doc_id AND b.method = 'lattice' AND {_MEETS} AND {_A} <= 2 * {_B})")
+def rel_stream_under_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = boxes(spark, sf_dir)
+    return C.without_subordinate_streams(x.where("method = 'network'"), x.where("method = 'lattice'")).select("doc_id", "id")
+
+
+def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes with columns and a fill that follow from them."""
+    return boxes(spark, sf_dir).withColumn("cols", (F.col("x0") % 20).cast("int")).withColumn("fill", F.col("y0") % 10 / 10)
+
+
+_SIZED = f"SELECT *, CAST(x0 % 20 AS INTEGER) AS cols, y0 % 10 / 10 AS f FROM ({_BOXES})"
+
+
+@query(f"WITH x AS ({_SIZED}) SELECT a.doc_id, a.id FROM x a WHERE a.method = 'hybrid' AND NOT EXISTS (SELECT 1 FROM x b WHERE b.doc_id = a.doc_id AND b.method = 'network' AND a.cols >= 14 AND {_COVERS})")
+def rel_wide_hybrids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = _sized(spark, sf_dir)
+    return C.without_wide_hybrids(x.where("method = 'hybrid'"), x.where("method = 'network'")).select("doc_id", "id")
+
+
+@query(f"WITH x AS ({_SIZED}) SELECT a.doc_id, a.id FROM x a WHERE a.method = 'lattice' AND NOT EXISTS (SELECT 1 FROM x b WHERE b.doc_id = a.doc_id AND b.method = 'network' AND a.f < 0.35 AND b.conf >= 0.62 AND {_COVERS})")
+def rel_sparse_ruled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = _sized(spark, sf_dir)
+    return C.without_sparse_ruled(x.where("method = 'lattice'"), x.where("method = 'network'")).select("doc_id", "id")
+
+
+@query(f"WITH x AS ({_SIZED}) SELECT a.doc_id, a.id, round(a.conf * CASE WHEN EXISTS (SELECT 1 FROM x b WHERE b.doc_id = a.doc_id AND b.method = 'network' AND {_I} / {_A} >= 0.85 AND {_A} <= 0.35 * {_B} AND a.cols <= 2) THEN 0.45 ELSE 1 END, 6) AS confidence FROM x a WHERE a.method = 'lattice'")
+def rel_demoted_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = _sized(spark, sf_dir)
+    return C.demoted_slices(x.where("method = 'lattice'"), x.where("method = 'network'")).select("doc_id", "id", F.round("confidence", 6).alias("confidence"))
+
+
+@query(f"""
+WITH x AS (SELECT CAST(o_custkey AS VARCHAR) AS doc_id, o_orderkey AS id, o_totalprice / 500000 AS score FROM orders), r AS (SELECT *, count(*) OVER p AS n, row_number() OVER (PARTITION BY doc_id ORDER BY score >= 0.54 DESC, score DESC, id) AS k FROM x WINDOW p AS (PARTITION BY doc_id))
+SELECT doc_id, id FROM r WHERE n <= 8 OR (score >= 0.54 AND k <= 8)
+""")
+def win_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of documents with more than eight tables the best eight that score enough."""
+    from ..functions import scores as S
+
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("doc_id"), F.col("o_orderkey").alias("id"), (F.col("o_totalprice") / 500000).alias("score"))
+    return S.scrubbed(o).select("doc_id", "id")
