@@ -26,7 +26,10 @@ import numpy as np
 BLOCK, LANES = 4096, 2048
 MAGIC = b"QTK1"
 _TOP, _MASK = np.uint64(1 << 32), np.uint64((1 << 32) - 1)
-_HASH = 14
+_HASH = 13
+#: Stands in ``past`` for no id; vocabularies are smaller.
+_NONE = 65_535
+_SLOT = (np.arange(65_536, dtype=np.int64) * 0x9E3779B1 >> 9) & ((1 << _HASH) - 1)
 _MODES, _POWERS = 4, 13
 _CONTEXTS, _HISTORY = 4, 16
 _LOG2 = np.floor(np.log2(np.maximum(np.arange(BLOCK + 1), 1))).astype(np.int64)
@@ -44,44 +47,46 @@ class _Model:
 
     def __init__(self, lanes: int, steps: int, vocabulary: int):
         self.lanes, self.rows, self.vocabulary = lanes, np.arange(lanes), vocabulary
-        self.past = np.full((steps + 3) * lanes, -1, np.int32)
-        self.after = np.zeros(lanes * vocabulary, np.uint16)  # the row after an id's last
+        self.past = np.full((steps + 3) * lanes, _NONE, np.uint16)
+        self.after = np.full(lanes << _HASH, 2, np.uint16)  # the row after an id's last, by the id's slot
         self.after_pair = np.full(lanes << _HASH, 2, np.uint16)
-        self.own = self.rows * vocabulary
-        self.own_pair = self.rows << _HASH
-        self.by_context = np.full((_MODES, _CONTEXTS * lanes), 2, np.int64)
-        self.by_history = np.full((_MODES, _HISTORY * lanes), 2, np.int64)
-        self.by_power = np.full((_POWERS, lanes), 2, np.int64)
+        self.own = self.rows << _HASH
+        self.by_context = np.full((_MODES, _CONTEXTS * lanes), 2, np.int32)
+        self.by_history = np.full((_MODES, _HISTORY * lanes), 2, np.int32)
+        self.by_power = np.full((_POWERS, lanes), 2, np.int32)
         self.history = np.zeros(lanes, np.int64)
         self.cum = np.zeros((_MODES + 1, lanes), np.int64)
 
     def propose(self, t: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ids that orders 2 and 1 predict for step t in the first n lanes; -1: none."""
-        rows, lanes = self.rows[:n], self.lanes
-        one = self.past[(t + 1) * lanes : (t + 1) * lanes + n].astype(np.int64)
+        """The ids that orders 2 and 1 predict for step t in the first n lanes; _NONE: none."""
+        rows, lanes, past = self.rows[:n], self.lanes, self.past
+        one = past[(t + 1) * lanes : (t + 1) * lanes + n]
         if t == 0:
             return one, one
-        at = self.own[:n] + one
-        c1 = self.past[self.after[at].astype(np.int64) * lanes + rows]
-        self.after[at] = t + 2
+        slot = self.own[:n] + _SLOT.take(one)
+        place = self.after.take(slot).astype(np.int64) * lanes + rows
+        # Another id may have the slot.
+        c1 = np.where(past.take(place - lanes) == one, past.take(place), _NONE)
+        self.after[slot] = t + 2
         if t == 1:
-            return np.full(n, -1), c1
-        two = self.past[t * lanes : t * lanes + n].astype(np.int64)
-        slot = self.own_pair[:n] + (((two * 50_021 + one) * 0x9E3779B1 >> 9) & ((1 << _HASH) - 1))
-        place = self.after_pair[slot].astype(np.int64) * lanes + rows
-        same = (self.past[place - lanes] == one) & (self.past[place - 2 * lanes] == two)
+            return np.full(n, _NONE, np.uint16), c1
+        two = past[t * lanes : t * lanes + n]
+        slot = self.own[:n] + _SLOT.take(two * np.uint16(40_503) + one)
+        place = self.after_pair.take(slot).astype(np.int64) * lanes + rows
+        same = (past.take(place - lanes) == one) & (past.take(place - 2 * lanes) == two)
         self.after_pair[slot] = t + 2
-        return np.where(same, self.past[place], -1), c1
+        return np.where(same, past.take(place), _NONE), c1
 
     def distance(self, t: int, ids: np.ndarray) -> np.ndarray:
-        """Steps back to the last occurrence; 0: none."""
-        after = self.after[self.own[: len(ids)] + ids].astype(np.int64)
-        return np.where(after > 0, t + 3 - after, 0)
+        """Steps back to the last occurrence; 0: none that the slots know."""
+        n = len(ids)
+        after = self.after.take(self.own[:n] + _SLOT.take(ids)).astype(np.int64)
+        return np.where(self.past.take((after - 1) * self.lanes + self.rows[:n]) == ids, t + 3 - after, 0)
 
     def modes(self, c2: np.ndarray, c1: np.ndarray) -> np.ndarray:
         """Mixed cumulative frequencies by mode, from 0, for the lanes' contexts."""
         n = len(c1)
-        context = np.where(c2 < 0, c1 >= 0, 3 - (c2 == c1))
+        context = np.where(c2 == _NONE, c1 != _NONE, 3 - (c2 == c1))
         self.a = a = context * self.lanes + self.rows[:n]
         self.h = h = self.history[:n] * self.lanes + self.rows[:n]
         cum = self.cum
@@ -175,13 +180,13 @@ class _Decoder:
 def _encode_lanes(ids: np.ndarray, lengths: np.ndarray, vocabulary: int) -> list[bytes]:
     """ids: (lanes, steps), lanes in falling order of length; what follows a lane's length is ignored."""
     lanes, steps = ids.shape
-    columns = np.ascontiguousarray(ids.T.astype(np.int32))
+    columns = np.ascontiguousarray(ids.T.astype(np.uint16))
     model, coder, rows = _Model(lanes, steps, vocabulary), _Encoder(lanes, 3 * steps + 8), np.arange(lanes)
     ones = np.ones(lanes, np.int64)
     live = np.searchsorted(-lengths, -np.arange(steps), side="left")  # lanes longer than t
     for t in range(steps):
         n = int(live[t])
-        own = columns[t, :n].astype(np.int64)
+        own = columns[t, :n]
         c2, c1 = model.propose(t, n)
         back = model.distance(t, own)
         mode = np.where(own == c2, 0, np.where(own == c1, 1, 3 - (back > 0)))
@@ -192,7 +197,7 @@ def _encode_lanes(ids: np.ndarray, lengths: np.ndarray, vocabulary: int) -> list
         model.saw_mode(mode)
         plain = np.flatnonzero(mode > 1)
         if len(plain):
-            rest, total = own[plain], np.full(len(plain), vocabulary)
+            rest, total = own[plain].astype(np.int64), np.full(len(plain), vocabulary)
             is_recent = np.flatnonzero(mode[plain] == 2)
             if len(is_recent):
                 recent = plain[is_recent]
@@ -226,7 +231,7 @@ def _decode_lanes(blobs: list[bytes], lengths: np.ndarray, vocabulary: int) -> n
         low = flat.take(k)
         coder.take(rows[:n], unit, low, flat.take(k + lanes) - low)
         model.saw_mode(mode)
-        got = np.where(mode == 0, c2, c1).astype(np.int64)
+        got = np.where(mode == 0, c2, c1)
         plain = np.flatnonzero(mode > 1)
         if len(plain):
             total = np.full(len(plain), vocabulary)
@@ -246,22 +251,24 @@ def _decode_lanes(blobs: list[bytes], lengths: np.ndarray, vocabulary: int) -> n
             if len(is_recent):
                 # A corrupt code may point before the block; the checksum tells.
                 back = np.maximum(t + 2 - total[is_recent] - rest[is_recent], 0)
-                rest[is_recent] = np.maximum(model.past[back * lanes + plain[is_recent]], 0)
+                rest[is_recent] = model.past[back * lanes + plain[is_recent]]
             got[plain] = rest
-        model.past[(t + 2) * lanes : (t + 2) * lanes + n] = np.maximum(got, 0)
+        model.past[(t + 2) * lanes : (t + 2) * lanes + n] = got
         model.age(t)
     return model.past.reshape(-1, lanes)[2 : steps + 2].T
 
 
 def encode(ids: np.ndarray, counts: np.ndarray, doc_ids: list[int | None], vocabulary: int) -> bytes:
-    """One segment: the ids of documents one after another, ``counts`` of each."""
+    """One segment: the ids of documents one after another, ``counts`` of each; ids are below 65535."""
+    if vocabulary > _NONE:
+        raise ValueError("a vocabulary of 65535 ids at most")
     lengths = np.full(-(-len(ids) // BLOCK), BLOCK, np.int64)
     if len(lengths):
         lengths[-1] = len(ids) - BLOCK * (len(lengths) - 1)
     blocks: list[bytes] = []
     for lo in range(0, len(lengths), LANES):
         own = lengths[lo : lo + LANES]
-        some = np.zeros((len(own), int(own.max())), np.int32)
+        some = np.zeros((len(own), int(own.max())), np.uint16)
         flat = ids[lo * BLOCK : lo * BLOCK + int(own.sum())]
         some.ravel()[: len(flat)] = flat  # only the last lane may be short
         blocks += _encode_lanes(some, own, vocabulary)
