@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saver, shuffle_parts
+from .common import saver
 from .sketch import sum_parts, to_parts
 from .words import mix, shingles, words
 
@@ -47,6 +47,8 @@ PERCENT, SHINGLE = 70, 3
 SKETCH = 1 << 22
 HOT = 20_000
 BLOCK = 1_000_000
+#: Signature rows of a task: the fewer tasks a pair's shingles spread over, the fewer rows count them.
+TASK_ROWS = 3_000_000
 MAX_LIGHT = 8
 #: Bits of the filter that keeps sets without candidates from being fetched: at most 4 MB, whatever the input.
 MAX_FILTER_BITS = 1 << 25
@@ -338,9 +340,12 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     sketch = sum_parts(profile.where("chunk is not null").select("chunk", "part"), SKETCH)
     histogram = {r["n"]: r["count"] for r in own.where(F.col("n") <= MAX_LIGHT).groupBy("n").count().collect()}
     x = light_boundary(histogram, float(sketch.mean()))
+    # A set has .3 n + n / 12 rows.
+    rows = 0.4 * (own.agg(F.sum("n")).first()[0] or 0)
+    tasks = max(spark.sparkContext.defaultParallelism, math.ceil(rows / TASK_ROWS))
     signatures = docs.mapInArrow(_signatures(sketch, x), "key bigint, cid bigint, at bigint")
     pairs = save(
-        signatures.repartition(shuffle_parts(spark), "key")
+        signatures.repartition(tasks, "key")
         .sortWithinPartitions("key", "at", "cid")
         .mapInArrow(_pairs(x), "a bigint, b bigint, an int, bn int, shared int")
         .groupBy("a", "b", "an", "bn")
