@@ -99,3 +99,11 @@ def test_expressions(spark):
         E.table_score(F.lit(1.0), F.lit(1.0), F.lit(0.5)).alias("q"),
     ).first()
     assert (row["n"], row["x"], row["c"], row["t"], row["s"], row["e"], row["o"], row["p"], row["q"]) == (-1200.5, None, True, "a_b", True, 0.25, 1.0, 0.0, 0.8)
+
+
+def test_command_line(spark, folder, capsys):
+    from quire.__main__ import main
+
+    assert main(["info", folder]) == 0 and main(["extract", folder, "--format", "tsv", "--preset", "fast", "--pages", "1"]) == 0
+    out = capsys.readouterr().out
+    assert "pages 2" in out and "a\tb c" in out and "not_pdf" in out
