@@ -7,11 +7,12 @@ phrase. Phrases overlap, so each window lies whole in exactly one, and none is
 a prefix of another's windows: equal windows are found among phrases of equal
 trigger, wherever they stand.
 
-1. Triggers are counted: per slice of texts and bucket a packed list of 32-bit
-   rests, then a bitmap of FILTER_BITS over all (fixed size) of those in more
-   than one document. A false hit costs a row, never a match.
-2. Phrases whose trigger is in the bitmap are sent to their trigger. Of phrases
-   that a slice repeats, the bytes go once.
+1. A window holds SIDE bytes before its trigger or SIDE bytes after it, so the
+   trigger with either side is counted: per slice of texts and bucket a packed
+   list of 32-bit rests, then a bitmap of FILTER_BITS over all (fixed size) of
+   those in more than one document. A false hit costs a row, never a match.
+2. Phrases, cut to the windows of the sides in the bitmap, are sent to their
+   trigger. Of phrases that a slice repeats, the bytes go once.
 3. Per trigger, in doc_id order, the windows (suffixes of the phrase dictionary,
    cut at 50 bytes and ordered by hash) get the smallest doc_id they start in; a
    window is covered if that is smaller than its own.
@@ -40,13 +41,14 @@ from . import words as W
 from .common import row_key, saver, shuffle_parts
 
 WINDOW, GRAM = 50, 20
+SIDE = (WINDOW - GRAM) // 2
 FILTER_BITS = 1 << 27
 LEAST = -(1 << 63)
 _PIECE = 8 << 20
 
 
 def _triggers(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple]:
-    """Of the phrases of a slice: (batch, bytes, prefix sums, row, place in its text, place in the bytes, windows, trigger hash)."""
+    """Of the phrases of a slice: (batch, bytes, prefix sums, row, place in its text, place in the bytes, windows, place of the trigger, its hash)."""
     for b in batches:
         data, offsets = W.raw(b.column(column))
         for lo, hi in W.slices(offsets):
@@ -74,14 +76,27 @@ def _triggers(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple]
                 count = np.diff(np.r_[start, n])
                 use = inside[start]
                 start, count = start[use], count[use]
-                yield b, d, sums, row[start], at + start - offsets[row[start]], start, count, h[place[start]]
+                yield b, d, sums, row[start], at + start - offsets[row[start]], start, count, place[start], h[place[start]]
+
+
+def _sides(d: np.ndarray, sums: np.ndarray, start: np.ndarray, count: np.ndarray, gram: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(phrases that have windows with it, its hash there) of the side before the trigger and of that after it."""
+    _, down = W._power(len(d) + 1)
+    middle = gram - SIDE
+    before, after = np.flatnonzero(start <= middle), np.flatnonzero(start + count - 1 >= middle)
+    a, b = gram[before], gram[after]
+    left = W.mix((sums[a + GRAM] - sums[a - SIDE]) * down[a - SIDE] + np.uint64(1))
+    right = W.mix((sums[b + GRAM + SIDE] - sums[b]) * down[b] + np.uint64(2))
+    return [(before, left), (after, right)]
 
 
 def _count(buckets: int) -> Callable:
     shift = np.uint64(64 - buckets.bit_length() + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, _, row, _, _, _, h in _triggers(batches, "text"):
+        for _, d, sums, row, _, start, count, gram, _ in _triggers(batches, "text"):
+            (before, left), (after, right) = _sides(d, sums, start, count, gram)
+            h, row = np.concatenate([left, right]), np.concatenate([row[before], row[after]])
             # A hash twice: it is in two documents of the slice.
             order = np.lexsort((row, h))
             h, row = h[order], row[order]
@@ -115,11 +130,20 @@ def _phrases(hits: np.ndarray) -> Callable:
     shift = np.uint64(64 - FILTER_BITS.bit_length() + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, d, sums, row, pos, start, count, h in _triggers(batches, "text"):
-            cell = (h >> shift).astype(np.int64)
-            use = np.flatnonzero((hits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1)
+        for b, d, sums, row, pos, start, count, gram, h in _triggers(batches, "text"):
+            hit = []
+            for where, side in _sides(d, sums, start, count, gram):
+                cell = (side >> shift).astype(np.int64)
+                own = np.zeros(len(h), bool)
+                own[where] = (hits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1
+                hit.append(own)
+            use = np.flatnonzero(hit[0] | hit[1])
             if not len(use):
                 continue
+            # Windows of a side that no other document has are left out.
+            first = np.where(hit[0], start, np.maximum(start, gram - SIDE))
+            last = np.where(hit[1], start + count - 1, np.minimum(start + count - 1, gram - SIDE))
+            pos, start, count = pos + first - start, first, last - first + 1
             row, pos, start, count, h = row[use], pos[use], start[use], count[use], h[use]
             doc = b.column("doc").to_numpy()[row]
             key = b.column("key").to_numpy()[row]
