@@ -140,6 +140,7 @@ class Encoder:
             for i, some in extra.items():
                 out[bounds[i] : bounds[i] + len(some)] = some
             yield Ids(lo, hi, out, bounds)
+        W.trim()
 
     def _slots(self, d: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         n = len(d)

@@ -9,13 +9,14 @@ about SLICE bytes, so memory follows the slice or the longest text, not the batc
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
-SLICE = 3 << 20
+SLICE = 3 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _TABLE = np.random.default_rng(20240601).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -91,6 +92,15 @@ class Words:
         return np.searchsorted(self.doc, np.arange(self.hi - self.lo + 1))
 
 
+def trim() -> None:
+    """Gives freed memory back to the system: a worker stays for the stages after its own."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def words(column: pa.Array, lower: bool = True, breaks: np.ndarray = _SPACE) -> Iterator[Words]:
     data, offsets = raw(column)
     for lo, hi in slices(offsets):
@@ -114,6 +124,7 @@ def words(column: pa.Array, lower: bool = True, breaks: np.ndarray = _SPACE) ->
         h = mix((sums[end] - sums[start]) * down[start])
         doc = np.searchsorted(o, start, side="right") - 1
         yield Words(lo, hi, d, o, h, doc, start, end)
+    trim()
 
 
 def terms(w: Words) -> tuple[np.ndarray, np.ndarray]:
