@@ -280,6 +280,7 @@ def test_decontamination_is_exact(spark, docs, none):
             shared = len(own & {tuple(v[k : k + n]) for k in range(len(v) - n + 1)})
             if own and shared >= -(-len(own) // 2):
                 want[(d, i, len(own), shared)] += 1
+                hit.add((d, x))
     got = Counter((r["doc_id"], r["item_id"], r["n_shingles"], r["shared"]) for r in decontaminate.contaminated(docs, bench).collect())
     assert got == want and want
     clean = decontaminate.decontaminate(docs, bench)
