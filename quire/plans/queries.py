@@ -50,10 +50,16 @@ SELECT CAST(o_custkey AS VARCHAR) AS doc_id, CAST(o_orderkey AS VARCHAR) AS k, o
 """
 
 
-def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _all_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer's orders."""
     o = table(spark, sf_dir, "orders")
     columns = [F.col("o_orderkey"), F.col("o_orderstatus"), F.format_string("%.2f", "o_totalprice"), F.col("o_orderpriority")]
-    return spread(render.collected(o, F.col("o_custkey"), ["o_orderkey"], columns).where(F.size("rows") >= 4))
+    return spread(render.collected(o, F.col("o_custkey"), ["o_orderkey"], columns))
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of the customers with four or more, as the SQL of the queries over them says."""
+    return _all_orders(spark, sf_dir).where(F.size("rows") >= 4)
 
 
 def _cells_sql(least: int) -> str:
@@ -71,7 +77,7 @@ def _cells(found: DataFrame) -> DataFrame:
 
 @query(_cells_sql(1))
 def rt_lattice_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ruled tables of every customer's orders."""
+    """Ruled tables of the orders of customers with four or more; ``rt_lattice_all_cells`` has every customer."""
     return _cells(T.tables(render.grids(_orders(spark, sf_dir)), preset("lattice_only")))
 
 
@@ -99,6 +105,48 @@ def rt_network_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cells(T.tables(render.grids(_orders(spark, sf_dir), style="borderless"), preset("fast")))
 
 
+def _all_cells_sql(least: int) -> str:
+    """Cells of every customer's pages of at least so many rows: the least that the detector takes for a table."""
+    per = render.PER_PAGE
+    return f"""
+    SELECT doc_id, CAST(rn // {per} AS INTEGER) AS page, CAST(rn % {per} AS INTEGER) AS "row", CAST(c AS INTEGER) AS col, [k, s, p, r][c + 1] AS text
+    FROM (SELECT *, unnest([0, 1, 2, 3]) AS c, CASE WHEN rn < n - n % {per} THEN {per} ELSE n % {per} END AS height FROM ({_ORDERS})) WHERE height >= {least}
+    """
+
+
+@query(_all_cells_sql(1))
+def rt_lattice_all_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ruled tables of every customer's orders, of one row on."""
+    return _cells(T.tables(render.grids(_all_orders(spark, sf_dir)), preset("lattice_only")))
+
+
+@query(_all_cells_sql(1))
+def rt_filled_all_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with lines drawn as thin filled boxes."""
+    return _cells(T.tables(render.grids(_all_orders(spark, sf_dir), style="filled"), preset("lattice_only")))
+
+
+@query(_all_cells_sql(2))
+def rt_painted_all_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with lines that are only painted in an image, of which a grid needs three each way."""
+    return _cells(T.tables(render.grids(_all_orders(spark, sf_dir), style="painted"), preset("lattice_only")))
+
+
+@query(f"""
+WITH o AS (SELECT *, rn // {render.PER_PAGE} AS page, CASE WHEN rn < n - n % {render.PER_PAGE} THEN {render.PER_PAGE} ELSE n % {render.PER_PAGE} END AS height, unnest([0, 1, 2, 3]) AS c FROM ({_ORDERS}))
+SELECT doc_id, CAST(page AS INTEGER) AS page, CAST(CASE WHEN height = 2 THEN 0 ELSE rn % {render.PER_PAGE} END AS INTEGER) AS "row", CAST(c AS INTEGER) AS col, string_agg([k, s, p, r][c + 1], ' ' ORDER BY rn) AS text FROM o GROUP BY 1, 2, 3, 4
+""")
+def rt_column_ruled_all_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with lines between columns only: rows are split by text from three lines on, so two stay one row of two lines."""
+    return _cells(T.tables(render.grids(_all_orders(spark, sf_dir), style="columns"), preset("lattice_only")))
+
+
+@query(_all_cells_sql(3))
+def rt_network_all_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same without lines, where a table takes three lines of text."""
+    return _cells(T.tables(render.grids(_all_orders(spark, sf_dir), style="borderless"), preset("fast")))
+
+
 _SUPPLIERS = "SELECT CAST(s_nationkey AS VARCHAR) AS doc_id, s_suppkey, s_name, printf('%.2f', s_acctbal) AS b, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS rn FROM supplier"
 
 
