@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .content import interpret
 from .objects import Document, Limits, PdfError
-from .raster import image_rules
+from .raster import image_rules, merged
 
 RUN = "struct<page:int,ord:int,text:string,x0:double,y0:double,x1:double,y1:double,font_name:string,font_size:double,mapping_confidence:double,metrics_confidence:double,invisible:boolean,in_form:boolean>"
 RULE = "struct<page:int,ord:int,x0:double,y0:double,x1:double,y1:double,source:string>"
@@ -28,8 +28,6 @@ SCHEMA = (
     f"placements array<{PLACEMENT}>, images array<{IMAGE}>, links array<struct<page:int,uri:string>>, fields array<struct<ord:int,name:string,value:string>>, outline array<string>, "
     "warnings array<struct<page:int,message:string>>"
 )
-#: With so many drawn lines a page's images aren't searched for painted ones.
-VECTOR_RICH = 8
 PARTS = ("runs", "rules", "objects")
 
 
@@ -64,8 +62,8 @@ def read(doc_id: str, content: bytes | None, limits: Limits, parts: frozenset) -
             lists["pages"].append({"page": k, **dict(zip(("x0", "y0", "x1", "y1"), box)), "crop": list(p["crop_box"]) if p["crop_box"] else None, "rotate": p["rotate"]})
             if parts & {"runs", "rules"}:
                 found = interpret(doc, p)
-                if "rules" in parts and found.placements and sum(r[4] != "fill" or r[2] - r[0] > 5 for r in found.rules) < VECTOR_RICH:
-                    found.rules += [r for n, m in found.placements for r in image_rules(doc, p["resources"], n, m)]
+                if "rules" in parts and found.placements:
+                    found.rules = merged(found.rules, [r for n, m in found.placements for r in image_rules(doc, p["resources"], n, m)])
                 lists["runs"] += [{"page": k, "ord": i, **_turned(r, box, p["rotate"])} for i, r in enumerate(found.runs)]
                 lists["rules"] += [dict(zip(("page", "ord", "x0", "y0", "x1", "y1", "source"), (k, i, *_turned(r, box, p["rotate"])))) for i, r in enumerate(found.rules)]
                 lists["placements"] += [{"page": k, "ord": i, "name": n, "ctm": [float(v) for v in m]} for i, (n, m) in enumerate(found.placements)]

@@ -10,6 +10,8 @@ from .objects import Document, PdfError, Stream
 DARK_MEAN, RADIUS, BIAS = 90, 6, 12
 KERNEL_SHARE, KERNEL_LEAST, KERNEL_MOST = 35, 15, 80
 LEAST_SIDE, GAP, LEAST_JOINTS = 40, 4, 6
+#: Points within which a painted line is a drawn one again.
+SNAP = 2.0
 
 
 def grey(doc: Document, image: Stream) -> np.ndarray | None:
@@ -105,3 +107,26 @@ def image_rules(doc: Document, resources, name: str, ctm: Matrix) -> list[tuple[
         (x0, y0), (x1, y1) = apply(ctm, a[0] / wide, 1 - a[1] / high), apply(ctm, b[0] / wide, 1 - b[1] / high)
         out.append((min(x0, x1), min(y0, y1), max(x0, x1), max(y0, y1), "raster"))
     return out
+
+
+def merged(drawn: list[tuple], painted: list[tuple]) -> list[tuple]:
+    """Drawn rules and the painted ones that none before covers within SNAP; one that reaches further stays, as lines are joined later."""
+    out, lines = list(drawn), {}
+
+    def parts(r: tuple) -> tuple[bool, float, float, float]:
+        return (True, (r[1] + r[3]) / 2, r[0], r[2]) if r[2] - r[0] >= r[3] - r[1] else (False, (r[0] + r[2]) / 2, r[1], r[3])
+
+    def keep(r: tuple) -> None:
+        flat, at, a, b = parts(r)
+        if min(r[2] - r[0], r[3] - r[1]) <= SNAP:
+            lines.setdefault((flat, int(at // SNAP)), []).append((at, a, b))
+
+    for r in drawn:
+        keep(r)
+    for r in painted:
+        flat, at, a, b = parts(r)
+        near = [x for k in (-1, 0, 1) for x in lines.get((flat, int(at // SNAP) + k), ())]
+        if not any(abs(x - at) <= SNAP and c - SNAP <= a and b <= d + SNAP for x, c, d in near):
+            out.append(r)
+            keep(r)
+    return out

@@ -12,6 +12,7 @@ from quire.sources import fonts
 from quire.sources.content import interpret
 from quire.sources.objects import END, Document, Keyword, Lexer, Limits, Name, PdfError, Ref, Stream
 from quire.sources.pdf import PARTS, read
+from quire.sources.raster import merged
 from quire.sources.writer import Page, document, table
 
 ROWS = [["Key", "A", "B", "C"]] + [[f"k{i}", str(i), str(i * 10), f"{i * 1.5:.2f}"] for i in range(6)]
@@ -230,6 +231,26 @@ def test_missing_row_lines_and_painted_lines():
         assert grid(t) == ROWS and ("densified" in t["notes"]) == (style == "columns")
 
 
+def test_a_painted_table_beside_drawn_lines():
+    p = Page()
+    table(p, ROWS, XS)
+    table(p, [["P", *r[1:]] for r in ROWS], XS, top=400, style="painted")
+    assert [(t["method"], grid(t)) for t in detect(p, "lattice_only")] == [("lattice", ROWS), ("lattice", [["P", *r[1:]] for r in ROWS])]
+    # A grid that is drawn and painted has its lines once.
+    q = Page()
+    table(q, ROWS, XS)
+    drawn = len(one(q)["rules"])
+    table(q, ROWS, XS, style="painted")
+    assert len(one(q)["rules"]) == drawn and [grid(t)[0][1] for t in detect(q, "lattice_only")] == ["A A"]
+
+
+def test_merged_rules():
+    drawn = [(0, 10, 100, 10, "stroke"), (50, 0, 50, 40, "stroke")]
+    again, longer, other = (1, 11, 99, 11, "raster"), (0, 10, 150, 10, "raster"), (50, 10, 80, 10.5, "raster")
+    assert merged(drawn, [again, longer, longer, other]) == [*drawn, longer]
+    assert merged([], [again, again]) == [again] and merged(drawn, [(10, 14, 40, 14, "raster")]) == [*drawn, (10, 14, 40, 14, "raster")]
+
+
 def test_glued_rows():
     p = Page()
     table(p, [[f"row {chr(97 + i)}", str(1000 + i), f"{i}.5", "7"] for i in range(8)], XS, style="glued")
