@@ -1,18 +1,22 @@
-"""Operator 2: main text of web pages, with a suffix array over each host's pages.
+"""Operator 2: main text of web pages, with repeated runs of tokens over each host's pages.
 
 A page is read into blocks. Blocks inside elements that say what they are
 (nav, header, footer, aside, form, script, style, adverts, notices, reader
 comments) go. Where a page marks its article (article, main, role=main) its
-blocks are the text. Blocks that nothing marks are decided by the host: its
-pages' unmarked token streams are concatenated and searched for strings of
-RUN tokens or more that occur on distinct pages; what such strings cover is
-boilerplate, and the unique runs stay.
+blocks are the text. Blocks that nothing marks are decided by the host: what
+strings of RUN tokens that occur in SEVERAL different token streams of its
+unmarked pages cover is boilerplate, and the rest stays.
 
-The suffix array of a host is distributed by the heads of its suffixes: a row
-per suffix, keyed by host and RUN-token head, so that the suffixes that share a
-head, neighbours in the array whose common prefix reaches RUN, meet in one
-group. Only the smallest and largest page of a group are needed, which is
-combined map-side; a host with a third of all pages is no hot group.
+Streams are counted, not pages: copies of a page have one stream, and streams
+whose sets of 3-token shingles are alike by NEAR count as one (a print version,
+another date). They are found by SEEDS minima of their shingles' hashes: of the
+streams of a host that share one, each is compared with the first, so a host
+with a third of all pages costs no pairs; near copies that share no minimum with
+a like first stream count as two. What fewer streams share, such as a quotation
+or the boilerplate of a host of two pages, stays.
+
+There is no suffix array: a row per suffix, keyed by host and the hash of its
+RUN-token head, brings the suffixes that share a head together.
 
 Defined cases: null html and empty html give an empty text; a null url has the
 host ""; a page cut off inside a tag loses that tag; unclosed elements end with
@@ -27,12 +31,16 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import row_key
 
 RUN = 8
+#: Different streams of a host that make a string boilerplate: an article and a page that quotes it are two.
+SEVERAL = 3
+SHINGLE, SEEDS, SKETCH, NEAR = 3, 8, 64, 0.8
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<(script|style|noscript|template|svg|iframe|textarea|select|object|canvas)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)"
@@ -157,31 +165,51 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/@]*@)?([^/:?#]+)", 1), F.lit("")))
 
 
+def _hashes(tokens: str, n: int) -> Column:
+    """Hashes of the runs of n tokens."""
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.size(tokens) - n, F.lit(0))), lambda i: F.xxhash64(*[F.get(tokens, i + j) for j in range(n)]))
+
+
+def near_streams(streams: DataFrame) -> DataFrame:
+    """(host, _stream, _group) of (host, _stream, t): streams of a host that are nearly alike share a group where they share a first stream."""
+    sets = streams.select("host", "_stream", F.array_distinct(_hashes("t", SHINGLE)).alias("s"))
+    seeds = F.array(*[F.struct(F.lit(k).alias("k"), F.array_min(F.transform("s", lambda x, k=k: F.xxhash64(x, F.lit(k)))).alias("m")) for k in range(SEEDS)])
+    rows = sets.select("host", "_stream", F.slice(F.array_sort("s"), 1, SKETCH).alias("s"), F.inline(seeds))
+    first = rows.groupBy("host", "k", "m").agg(F.min(F.struct("_stream", "s")).alias("f"))
+    both = F.slice(F.array_sort(F.array_union("s", "f.s")), 1, SKETCH)
+    alike = F.size(F.array_intersect(F.array_intersect("s", "f.s"), both)) >= F.lit(NEAR) * F.size(both)
+    return rows.join(first, ["host", "k", "m"]).groupBy("host", "_stream").agg(F.min(F.when(alike, F.col("f._stream")).otherwise(F.col("_stream"))).alias("_group"))
+
+
 def repeated_positions(unmarked: DataFrame, run: int = RUN) -> DataFrame:
-    """(_key, _covered): token positions that strings of ``run`` tokens repeated on distinct pages of the host cover."""
+    """(_key, _covered): token positions that strings of ``run`` tokens of SEVERAL different streams of the host cover."""
     tokens = F.split(F.array_join("_blocks", " "), " ")
-    heads = (
-        unmarked.select("_key", host_of(F.col("url")).alias("host"), tokens.alias("t"))
-        .where(F.size("t") >= run)
-        .select(
-            "_key",
-            "host",
-            F.posexplode(F.transform(F.sequence(F.lit(0), F.size("t") - run), lambda i: F.xxhash64(*[F.get("t", i + j) for j in range(run)]))).alias("pos", "h"),
-        )
+    pages = unmarked.select("_key", host_of(F.col("url")).alias("host"), tokens.alias("t")).where(F.size("t") >= run).withColumn("_stream", F.xxhash64("t"))
+    streams = pages.groupBy("host", "_stream").agg(F.first("t").alias("t"))
+    heads = streams.select("host", "_stream", F.posexplode(_hashes("t", run)).alias("pos", "h"))
+    repeated = (
+        heads.join(near_streams(streams), ["host", "_stream"])
+        .select("host", "h", "_group")
+        .distinct()
+        .groupBy("host", "h")
+        .count()
+        .where(F.col("count") >= SEVERAL)
+        .select("host", "h")
     )
-    repeated = heads.groupBy("host", "h").agg(F.min("_key").alias("a"), F.max("_key").alias("b")).where("a <> b").select("host", "h")
-    return (
+    covered = (
         heads.join(repeated, ["host", "h"])
-        .select("_key", F.explode(F.sequence(F.col("pos"), F.col("pos") + run - 1)).alias("n"))
-        .groupBy("_key")
+        .select("host", "_stream", F.explode(F.sequence(F.col("pos"), F.col("pos") + run - 1)).alias("n"))
+        .groupBy("host", "_stream")
         .agg(F.collect_set("n").alias("_covered"))
     )
+    return pages.select("_key", "host", "_stream").distinct().join(covered, ["host", "_stream"]).select("_key", "_covered")
 
 
 def extract(pages: DataFrame, run: int = RUN) -> DataFrame:
     """page_id, url, text, n_chars, in_article (whether the page marks its article), n_blocks."""
     parsed = _parsed(pages)
-    marked, unmarked = parsed.where("_marked"), parsed.where("not _marked")
+    # Unmarked pages are read several times: kept on disk, as parsing costs more.
+    marked, unmarked = parsed.where("_marked"), parsed.where("not _marked").persist(StorageLevel.DISK_ONLY)
     rest = unmarked.join(repeated_positions(unmarked, run), "_key", "left")
     # Per block its tokens that no repeated string covers; a block without any goes.
     start = F.aggregate("_blocks", F.array(F.lit(0)), lambda s, b: F.concat(s, F.array(F.element_at(s, -1) + F.size(F.split(b, " ")))))

@@ -126,6 +126,23 @@ def test_html_unmarked_boilerplate_goes_by_host(spark):
     assert got[9] == common + "\n\n" + own[5]
 
 
+def test_html_copies_and_quotations_stay(spark):
+    rng = random.Random(3)
+    own = [" ".join(f"w{k}{rng.randrange(9**6)}" for _ in range(60)) for k in range(8)]
+    near = " ".join([*own[3].split()[:30], "printed", *own[3].split()[31:]])
+    menu = " ".join(f"m{i}" for i in range(12))
+    rows = [
+        (0, "http://a/x", f"<p>{own[0]}</p>"), (1, "http://a/x#top", f"<p>{own[0]}</p>"), (2, "http://a/y", f"<div>{own[0]}</div>"),
+        (3, "http://b/x", f"<p>{own[1]}</p>"), (4, "http://b/", f"<p>{' '.join(own[1].split()[:20])}</p><p>{own[2]}</p>"),
+        (5, "http://c/x", f"<p>{own[3]}</p>"), (6, "http://c/x?print", f"<p>{near}</p>"), (7, "http://c/", f"<p>{' '.join(own[3].split()[:20])}</p><p>{own[4]}</p>"),
+        *[(8 + k, f"http://d/{k}", f"<div>{menu}</div><p>{own[5 + k % 3]}</p>") for k in range(4)],
+    ]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert [got[k] for k in range(7)] == [own[0], own[0], own[0], own[1], " ".join(own[1].split()[:20]) + "\n\n" + own[2], own[3], near]
+    assert got[7] == " ".join(own[3].split()[:20]) + "\n\n" + own[4]
+    assert [got[8 + k] for k in range(4)] == [own[5], own[6], own[7], own[5]]
+
+
 # 3
 
 
