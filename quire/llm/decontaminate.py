@@ -1,12 +1,14 @@
-"""Operator 6: benchmark decontamination by size-partitioned MinHash containment search.
+"""Operator 6: benchmark decontamination by an exact join of shingles, in place of a MinHash containment search.
 
 A test item is the set of the n-word shingles of its lower-cased words (letters
-and digits). Items are partitioned by size; each partition fixes how long the
-MinHash sketch of its items is: the s smallest hashes with s = n - ceil(t n) + 1.
-A document that holds the share t of an item misses at most n - ceil(t n)
-shingles, so it must hold one of those s: the search has no false negative at
-any document length, where sampled banding would lose short items in long
-documents. Candidates are verified by the exact count of shared shingles.
+and digits). All shingles of all items are joined with the documents' and the
+shared ones counted, so no pair is missed at any document length, where sampled
+banding would lose short items in long documents.
+
+The s smallest hashes of an item, s = n - ceil(t n) + 1, are marked (in_sketch):
+a document that holds the share t misses at most n - ceil(t n) shingles, so it
+holds one of those s. The test for it therefore drops nothing that the count
+keeps; it generates no candidates, and size_class is an output column only.
 
 The documents are only scanned: their shingles meet the items' by a broadcast
 join while the items' shingles are few (counted first, MAX_BROADCAST_ROWS), and
