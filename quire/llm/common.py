@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import itertools
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,11 +35,26 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def free_name(taken: Iterable[str], name: str) -> str:
+    """``name``, or with underscores after it where a column of the input has it; Spark's names differ by more than case."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a local one only where none is set (tests)."""
+    """The shared folder that spark.checkpoint.dir names.
+
+    Without the setting, a session on one machine (master ``local``, as in tests)
+    gets a folder of its own; on a cluster its executors couldn't see each
+    other's files there, so that is an error.
+    """
     sc = spark.sparkContext
     said = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not said:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         said = tempfile.mkdtemp(prefix="quire-")
@@ -48,18 +64,48 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return said
 
 
-def saver(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
-    """A function that writes a DataFrame to the shared checkpoint folder and reads it back.
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    except Exception:  # noqa: BLE001 - the session has ended; its folder goes with it
+        pass
+
+
+#: Folders of savers whose session still runs, for the end of the program.
+_left: dict[str, SparkSession] = {}
+
 
-    This cuts lineage in a form that outlives executors. The files belong to the
-    query: the DataFrame it returns still reads them, so they go with the folder.
+@atexit.register
+def _remove_left() -> None:
+    for path, spark in list(_left.items()):
+        _remove(spark, path)
+
+
+class Saver:
+    """Writes DataFrames to the shared checkpoint folder and reads them back.
+
+    This cuts lineage in a form that outlives executors. ``drop`` removes what no
+    later step reads; what a result still reads goes at the end of the program.
     """
-    base = f"{checkpoint_dir(spark)}/quire-{uuid.uuid4().hex}"
-    count = itertools.count()
 
-    def save(df: DataFrame) -> DataFrame:
-        path = f"{base}/{next(count)}"
+    def __init__(self, spark: SparkSession):
+        self.spark, self.base, self.count = spark, f"{checkpoint_dir(spark)}/quire-{uuid.uuid4().hex}", itertools.count()
+        self.paths: dict[int, str] = {}
+        _left[self.base] = spark
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        path = f"{self.base}/{next(self.count)}"
         df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
+        saved = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(saved)] = path
+        return saved
+
+    def drop(self, *saved: DataFrame) -> None:
+        for df in saved:
+            _remove(self.spark, self.paths.pop(id(df)))
+
 
-    return save
+def saver(spark: SparkSession) -> Saver:
+    return Saver(spark)

@@ -9,9 +9,11 @@ are joined by enumerating the subsets of a fixed size that a link must share.
 Heavy sets are joined by scanning inverted lists: with every set in the same
 order, rarest shingle first, a link shares k shingles among the first
 n - ceil(.7 n) + k of the larger and the first n - ceil(1.4 n / 1.7) + k of the
-smaller set; k is a twelfth of the smaller set. The order comes from a count sketch of fixed size (SKETCH cells)
-over all documents; a collision costs time, never a link. Lists longer than HOT
-by the sketch are split into pairs of blocks, so no list lies in one task.
+smaller set; k is a twelfth of the smaller set. The order comes from a count
+sketch of fixed size (SKETCH cells) over all documents; a collision costs time,
+never a link. A shingle whose cell exceeds the mean cell by HOT, or by four
+times the mean where that is more, has its list split into pairs of blocks, so
+no list lies in one task; at any size of the input few cells do.
 
 Candidates are verified exactly. They are routed by the smallest class they
 meet, so a family's sets are fetched once, not once a pair; families are cut
@@ -23,7 +25,11 @@ Defined cases: a null text counts as empty; a document without words has no
 shingle, no link and itself as component; with fewer words than a shingle the
 whole sequence is the one shingle; repeated rows are documents of their own and
 link; a null doc_id is counted but never names a component of others; an empty
-table gives an empty result. Sets and shingles are compared by 64-bit hashes.
+table gives an empty result. A very long text is read whole, alone in its slice;
+its set travels as one value, so it has to stay under 2 GB (250 million
+shingles). ``jaccard_join`` reads doc_id and text alone, so other columns may
+have any name; ``keep_first`` returns all columns as they are. Sets and shingles
+are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -39,13 +45,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saver
+from .common import Saver, saver
 from .sketch import sum_parts, to_parts
-from .words import mix, shingles, words
+from .words import mix, shingles, trim, words
 
 PERCENT, SHINGLE = 70, 3
 SKETCH = 1 << 22
 HOT = 20_000
+#: Rows of sorted signatures, and pairs found in them, that a worker holds at once; classes it remembers.
+WINDOW, FOUND, SEEN = 250_000, 400_000, 250_000
 BLOCK = 1_000_000
 #: Signature rows of a task: the fewer tasks a pair's shingles spread over, the fewer rows count them.
 TASK_ROWS = 3_000_000
@@ -82,7 +90,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per document (doc_id, cid, n), and per task its part of the sketch."""
     sketch = np.zeros(SKETCH, np.uint32)
     for b, lo, h, bounds, cid in _sets(batches):
-        sketch += np.bincount((h & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
+        np.add.at(sketch, (h & np.uint64(SKETCH - 1)).astype(np.int64), np.uint32(1))
         k = len(cid)
         yield pa.record_batch(
             {"doc_id": b.column("doc_id").slice(lo, k).cast(pa.int64()), "cid": pa.array(cid), "n": pa.array(np.diff(bounds).astype(np.int32)), "chunk": pa.nulls(k, pa.int32()), "part": pa.nulls(k, pa.binary())}
@@ -106,7 +114,8 @@ def light_boundary(histogram: dict[int, int], mean_list: float) -> int:
 
 def _signatures(sketch: np.ndarray, x: int) -> Callable:
     """Signature rows: key, side, cid, n, pos (-1: a subset)."""
-    hot = sketch > HOT
+    block = int(max(HOT, 4 * sketch.mean()))
+    floor = int(sketch.mean())
 
     def of(h: np.ndarray, cid: int) -> list[tuple]:
         n, out = len(h), []
@@ -121,8 +130,8 @@ def _signatures(sketch: np.ndarray, x: int) -> Callable:
             order = np.lexsort((h, load))[: n - -(-PERCENT * n // 100) + int(shared_needed(n))]
             for pos, k in enumerate(order):
                 key = int(h[k])
-                if hot[key & SKETCH - 1]:
-                    blocks = int(load[k]) // HOT + 1
+                if load[k] > floor + block:
+                    blocks = (int(load[k]) - floor) // block + 1
                     own = int(cid) % blocks
                     for other in range(blocks):
                         a, b = min(own, other), max(own, other)
@@ -140,12 +149,12 @@ def _signatures(sketch: np.ndarray, x: int) -> Callable:
                 if size[i] and c not in seen:
                     first[i] = True
                     seen.add(c)
-            if len(seen) > 1_000_000:
+            if len(seen) > SEEN:
                 seen.clear()
             load = sketch[(h & np.uint64(SKETCH - 1)).astype(np.int64)]
             doc = np.repeat(np.arange(len(cids)), size)
             is_hot = np.zeros(len(cids), bool)
-            is_hot[doc[load > HOT]] = True
+            is_hot[doc[load > floor + block]] = True
             plain = first & ~is_hot & (size > MAX_LIGHT)
             # Most documents: no hot shingle, no small set. One sort by (document, load, hash) for all.
             use = plain[doc]
@@ -185,7 +194,10 @@ def _counted(p: np.ndarray) -> np.ndarray:
 def _pairs(x: int) -> Callable:
     """Pairs (a, b, an, bn, shared), the smaller set first, from rows sorted by key, size and class."""
 
-    def among(key, cid, at) -> pa.RecordBatch | None:
+    def made(p: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch({"a": pa.array(p[0]), "b": pa.array(p[1]), "an": pa.array(p[2].astype(np.int32)), "bn": pa.array(p[3].astype(np.int32)), "shared": pa.array(p[4].astype(np.int32))})
+
+    def among(key, cid, at) -> Iterator[pa.RecordBatch]:
         once = np.r_[True, (key[1:] != key[:-1]) | (cid[1:] != cid[:-1])]  # copies read by several tasks
         key, cid, at = key[once], cid[once], at[once]
         n, pos, side = at >> 32, ((at >> 2) & ((1 << 30) - 1)) - 1, (at & 3) - 1
@@ -208,31 +220,34 @@ def _pairs(x: int) -> Callable:
                 a, b = np.where(turn, b, a), np.where(turn, a, b)
                 found.append(np.stack([cid[a], cid[b], n[a], n[b], np.ones(len(a), np.int64)]))
                 waiting += len(a)
-                if waiting > 2_000_000:
-                    found, waiting = [_counted(np.concatenate(found, 1))], 0
+                if waiting > FOUND:
+                    found = [_counted(np.concatenate(found, 1))]
+                    waiting = found[0].shape[1]
+                    if waiting > FOUND // 2:  # the sum of a pair's counts is taken after the shuffle
+                        yield made(found[0])
+                        found, waiting = [], 0
             step += 1
             live = live[left[live] >= step]
-        if not found:
-            return None
-        p = _counted(np.concatenate(found, 1))
-        return pa.record_batch({"a": pa.array(p[0]), "b": pa.array(p[1]), "an": pa.array(p[2].astype(np.int32)), "bn": pa.array(p[3].astype(np.int32)), "shared": pa.array(p[4].astype(np.int32))})
+        if found:
+            yield made(_counted(np.concatenate(found, 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = [np.zeros(0, np.int64)] * 3
         held: list[list[np.ndarray]] = []
         for b in batches:
             held.append([b.column(i).to_numpy() for i in range(3)])
-            if sum(len(p[0]) for p in held) < 1_000_000:
+            if sum(len(p[0]) for p in held) < WINDOW:
                 continue
             rows = [np.concatenate([r, *(p[i] for p in held)]) for i, r in enumerate(rest)]
             held = []
             cut = int(np.searchsorted(rows[0], rows[0][-1]))  # the last key may go on
             rest = [r[cut:] for r in rows]
-            if cut and (out := among(*[r[:cut] for r in rows])):
-                yield out
+            if cut:
+                yield from among(*[r[:cut] for r in rows])
         rows = [np.concatenate([r, *(p[i] for p in held)]) for i, r in enumerate(rest)]
-        if len(rows[0]) and (out := among(*rows)):
-            yield out
+        if len(rows[0]):
+            yield from among(*rows)
+        trim()
 
     return run
 
@@ -246,7 +261,7 @@ def _wanted_sets(bits: np.ndarray) -> Callable:
             place = cids.view(np.uint64) & mask
             hit = (bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1
             use = [i for i in np.flatnonzero(hit) if bounds[i + 1] > bounds[i] and cids[i] not in seen and not seen.add(cids[i])]
-            if len(seen) > 1_000_000:
+            if len(seen) > SEEN:
                 seen.clear()
             yield pa.record_batch({"cid": pa.array(cids[use]), "s": pa.array([h[bounds[i] : bounds[i + 1]].tobytes() for i in use], pa.binary())})
 
@@ -313,7 +328,7 @@ def _verify(keys, pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"cid": cid[use], "n_linked": linked[use], "root": cid[[find(i) for i in use]]}) if len(use) else none
 
 
-def components(edges: DataFrame, save: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def components(edges: DataFrame, save: Saver) -> DataFrame:
     """(v, label) of the nodes of undirected edges (u, v): alternating large and small stars until nothing changes."""
     e = save(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     before = None
@@ -323,7 +338,8 @@ def components(edges: DataFrame, save: Callable[[DataFrame], DataFrame]) -> Data
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v")))
-        e = save(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        last, e = e, save(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        save.drop(last)
         now = tuple(e.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first())
         if now == before:
             return e.select(F.col("u").alias("v"), F.col("v").alias("label")).unionByName(e.select("v", F.col("v").alias("label")).distinct())
@@ -371,6 +387,7 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     checked = save(
         routed.groupBy("bucket").cogroup(fetched.groupBy("place")).applyInPandas(_verify, "cid bigint, n_linked bigint, root bigint")
     )
+    save.drop(pairs, lead, routed)
     label = components(checked.select(F.col("cid").alias("u"), F.col("root").alias("v")), save)
     named = classes.join(label.withColumnRenamed("v", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     roots = named.groupBy("label").agg(F.min("first").alias("component"))
