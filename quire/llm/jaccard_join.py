@@ -40,21 +40,20 @@ from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Saver, saver
 from .sketch import sum_parts, to_parts
-from .words import mix, shingles, trim, words
+from .words import mix, raw, shingles, trim, words
 
 PERCENT, SHINGLE = 70, 3
 SKETCH = 1 << 22
 HOT = 20_000
 #: Rows of sorted signatures, and pairs found in them, that a worker holds at once; classes it remembers.
 WINDOW, FOUND, SEEN = 250_000, 400_000, 250_000
-BLOCK = 1_000_000
+BLOCK = 500_000
 #: Signature rows of a task: the fewer tasks a pair's shingles spread over, the fewer rows count them.
 TASK_ROWS = 3_000_000
 MAX_LIGHT = 8
@@ -285,22 +284,24 @@ def _filter_bits(cids: DataFrame, rows: int) -> np.ndarray:
     return total
 
 
-def _verify(keys, pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
+def _verify(keys: tuple, pairs: pa.Table, sets: pa.Table) -> pa.Table:
     """Per class of a bucket: the documents linked in it, and the root of its local component."""
-    none = pd.DataFrame({"cid": np.zeros(0, np.int64), "n_linked": np.zeros(0, np.int64), "root": np.zeros(0, np.int64)})
-    sets = sets.drop_duplicates("cid").sort_values("cid")
-    if not len(pairs) or not len(sets):
-        return none
-    cid, copies = sets["cid"].to_numpy(), sets["copies"].to_numpy()
-    size = np.array([len(s) // 8 for s in sets["s"]])
+
+    def made(cid, n_linked, root) -> pa.Table:
+        return pa.table({"cid": pa.array(cid, pa.int64()), "n_linked": pa.array(n_linked, pa.int64()), "root": pa.array(root, pa.int64())})
+
+    if not pairs.num_rows or not sets.num_rows:
+        return made([], [], [])
+    cid, once = np.unique(sets["cid"].to_numpy(), return_index=True)  # copies read by several tasks
+    copies, column = sets["copies"].to_numpy()[once], sets["s"].combine_chunks().take(pa.array(once))
+    data, offsets = raw(column)
+    size = np.diff(offsets) // 8
     start = np.concatenate([[0], np.cumsum(size)])
-    _, code = np.unique(np.frombuffer(b"".join(sets["s"]), np.uint64), return_inverse=True)
-    code = code.astype(np.int64)
+    code = np.unique(np.frombuffer(data[offsets[0] : offsets[-1]].tobytes(), np.uint64), return_inverse=True)[1].astype(np.int32)
     marked = np.zeros(int(code.max()) + 1, bool)
-    p = pairs[["a", "b"]].drop_duplicates()
-    a, b = np.searchsorted(cid, p["a"].to_numpy()), np.searchsorted(cid, p["b"].to_numpy())
-    order = np.argsort(a, kind="stable")
-    a, b = a[order], b[order]
+    a, b = np.searchsorted(cid, pairs["a"].to_numpy()), np.searchsorted(cid, pairs["b"].to_numpy())
+    both_ends = np.unique(a * len(cid) + b)
+    a, b = both_ends // len(cid), both_ends % len(cid)
     linked, parent = np.zeros(len(cid), np.int64), np.arange(len(cid))
 
     def find(i: int) -> int:
@@ -325,7 +326,9 @@ def _verify(keys, pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
                     parent[max(x, y)] = min(x, y)
         marked[own] = False
     use = np.flatnonzero(linked)
-    return pd.DataFrame({"cid": cid[use], "n_linked": linked[use], "root": cid[[find(i) for i in use]]}) if len(use) else none
+    out = made(cid[use], linked[use], cid[[find(i) for i in use]] if len(use) else [])
+    trim()
+    return out
 
 
 def components(edges: DataFrame, save: Saver) -> DataFrame:
@@ -385,7 +388,7 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     sets = docs.mapInArrow(_wanted_sets(bits), "cid bigint, s binary").join(lead.select("cid"), "cid", "left_semi")
     fetched = needed.join(sets, "cid").join(classes.select("cid", "copies"), "cid")
     checked = save(
-        routed.groupBy("bucket").cogroup(fetched.groupBy("place")).applyInPandas(_verify, "cid bigint, n_linked bigint, root bigint")
+        routed.groupBy("bucket").cogroup(fetched.groupBy("place")).applyInArrow(_verify, "cid bigint, n_linked bigint, root bigint")
     )
     save.drop(pairs, lead, routed)
     label = components(checked.select(F.col("cid").alias("u"), F.col("root").alias("v")), save)
@@ -407,7 +410,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     Of repeated rows one stays; different texts of one doc_id that aren't in a
     component with a smaller one all stay, and so do rows without doc_id.
     """
-    kept = jaccard_join(docs).where(F.col("component_id") == F.col("doc_id")).select("doc_id").distinct()
+    kept = jaccard_join(docs.select("doc_id", "text")).where(F.col("component_id") == F.col("doc_id")).select("doc_id").distinct()
     # The join places rows by doc_id, which serves the removal of repeats, too.
     named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    return named.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where("doc_id is null"))
