@@ -1,23 +1,30 @@
-"""Operator 6: benchmark decontamination by an exact join of shingles, in place of a MinHash containment search.
+"""Operator 6: benchmark decontamination by a size-partitioned MinHash containment search, in SQL functions only.
 
 A test item is the set of the n-word shingles of its lower-cased words (letters
-and digits). All shingles of all items are joined with the documents' and the
-shared ones counted, so no pair is missed at any document length, where sampled
-banding would lose short items in long documents.
-
-The s smallest hashes of an item, s = n - ceil(t n) + 1, are marked (in_sketch):
-a document that holds the share t misses at most n - ceil(t n) shingles, so it
-holds one of those s. The test for it therefore drops nothing that the count
-keeps; it generates no candidates, and size_class is an output column only.
-
-The documents are only scanned: their shingles meet the items' by a broadcast
-join while the items' shingles are few (counted first, MAX_BROADCAST_ROWS), and
-by a shuffled join beyond that.
+and digits). Items are partitioned by size: those of 2**c to 2**(c + 1) - 1
+shingles are class c. An item's sketch has the s smallest hashes of its set,
+s = n - ceil(t n) + 1 by its size n.
+
+1. Search: the documents' shingles are joined with the sketches alone, and a
+   document that shares a hash with a sketch is a candidate for that item. A
+   document that holds the share t of an item misses at most n - ceil(t n) of its
+   shingles, so it shares one of any s: no pair is lost at any length of the
+   document, where banded signatures would lose short items in long documents.
+2. Verification: a candidate's whole sets are intersected, which gives the exact
+   containment. Documents without candidates are not read for it.
+
+Sketches and item sets are broadcast while few (counted first,
+MAX_BROADCAST_ROWS), and joined by a shuffle beyond that; the same holds for the
+candidates' documents.
 
 Defined cases: null texts count as empty; an item or document without words
 matches nothing; an item of fewer than SHINGLE words is one shingle of all its
 words; repeated shingles count once; rows of equal doc_id and text give one
-pair; a null doc_id is carried through; empty tables give no pairs.
+pair; a null doc_id is carried through; several texts of an item_id are one item,
+and items without item_id are not searched for; empty tables give no pairs; a very long
+text is one row with all its shingles (Spark's limit: 2 GB a row). Only doc_id
+and text, item_id and text are read; ``decontaminate`` returns all columns as
+they are, whatever they are called.
 """
 
 from __future__ import annotations
@@ -27,7 +34,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key
+from .common import Saver, row_key, saver
 
 SHINGLE = 5
 THRESHOLD = 0.5
@@ -48,40 +55,59 @@ def _shingles(w: Column, n: int) -> Column:
 
 
 def item_sketches(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per item and shingle: item_id, n, size_class, n_shingles, sh, in_sketch."""
+    """One row per item and shingle: item_id, ns (lengths of its shingles), size_class, n_shingles, rank, sh, in_sketch."""
     w = items.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0).dropDuplicates()
     n = F.least(F.size("w"), F.lit(SHINGLE))
     hashes = reduce(lambda other, k: F.when(n == k, _shingles(F.col("w"), k)).otherwise(other), range(1, SHINGLE), _shingles(F.col("w"), SHINGLE))
-    sets = w.select("item_id", n.alias("n"), F.array_sort(F.array_distinct(hashes)).alias("s"))
+    texts = w.where("item_id is not null").select("item_id", n.alias("n"), hashes.alias("s"))
+    # The texts of one item_id are one item, their shingles one set.
+    sets = texts.groupBy("item_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("s")))).alias("s"), F.collect_set("n").alias("ns"))
     size = F.size("s")
     return sets.select(
         "item_id",
-        "n",
+        "ns",
         F.floor(F.log2(size.cast("double"))).cast("int").alias("size_class"),
         size.alias("n_shingles"),
         F.posexplode("s").alias("rank", "sh"),
     ).withColumn("in_sketch", F.col("rank") <= F.col("n_shingles") - F.ceil(F.lit(threshold) * F.col("n_shingles")))
 
 
-def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs (doc_id, item_id) with the share of the item's shingles that the document holds, ``threshold`` or more."""
-    sketches = item_sketches(items, threshold)
-    sizes = sketches.groupBy("n").count().collect()  # at most SHINGLE rows
-    wanted, rows = sorted(r["n"] for r in sizes), sum(r["count"] for r in sizes)
-    side = sketches.select("item_id", "size_class", "n_shingles", "sh", "in_sketch")
+def candidates(docs: DataFrame, sketches: DataFrame, rows: int, lengths: list[int]) -> DataFrame:
+    """Distinct (_key, item_id, size_class) of documents (_key, w) that share a hash with the sketch of an item."""
+    side = sketches.where("in_sketch").select("item_id", "size_class", "sh")
     side = F.broadcast(side) if rows <= MAX_BROADCAST_ROWS else side
-    w = docs.select("doc_id", row_key("doc_id", "text").alias("_key"), words(F.col("text")).alias("w"))
-    every = F.concat(*[_shingles(F.col("w"), k) for k in wanted]) if wanted else F.array().cast("array<bigint>")
-    found = (
-        w.select("doc_id", "_key", F.explode(every).alias("sh"))
+    return (
+        docs.select("_key", F.explode(_document_shingles(lengths)).alias("sh"))
         .join(side, "sh")
-        # Combined map-side: repeats of a shingle within a document go before anything is shuffled.
-        .groupBy("doc_id", "_key", "item_id", "size_class", "n_shingles", "sh", "in_sketch")
+        # Combined map-side: what a document shares with a sketch twice goes before anything is shuffled.
+        .groupBy("_key", "item_id", "size_class")
         .agg(F.lit(1).alias("one"))
-        .groupBy("doc_id", "_key", "item_id", "size_class", "n_shingles")
-        .agg(F.count("*").alias("shared"), F.max("in_sketch").alias("candidate"))
+        .select("_key", "item_id", "size_class")
+    )
+
+
+def _document_shingles(lengths: list[int]) -> Column:
+    return F.concat(*[_shingles(F.col("w"), k) for k in lengths]) if lengths else F.array().cast("array<bigint>")
+
+
+def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, save: Saver | None = None) -> DataFrame:
+    """Pairs (doc_id, item_id) with the share of the item's shingles that the document holds, ``threshold`` or more."""
+    save = save or saver(docs.sparkSession)
+    sketches = save(item_sketches(items, threshold))
+    rows, lengths = sketches.count(), sorted(r["n"] for r in sketches.select(F.explode("ns").alias("n")).distinct().collect())  # at most SHINGLE rows
+    texts = docs.select("doc_id", row_key("doc_id", "text").alias("_key"), "text")
+    found = save(candidates(texts.select("_key", words(F.col("text")).alias("w")), sketches, rows, lengths))
+    sets = sketches.groupBy("item_id").agg(F.first("n_shingles").alias("n_shingles"), F.collect_list("sh").alias("s"))
+    sets = F.broadcast(sets) if rows <= MAX_BROADCAST_ROWS else sets
+    # A document with several candidates is read and hashed once.
+    keys = found.select("_key").distinct()
+    keys = F.broadcast(keys) if found.count() <= MAX_BROADCAST_ROWS else keys
+    some = texts.join(keys, "_key", "left_semi").dropDuplicates(["_key"]).select("doc_id", "_key", words(F.col("text")).alias("w"))
+    own = some.select("doc_id", "_key", _document_shingles(lengths).alias("d"))
+    shared = (
+        own.join(found, "_key").join(sets, "item_id").select("doc_id", "_key", "item_id", "size_class", "n_shingles", F.size(F.array_intersect("s", "d")).cast("long").alias("shared"))
     )
-    return found.where(F.col("candidate") & (F.col("shared") >= F.ceil(F.lit(threshold) * F.col("n_shingles")))).select(
+    return shared.where(F.col("shared") >= F.ceil(F.lit(threshold) * F.col("n_shingles"))).select(
         "doc_id",
         "_key",
         "item_id",
@@ -94,8 +120,9 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
 
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that hold no test item."""
-    found = contaminated(docs, items, threshold).select("_key").distinct()
-    return docs.withColumn("_key", row_key("doc_id", "text")).join(found, "_key", "left_anti").drop("_key")
+    found = contaminated(docs.select("doc_id", "text"), items, threshold).select("_key").distinct()
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), row_key("doc_id", "text").alias("_key"))
+    return whole.join(found, "_key", "left_anti").select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
 SQL = f"""
