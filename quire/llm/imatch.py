@@ -2,11 +2,19 @@
 
 A document's terms are its distinct lower-cased words whose inverse document
 frequency lies in a band; document frequencies come from a count sketch of fixed
-size over all documents. SUBSETS randomised lexicons are drawn, each a nested
-family that halves from level to level. A fingerprint has, per family, the hash
-of the sorted terms that fall in its smallest lexicon to hold any term of the
-document. Equal texts have equal fingerprints; the likeness of two is the share
-of families in which they agree.
+size over all documents. FAMILIES randomised lexicons are drawn; lexicon k of
+level L is a random 2**-L of all terms, and level L + 1 is a subset of level L.
+A fingerprint holds, per family, the hash of all the document's terms in the
+lexicon, sorted and distinct, at LEVELS levels: the one at which TERMS to
+2 * TERMS of its terms are expected, and those above it. A lexicon without a
+term of the document has no hash.
+
+The likeness of two fingerprints is the share of lexicons with equal hashes
+among those of common levels in which either has a term; texts whose numbers of
+terms differ more than eightfold have no common level and are not alike. Equal texts have
+equal fingerprints. A single hash over the whole band would differ after any
+edit, and so do the denser lexicons after a large one; the sparse ones still
+agree where half of a text is new.
 
 The comparison with the next document needs documents in order: they are cut
 into ranges of doc_id by quantiles, and each range also gets the first document
@@ -14,7 +22,7 @@ of the next one, so texts are shuffled once.
 
 Defined cases: a null text counts as empty; an empty text has a fingerprint of
 no terms, which is like itself only; a text without terms in the band uses all
-its terms; rows of one doc_id follow each other by the hash of their text; a null
+its terms; a very long text is read whole, alone in its slice; rows of one doc_id follow each other by the hash of their text; a null
 doc_id sorts first; a single document is its own next; an empty table gives an
 empty result; other columns are not read.
 """
@@ -30,15 +38,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_parts, text_of
+from .common import shuffle_parts, small_batches, text_of
 from .sketch import sum_parts, to_parts
 from .words import TERM_BREAKS, mix, terms, words
 
 SKETCH = 1 << 22
-SUBSETS = 32
-#: The band: ln(documents / document frequency).
-LOW_IDF, HIGH_IDF = 3.0, 16.0
-_SEEDS = np.random.default_rng(8).integers(1, 1 << 63, SUBSETS, dtype=np.uint64)
+FAMILIES, LEVELS = 24, 3
+#: Fewest terms expected in the larger lexicon of a document.
+TERMS = 2
+#: The band: ln(documents / document frequency). Its upper end drops what occurs in too few documents to tell
+#: families of texts apart; below some two million documents that is a single one.
+LOW_IDF, HIGH_IDF, FEWEST = 3.0, 14.0, 2
+_SEEDS = np.random.default_rng(8).integers(1, 1 << 63, FAMILIES, dtype=np.uint64)
 SCHEMA = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -47,7 +58,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for w in words(b.column(0), breaks=TERM_BREAKS):
             t, _ = terms(w)
-            sketch += np.bincount((t & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
+            np.add.at(sketch, (t & np.uint64(SKETCH - 1)).astype(np.int64), np.uint32(1))
             n += w.hi - w.lo
     parts = to_parts(sketch)
     yield pa.record_batch({"chunk": pa.array([*range(len(parts)), -1], pa.int32()), "part": pa.array([*parts, n.to_bytes(8, "big")], pa.binary())})
@@ -55,13 +66,18 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def band(sketch: np.ndarray, documents: int, low: float = LOW_IDF, high: float = HIGH_IDF) -> np.ndarray:
     """Which sketch cells hold terms of the band. Terms of one or two documents are rare, not common, in however few documents."""
-    most, least = max(documents * math.exp(-low), 2), documents * math.exp(-high)
+    most, least = max(documents * math.exp(-low), FEWEST), max(documents * math.exp(-high), FEWEST if documents > 2 * FEWEST else 1)
     return (sketch <= most) & (sketch >= least)
 
 
-def fingerprints(column: pa.Array, in_band: np.ndarray) -> np.ndarray:
-    """SUBSETS 32-bit hashes per text; all 0: no terms."""
-    out = np.zeros((len(column), SUBSETS), np.uint32)
+def level(terms_: np.ndarray) -> np.ndarray:
+    """The level of the larger lexicon for texts of so many terms."""
+    return np.maximum(np.floor(np.log2(np.maximum(terms_, 1) / TERMS)), 0).astype(np.int64)
+
+
+def fingerprints(column: pa.Array, in_band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(level, hashes): per text the level of its larger lexicons and FAMILIES x LEVELS 32-bit hashes, 0 for no term."""
+    out, levels = np.zeros((len(column), FAMILIES, LEVELS), np.uint32), np.zeros(len(column), np.int64)
     for w in words(column, breaks=TERM_BREAKS):
         t, bounds = terms(w)
         doc = np.repeat(np.arange(w.hi - w.lo), np.diff(bounds))
@@ -73,22 +89,43 @@ def fingerprints(column: pa.Array, in_band: np.ndarray) -> np.ndarray:
             continue
         start = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
         size = np.diff(np.r_[start, len(t)])
-        for k, seed in enumerate(_SEEDS):
+        own = level(size)
+        levels[w.lo + doc[start]] = own
+        masks = [np.repeat((np.uint64(1) << (own + k).astype(np.uint64)) - np.uint64(1), size) for k in range(LEVELS)]
+        for f, seed in enumerate(_SEEDS):
             x = mix(t ^ seed)
-            level = x & (~x + np.uint64(1))  # the lowest set bit: the smallest lexicon with the term
-            deep = level == np.repeat(np.maximum.reduceat(level, start), size)
             # A sum of mixed hashes of distinct terms is the hash of their sorted list.
-            h = mix(np.add.reduceat(np.where(deep, x * np.uint64(0x9E3779B97F4A7C15), np.uint64(0)), start))
-            out[w.lo + doc[start], k] = (h >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-    return out
+            y = x * np.uint64(0x9E3779B97F4A7C15)
+            for k, mask in enumerate(masks):
+                held = x & mask == 0
+                sums = np.add.reduceat(np.where(held, y, np.uint64(0)), start)
+                some = np.logical_or.reduceat(held, start)
+                out[w.lo + doc[start], f, k] = np.where(some, (mix(sums) >> np.uint64(32)).astype(np.uint32) | np.uint32(1), 0)
+    return levels, out
+
+
+def likeness(one: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Of fingerprints in step: equal hashes among the lexicons of common levels in which either text has a term."""
+    (la, a), (lb, b) = one, other
+    alike = np.zeros(len(la))
+    for shift in range(1 - LEVELS, LEVELS):
+        rows = np.flatnonzero(lb - la == shift)
+        if len(rows):
+            x, y = a[rows][:, :, max(shift, 0) : LEVELS + min(shift, 0)], b[rows][:, :, max(-shift, 0) : LEVELS - max(shift, 0)]
+            used = ((x != 0) | (y != 0)).sum(axis=(1, 2))
+            same = ((x == y) & (x != 0)).sum(axis=(1, 2))
+            # Texts without terms are like each other only.
+            none = ~a[rows].any(axis=(1, 2)) & ~b[rows].any(axis=(1, 2))
+            alike[rows] = np.where(none, 1.0, same / np.maximum(used, 1))
+    return alike
 
 
-def _likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (a == b).mean(axis=1)
+def _hex(f: tuple[np.ndarray, np.ndarray]) -> list[str]:
+    return [f"{k:02x}" + row.tobytes().hex() for k, row in zip(f[0].tolist(), f[1].astype(">u4"))]
 
 
-def _hex(f: np.ndarray) -> list[str]:
-    return [row.tobytes().hex() for row in f.astype(">u4")]
+def _rows(f: tuple[np.ndarray, np.ndarray], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return f[0][at], f[1][at]
 
 
 def _compare(in_band: np.ndarray) -> Callable:
@@ -111,10 +148,10 @@ def _compare(in_band: np.ndarray) -> Callable:
                 "doc_id": pa.array([held[i][1] for i in pairs], pa.int64()),
                 "n_chars": pa.array([len(texts[i]) for i in pairs], pa.int64()),
                 "edited_sha256": pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited], pa.string()),
-                "fingerprint": pa.array(_hex(own[p]), pa.string()),
+                "fingerprint": pa.array(_hex(_rows(own, p)), pa.string()),
                 "edited_fingerprint": pa.array(_hex(other), pa.string()),
-                "near_edited": pa.array(_likeness(own[p], other) if len(p) else [], pa.float64()),
-                "near_next": pa.array(_likeness(own[p], own[p + 1]) if len(p) else [], pa.float64()),
+                "near_edited": pa.array(likeness(_rows(own, p), other), pa.float64()),
+                "near_next": pa.array(likeness(_rows(own, p), _rows(own, p + 1)), pa.float64()),
             }
         )
 
@@ -137,6 +174,7 @@ def _compare(in_band: np.ndarray) -> Callable:
 def fingerprint_table(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row (doc_id, text)."""
     spark = docs.sparkSession
+    small_batches(spark)
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
     counted = own.select("text").mapInArrow(_count, "chunk int, part binary").persist()
     documents = sum(int.from_bytes(r["part"], "big") for r in counted.where("chunk < 0").select("part").toLocalIterator())
@@ -162,7 +200,8 @@ def fingerprint_table(docs: DataFrame) -> DataFrame:
         .select(F.col("to").alias("part"), "doc_id", "tie", "text", F.lit(True).alias("guest"))
     )
     every = placed.withColumn("guest", F.lit(False)).unionByName(sent)
-    ordered = every.repartition(n, "part").sortWithinPartitions("part", "guest", F.col("doc_id").asc_nulls_first(), "tie")
+    # A range a task: hashing the numbers of the ranges would put several into one.
+    ordered = every.repartitionByRange(len(ranges), "part").sortWithinPartitions("part", "guest", F.col("doc_id").asc_nulls_first(), "tie")
     return ordered.select("part", "doc_id", "guest", "text").mapInArrow(_compare(in_band), SCHEMA)
 
 
