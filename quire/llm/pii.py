@@ -15,8 +15,10 @@ within its class.
 
 Defined cases: a null text gives null; values that fail validation (a wrong
 check digit, 30 February, an octet over 255) stay; repeated rows are rewritten
-alike; other columns pass through, whatever they are called; an empty table
-gives an empty result. No row moves: there is no shuffle.
+alike; an empty table gives an empty result; a very long text is one value,
+rewritten whole (Spark's limit: 2 GB a value). Other columns pass through,
+whatever they are called; where one is called n_values or n_<kind>, ours gets
+underscores after its name. No row moves: there is no shuffle.
 """
 
 from __future__ import annotations
@@ -24,7 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_KEY = "quire-demo-key"
+from .common import free_name
+
 ROUNDS = 10
 KINDS = ("email", "ip", "date", "ssn", "iban", "card", "phone")
 
@@ -247,21 +250,23 @@ def pseudonym(m: Column, key: str) -> Column:
     return done
 
 
-def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
-    """``docs`` with its text rewritten, n_values replaced in all, and n_<kind> for each kind."""
-    own = ["text", "n_values", *(f"n_{k}" for k in KINDS)]
-    pieces = F.split("text", PATTERN, -1)
+def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
+    """``docs`` with its text rewritten, n_values replaced in all, and n_<kind> for each kind; ``key`` is the secret of the permutation."""
+    if not key:
+        raise ValueError("a key is needed: without one anybody can undo the pseudonyms")
+    others = [c for c in docs.columns if c != "text"]
+    taken = [*others, "text"]
+    names = [free_name(taken, n) for n in ("n_values", *(f"n_{k}" for k in KINDS))]
+    text = F.col("_row.text")
     # Every pattern needs a digit or an @; most texts have neither and skip the search.
-    matches = F.when(F.col("text").rlike("[0-9@]"), F.regexp_extract_all(F.col("text"), F.lit(PATTERN), F.lit(0)))
-    found = docs.withColumn("_m", matches).withColumn(
-        "_p", F.when(F.size("_m") > 0, F.transform("_m", lambda m: pseudonym(m, key)))
-    )
+    matches = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
+    # Columns of the input may have any name, so they travel in a struct.
+    found = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")).withColumn("_m", matches)
+    found = found.withColumn("_p", F.when(F.size("_m") > 0, F.transform("_m", lambda m: pseudonym(m, key))))
+    pieces = F.split(text, PATTERN, -1)
     joined = F.array_join(F.zip_with(pieces, F.concat(F.transform("_p", lambda p: p["new"]), F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
     of = lambda kind: lambda p: p["kind"] == kind
     count = lambda test: F.coalesce(F.size(F.filter("_p", test)), F.lit(0)).cast("long")
-    return found.select(
-        *[F.col(c) for c in docs.columns if c not in own],
-        F.when(F.col("_p").isNull(), F.col("text")).otherwise(joined).alias("text"),
-        count(lambda p: p["kind"].isNotNull()).alias("n_values"),
-        *[count(of(k)).alias(f"n_{k}") for k in KINDS],
-    )
+    tests = [lambda p: p["kind"].isNotNull(), *(of(k) for k in KINDS)]
+    made = found.select("_row", F.when(F.col("_p").isNull(), text).otherwise(joined).alias("_text"), F.struct(*[count(t).alias(f"c{i}") for i, t in enumerate(tests)]).alias("_counts"))
+    return made.select(*[F.col(f"_row.`{c}`").alias(c) for c in others], F.col("_text").alias("text"), *[F.col(f"_counts.c{i}").alias(n) for i, n in enumerate(names)])

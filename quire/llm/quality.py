@@ -14,7 +14,10 @@ drawn by a hash of doc_id; everything else of a row but its text is ignored.
 Defined cases: a null text counts as empty and is scored as one; repeated rows
 get equal scores; several labels of a doc_id count as their largest; a null
 doc_id is not held out and not learned from; without labels every score is 0.5;
-an empty table gives an empty result; other columns are not read.
+an empty table gives an empty result; a very long text is pooled in runs of
+50,000 words, alone in its slice. ``classify`` reads doc_id and text alone;
+``score`` and ``keep_good`` return all columns as they are, whatever they are
+called.
 """
 
 from __future__ import annotations
@@ -28,12 +31,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .common import free_name, saver, small_batches
 from .words import Words, mix, words
 
 MAX_TRAIN = 20_000
 BUCKETS, DIM, NONZERO, REACH = 1 << 13, 48, 6, 2
 SHAPES, RELATIONS = 1024, 8
 HIDDEN, EPOCHS, BATCH = 32, 40, 256
+#: Tasks over the labelled rows; each sends a sum of BUCKETS x DIM numbers to the driver.
+TASKS = 12
 THRESHOLD, FOLDS = 0.3, 5
 
 
@@ -194,10 +200,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(max_train)
     )
-    # max_train rows of two numbers are broadcast.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("quality", "text").coalesce(12).persist()
+    # max_train rows of two numbers are broadcast; documents are read by as many tasks as they have, and what is left by a few.
+    save = saver(docs.sparkSession)
+    chosen_rows = save(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("quality", "text"))
+    rows = chosen_rows.coalesce(TASKS)
     sums = np.zeros((BUCKETS, DIM), np.float64)
-    for r in rows.mapInArrow(_contexts, "sums binary").toLocalIterator():  # 12 rows
+    for r in rows.mapInArrow(_contexts, "sums binary").collect():  # TASKS rows
         sums += np.frombuffer(r["sums"], np.float32).reshape(BUCKETS, DIM)
     vectors = word_vectors(sums).astype(np.float32)
 
@@ -207,7 +215,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple
                 yield pa.record_batch({"quality": b.column("quality").slice(lo, hi - lo), "x": pa.array([r.tobytes() for r in x], pa.binary())})
 
     got = rows.mapInArrow(pooled, "quality int, x binary").toArrow()
-    rows.unpersist()
+    save.drop(chosen_rows)
     y = got["quality"].to_numpy().astype(np.float64)
     if not len(y):
         return None
@@ -217,31 +225,35 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple
     return vectors, train(x[order], y[order])
 
 
-def _scorer(model: tuple[np.ndarray, Network] | None) -> Callable:
+def _scorer(model: tuple[np.ndarray, Network] | None, text: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             score = np.full(b.num_rows, 0.5)
             if model:
-                for lo, hi, x in features(b.column("text"), model[0]):
+                for lo, hi, x in features(b.column(text), model[0]):
                     score[lo:hi] = model[1].score(x)
-            names = b.schema.names
-            yield pa.record_batch([*[b.column(n) for n in names], pa.array(score)], names=[*names, "_score"])
+            yield pa.record_batch([*b.columns, pa.array(score)], names=[*b.schema.names, "score"])
 
     return run
 
 
-def score(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
-    """``docs`` with _score, the probability of label 1."""
-    model = fit(docs, labels, max_train)
-    return docs.mapInArrow(_scorer(model), StructType([*docs.schema.fields, StructField("_score", DoubleType())]))
+def score(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple[DataFrame, str]:
+    """``docs`` with the probability of label 1, and the name of that column: score, or what is free."""
+    small_batches(docs.sparkSession)
+    model, name = fit(docs, labels, max_train), free_name(docs.columns, "score")
+    # A function over Arrow batches can't be given columns with dots in their names, so they go by number.
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    scored = plain.mapInArrow(_scorer(model, docs.columns.index("text")), StructType([*plain.schema.fields, StructField("score", DoubleType())]))
+    return scored.toDF(*docs.columns, name), name
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs`` (doc_id, text)."""
-    scored = score(docs.select("doc_id", "text"), labels)
-    return scored.select("doc_id", held_out().alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"))
+    scored, name = score(docs.select("doc_id", "text"), labels)
+    return scored.select("doc_id", held_out().alias("held_out"), F.col(name).alias("score"), (F.col(name) >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that aren't rejected."""
-    return score(docs, labels).where(F.col("_score") >= THRESHOLD).drop("_score")
+    scored, name = score(docs, labels)
+    return scored.where(F.col(name) >= THRESHOLD).drop(name)
