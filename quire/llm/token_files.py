@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import token_coder
-from .common import shuffle_parts
+from .common import shuffle_parts, small_batches
 from .tokens import BYTE_BPE, encoder, tokenizer_path
 
 END_ID, VOCABULARY = 2, 50_257
@@ -69,6 +69,7 @@ def _write(path: str) -> Callable:
 
 def write_segments(docs: DataFrame, folder: str, path: str | None = None) -> None:
     """Writes ``docs`` (doc_id, text) as segments in ascending doc_id order."""
+    small_batches(docs.sparkSession)
     ranges = (
         docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
         .repartitionByRange(shuffle_parts(docs.sparkSession), F.col("doc_id").asc_nulls_first())
@@ -96,6 +97,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_segments(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, decoded from the segments."""
+    small_batches(spark)
     rows = spark.read.schema(SCHEMA).parquet(folder)
     # One small row per segment goes through the window.
     order = Window.orderBy("range", "number").rowsBetween(Window.unboundedPreceding, -1)

@@ -4,7 +4,8 @@ Byte-pair encoding never crosses a pre-token, and pre-tokens of both supported
 files can be cut at ASCII white space, so a text's ids are the concatenated ids
 of its units; distinct units (by a 64-bit hash of their bytes) are encoded by
 the tokenizers library, kept in a bounded cache, and gathered with numpy. Texts
-in which other Unicode white space could move a boundary are encoded whole.
+in which other Unicode white space or the string of a special token could move a
+boundary are encoded whole.
 """
 
 from __future__ import annotations
@@ -54,14 +55,14 @@ def _odd_space(d: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Ids as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them, strings of special tokens being ordinary text."""
+    """Ids as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them; a special token's string in a text is that token."""
 
     def __init__(self, path: str, keeps_space: bool, end_id: int):
         """keeps_space: units carry one space before them and other white space is tokens, too."""
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.keeps_space, self.end_id = keeps_space, end_id
         self._clear()
 
@@ -73,6 +74,12 @@ class Encoder:
     def _batch(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _specials(self, d: np.ndarray) -> np.ndarray:
+        """Places of the first two bytes of special tokens' strings."""
+        starts = {s[:2] for s in self.special if len(s) > 1}
+        found = [p for s in starts for p in [np.flatnonzero((d[:-1] == s[0]) & (d[1:] == s[1]))] if len(p)]
+        return np.concatenate(found) if found else np.zeros(0, np.int64)
+
     def _units(self, d: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(d)
         inside = ~W._SPACE[d]
@@ -112,7 +119,7 @@ class Encoder:
             start, end = self._units(d, o)
             doc = np.searchsorted(o, start, side="right") - 1
             whole = np.zeros(hi - lo, bool)
-            if len(odd := _odd_space(d)):
+            if len(odd := np.concatenate([_odd_space(d), self._specials(d)])):
                 whole[np.searchsorted(o, odd, side="right") - 1] = True
                 keep = ~whole[doc]
                 start, end, doc = start[keep], end[keep], doc[keep]

@@ -1,6 +1,7 @@
 """The ten operators on small fixtures: brute force, round trips and the defined edge cases."""
 
 import hashlib
+import math
 import os
 import random
 import re
@@ -13,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.llm import decontaminate, html_text, imatch, jaccard_join, line_dedup, packing, parse_dedup, pii, quality, token_coder, token_files, tokens
+from quire.llm import words as words_module
 from quire.llm.common import checkpoint_dir
 
 SCHEMA = "doc_id bigint, text string, source string, key bigint, n int, label int, part int"
@@ -70,7 +72,7 @@ def order(rows):
 def test_pii_validates_links_and_keeps_formats(spark, none):
     text = "a.b1@mail.example.com 4041894974608795 4041-8949-7460-8795 4041894974608796 +1 (988) 555-2485 988-555-2485 70.1.2.3 300.1.1.1 2020-02-29 29.02.2020 2021-02-30 123-45-6789 666-45-6789 DE89 3704 0044 0532 0130 00 DE88370400440532013000"
     df = frame(spark, [(1, text), (2, "mail a.b1@mail.example.com!"), (3, None), (4, ""), (5, "no data " * 5000), (1, text)])
-    got = {(r["doc_id"], r["text"]): r for r in pii.pseudonymise(df).collect()}
+    got = {(r["doc_id"], r["text"]): r for r in pii.pseudonymise(df, "k").collect()}
     one = next(r for (d, _), r in got.items() if d == 1)
     old, new = text.split(), one["text"].split()
     assert len(got) == 5 and one["n_values"] == 10
@@ -90,7 +92,9 @@ def test_pii_validates_links_and_keeps_formats(spark, none):
     two = next(r for (d, _), r in got.items() if d == 2)
     assert two["text"].split()[1] == new[0] + "!"
     assert (3, None) in got and (4, "") in got and (5, "no data " * 5000) in got
-    assert pii.pseudonymise(none).count() == 0 and "source" in pii.pseudonymise(none).columns
+    assert pii.pseudonymise(none, "k").count() == 0 and "source" in pii.pseudonymise(none, "k").columns
+    with pytest.raises(ValueError):
+        pii.pseudonymise(df, "")
 
 
 def test_pii_is_a_permutation(spark):
@@ -143,6 +147,45 @@ def test_html_copies_and_quotations_stay(spark):
     assert [got[8 + k] for k in range(4)] == [own[5], own[6], own[7], own[5]]
 
 
+def test_suffix_order_is_that_of_sorted_suffixes():
+    rng = random.Random(8)
+    codes = np.array([rng.randint(0, 3) for _ in range(400)])
+    order, rank = html_text.suffix_order(codes, 8)
+    heads = [tuple(codes[i : i + 8].tolist()) for i in range(len(codes))]
+    assert [heads[i] for i in order] == sorted(heads)
+    assert all((rank[i] == rank[j]) == (heads[i] == heads[j]) for i in range(0, 400, 7) for j in range(400))
+
+
+@pytest.mark.parametrize("shard", [400_000, 120])
+def test_html_repeats_against_brute_force(spark, monkeypatch, shard):
+    """Pages whose article and class names are stripped: what three different streams of a host share goes, whatever marks it."""
+    monkeypatch.setattr(html_text, "SHARD", shard)
+    rng = random.Random(21)
+    rows, parts = [], []
+    for host in range(3):
+        top, foot = (" ".join(f"{x}{host}{rng.randrange(99)}" for _ in range(n)) for x, n in (("t", 11), ("f", 9)))
+        for k in range(6 if host < 2 else 2):
+            own = [" ".join(f"o{rng.randrange(9**5)}" for _ in range(rng.randint(3, 40))) for _ in range(3)]
+            parts.append((host, [top, *own, foot] if k % 5 else [f"{own[0]} {top}", own[1], foot]))
+            rows.append((len(rows), f"http://h{host}/{k}", "".join(f"<div>{b}</div>" for b in parts[-1][1])))
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    counts = defaultdict(set)
+    for i, (host, blocks) in enumerate(parts):
+        t = " ".join(blocks).split(" ")
+        for k in range(len(t) - 7):
+            counts[(host, tuple(t[k : k + 8]))].add(i)
+    for i, (host, blocks) in enumerate(parts):
+        t = " ".join(blocks).split(" ")
+        gone = {j for k in range(len(t) - 7) if len(counts[(host, tuple(t[k : k + 8]))]) >= 3 for j in range(k, k + 8)}
+        left, at = [], 0
+        for b in blocks:
+            n = len(b.split(" "))
+            left.append(" ".join(x for j, x in enumerate(b.split(" "), at) if j not in gone))
+            at += n
+        assert got[i] == "\n\n".join(x for x in left if x)
+        assert host == 2 or f"t{host}" not in got[i]  # two pages of a host keep theirs
+
+
 # 3
 
 
@@ -300,6 +343,11 @@ def test_decontamination_is_exact(spark, docs, none):
                 hit.add((d, x))
     got = Counter((r["doc_id"], r["item_id"], r["n_shingles"], r["shared"]) for r in decontaminate.contaminated(docs, bench).collect())
     assert got == want and want
+    sketches = decontaminate.item_sketches(bench)
+    texts = docs.select(F.xxhash64("doc_id", "text").alias("_key"), decontaminate.words(F.col("text")).alias("w"))
+    pairs = lambda side: decontaminate.candidates(texts, side, 10, [1, 3, 5]).count()
+    every = pairs(sketches.withColumn("in_sketch", F.lit(True)))
+    assert len(want) <= pairs(sketches) <= every and sketches.where("in_sketch").count() < 0.7 * sketches.count()
     clean = decontaminate.decontaminate(docs, bench)
     assert clean.columns == docs.columns and clean.count() == sum(r not in hit for r in corpus())
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0 and decontaminate.contaminated(none, bench).count() == 0
@@ -316,7 +364,6 @@ def test_token_ids_are_the_librarys():
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(1500)] + [None]
     for name, keeps, end in ((tokens.BYTE_BPE, True, 2), (tokens.WORD_BPE, False, 1)):
         t = Tokenizer.from_file(tokens.tokenizer_path(name))
-        t.encode_special_tokens = True
         got = []
         for r in tokens.Encoder(tokens.tokenizer_path(name), keeps, end)(pa.array(texts)):
             got += [r.ids[a:b].tolist() for a, b in zip(r.bounds[:-1], r.bounds[1:])]
@@ -345,7 +392,6 @@ def test_token_files(spark, docs, none):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.tokenizer_path(tokens.BYTE_BPE))
-    t.encode_special_tokens = True
     folder = f"{checkpoint_dir(spark)}/tokens-test"
     token_files.write_segments(docs, folder)
     got = sorted(rows_of(token_files.read_segments(spark, folder)), key=lambda r: r[1])
@@ -364,6 +410,70 @@ def test_token_files(spark, docs, none):
 # 8
 
 
+def brute_prints(texts):
+    """Level and, per family and level, the set of terms that is hashed, for each text; by the definitions, term by term."""
+    split = lambda t: {w.encode() for w in re.findall(r"(?:[A-Za-z0-9]|[^\x00-\x7f])+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))}
+    hashes = {}
+    for t in {x for t in texts for x in split(t)}:
+        h = 0
+        for k, b in enumerate(t):
+            h = (h + int(words_module._TABLE[b]) * pow(words_module._BASE, k, 1 << 64)) % (1 << 64)
+        hashes[t] = int(words_module.mix(np.array([h], np.uint64))[0])
+    sets = [{hashes[x] for x in split(t)} for t in texts]
+    cells = Counter(h % imatch.SKETCH for s in sets for h in s)
+    n = len(texts)
+    most, least = max(n * math.exp(-imatch.LOW_IDF), 2), max(n * math.exp(-imatch.HIGH_IDF), 2 if n > 4 else 1)
+    out = []
+    for s in sets:
+        own = {h for h in s if least <= cells[h % imatch.SKETCH] <= most} or s
+        level = max(0, int(math.floor(math.log2(max(len(own), 1) / imatch.TERMS)))) if own else 0
+        lexicons = []
+        for seed in imatch._SEEDS:
+            mixed = {h: int(words_module.mix(np.array([h], np.uint64) ^ seed)[0]) for h in own}
+            lexicons.append([frozenset(h for h, x in mixed.items() if x % (1 << (level + k)) == 0) for k in range(imatch.LEVELS)])
+        out.append((level, lexicons))
+    return out
+
+
+def brute_likeness(one, other):
+    used = same = 0
+    for a, b in zip(one[1], other[1]):
+        for i, x in enumerate(a):
+            j = one[0] + i - other[0]
+            if 0 <= j < imatch.LEVELS and (x or b[j]):
+                used += 1
+                same += x == b[j]
+    none = not any(x for f in one[1] + other[1] for x in f)
+    return 1.0 if none else same / max(used, 1)
+
+
+def test_imatch_is_what_its_definition_says():
+    rng = random.Random(12)
+    texts = [prose(rng.randint(0, 120), rng) for _ in range(30)]
+    texts += [texts[0], texts[1] + " extra", "", "", prose(900, rng), " ".join(texts[2].split()[:30] + texts[3].split()[:30])]
+    sketch = np.zeros(imatch.SKETCH, np.uint32)
+    for w in words_module.words(pa.array(texts), breaks=words_module.TERM_BREAKS):
+        np.add.at(sketch, (words_module.terms(w)[0] & np.uint64(imatch.SKETCH - 1)).astype(np.int64), np.uint32(1))
+    got, want = imatch.fingerprints(pa.array(texts), imatch.band(sketch, len(texts))), brute_prints(texts)
+    assert got[0].tolist() == [w[0] for w in want]
+    for i, (_, lexicons) in enumerate(want):
+        assert [[bool(h) for h in f] for f in got[1][i]] == [[bool(x) for x in f] for f in lexicons]
+    # Equal sets, and only they, have equal hashes.
+    for f in range(imatch.FAMILIES):
+        seen = {}
+        for i, (_, lexicons) in enumerate(want):
+            for k, x in enumerate(lexicons[f]):
+                if x:
+                    assert seen.setdefault(x, got[1][i, f, k]) == got[1][i, f, k]
+        assert len(set(seen.values())) == len(seen)
+    for i in range(len(texts)):
+        j = (i * 7 + 1) % len(texts)
+        at = lambda k: (got[0][[k]], got[1][[k]])
+        assert imatch.likeness(at(i), at(j))[0] == pytest.approx(brute_likeness(want[i], want[j]))
+    mean = np.mean([len(x) for _, lexicons in want[:30] for f in lexicons for x in f[:1] if x])
+    assert mean > imatch.TERMS  # whole subsets of the band, not single terms
+
+
 def test_imatch(spark, docs, none):
     got = imatch.fingerprint_table(docs).collect()
     rows = corpus()
@@ -400,7 +510,6 @@ def test_packing(spark, docs, none):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.tokenizer_path(tokens.WORD_BPE))
-    t.encode_special_tokens = True
     got = packing.pack(docs).collect()
     pieces = Counter()
     for d, x in corpus():
@@ -427,10 +536,40 @@ def test_grouping_genetic_algorithm():
     bins = packing.evolve(lengths, 4096, 1)
     assert sorted(i for b in bins for i in b) == list(range(300)) and all(sum(lengths[i] for i in b) <= 4096 for b in bins)
     assert len(bins) <= -(-sum(lengths) // 4096) + 1
+    again = packing.mutate(bins, lengths, 4096, rng)
+    assert sorted(i for b in again for i in b) == list(range(300)) and all(sum(lengths[i] for i in b) <= 4096 for b in again)
     child = packing.crossover(bins, packing.best_fit(list(range(300)), lengths, 4096), lengths, 4096)
     assert sorted(i for b in child for i in b) == list(range(300)) and all(sum(lengths[i] for i in b) <= 4096 for b in child)
 
 
+def test_elites_migrate_as_lengths(spark):
+    rng = random.Random(6)
+    lengths = [rng.randint(1, 4000) for _ in range(200)]
+    elite = packing.evolve(lengths, 4096, 1)
+    shuffled = lengths[:150] + [rng.randint(1, 4000) for _ in range(50)]
+    bins = packing.immigrant([[lengths[i] for i in b] for b in elite], shuffled, 4096)
+    assert sorted(i for b in bins for i in b) == list(range(200)) and all(sum(shuffled[i] for i in b) <= 4096 for b in bins)
+    have = Counter(tuple(sorted(shuffled[i] for i in b)) for b in bins)
+    came = [tuple(sorted(lengths[i] for i in b)) for b in elite if max(b) < 150 and len(b) > 1]
+    assert sum(p in have for p in came) >= 0.8 * len(came) > 0  # an elite bin whose lengths are there arrives whole
+    # Three islands: all pieces once, gapless, within the capacity, ids above 2**53 and nulls intact.
+    big = (1 << 60) + 1
+    frame_ = spark.createDataFrame([(None if i % 50 == 0 else big + i, prose(rng.randint(1, 60), rng)) for i in range(120)], "doc_id bigint, text string")
+    old = packing.ISLAND
+    packing.ISLAND = 50
+    try:
+        got = packing.pack(frame_, capacity=256).collect()
+    finally:
+        packing.ISLAND = old
+    assert {r["doc_id"] for r in got} == {None, *(big + i for i in range(120) if i % 50)}
+    held = defaultdict(list)
+    for r in got:
+        held[r["sequence_id"]].append((r["offset"], r["length"]))
+    for b in held.values():
+        assert [o for o, _ in sorted(b)] == [sum(n for _, n in sorted(b)[:k]) for k in range(len(b))] and sum(n for _, n in b) <= 256
+    assert len(held) <= -(-sum(r["length"] for r in got) // 256) * 1.03 + 1
+
+
 # 10
 
 
@@ -451,3 +590,29 @@ def test_line_dedup(spark, docs, none):
     assert got == want and any(k[3] for k in want)
     assert line_dedup.line_dedup(none).count() == 0
     assert line_dedup.line_dedup(docs).columns[:2] == ["doc_id", "source"]
+
+
+# Clashing names
+
+
+def test_any_column_name_passes_through(spark):
+    names = ["doc_id", "text", "_key", "_row", "_covered", "_score", "score", "_m", "_p", "n_lines", "n_removed", "n_values", "n_card", "a.b", "first", "key", "cid"]
+    rows = [(i, t, *[k * 10 + i for k in range(len(names) - 2)]) for i, t in enumerate(["a\nb\nc\nd " + "word " * 30, "a\nb\nc\ne mail x@y.example", "other words here", None])]
+    df = spark.createDataFrame(rows, ", ".join(f"`{n}` {'string' if n == 'text' else 'bigint'}" for n in names))
+    labels = spark.createDataFrame([(0, 1), (1, 1), (2, 1)], "doc_id bigint, quality int")
+    items = spark.createDataFrame([(1, "other words here")], "item_id bigint, text string")
+    others = [n for n in names if n != "text"]
+    want = {r[0]: tuple(x for n, x in zip(names, r) if n != "text") for r in rows}
+
+    def same(result):
+        got = result.select(*[F.col(f"`{n}`") for n in others]).collect()
+        return all(tuple(r) == want[r[0]] for r in got) and {r[0] for r in got}
+
+    assert same(line_dedup.line_dedup(df)) == {0, 1, 2, 3} and {"n_lines_", "n_removed_"} <= set(line_dedup.line_dedup(df).columns)
+    assert same(pii.pseudonymise(df, "k")) == {0, 1, 2, 3} and {"n_values_", "n_card_", "n_email"} <= set(pii.pseudonymise(df, "k").columns)
+    assert same(decontaminate.decontaminate(df, items)) == {0, 1, 3} and decontaminate.decontaminate(df, items).columns == names
+    assert same(quality.keep_good(df, labels)) and quality.keep_good(df, labels).columns == names
+    assert same(jaccard_join.keep_first(df)) == {0, 1, 2, 3} and jaccard_join.keep_first(df).columns == names
+    for made in (jaccard_join.jaccard_join, parse_dedup.parse_dedup, imatch.fingerprint_table):
+        assert made(df).count() == 4
+    assert packing.pack(df).count() == 4
