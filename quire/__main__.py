@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .plans import tables as T
 from .plans.options import PRESETS, chosen, page_range
 from .sources import pdf
+from .sources.renderer import CommandRenderer
 
 
 def parser() -> argparse.ArgumentParser:
@@ -36,7 +37,9 @@ def main(argv: list[str] | None = None) -> int:
             print(r["doc_id"], f"pages {r['n_pages']}", f"version {r['version']}", f"title {r['title'] or ''}", f"rotations {list(r['rotations'])}", sep="\t")
         return 0
     options = chosen(a.preset, a.hq, a.tables, a.tuning)
-    found = T.tables(docs, options)
+    renderer = CommandRenderer() if options.render or options.auto_render else None
+    both = T.detected(docs, options, renderer=renderer).persist()  # a document is opened once for its tables and its fault
+    found = both.select("doc_id", F.inline("fragments"))
     if a.pages:
         most = T.info(docs).agg(F.max("n_pages")).first()[0] or 0
         found = T.pages_of(docs, options, page_range(a.pages, most))
@@ -44,7 +47,8 @@ def main(argv: list[str] | None = None) -> int:
         for r in T.document_text(docs, options).orderBy("doc_id").toLocalIterator():
             print(r["text"])
     elif a.format == "json":
-        for r in T.json(found).orderBy("doc_id").toLocalIterator():
+        name = a.preset or ("high_quality" if a.hq else "auto" if a.tables else "off")
+        for r in T.envelope(docs, options, name).orderBy("doc_id").toLocalIterator():
             print(r["json"])
     elif a.format == "tsv":
         for r in T.tsv(found).orderBy("doc_id", "page", "ord").toLocalIterator():
@@ -52,8 +56,10 @@ def main(argv: list[str] | None = None) -> int:
     else:
         for r in T.evidence(found).orderBy("doc_id", "page").toLocalIterator():
             print(r["doc_id"], r["page"] + 1, r["n_tables"], ", ".join(r["tables"]), sep="\t")
-    for r in pdf.errors(pdf.extract(docs, ())).toLocalIterator():
+    faults = T.errors(both) if options.detect else pdf.errors(pdf.extract(docs, ()))
+    for r in faults.toLocalIterator():
         print(f"{r['doc_id']}: {r['code']}: {r['message']}")
+    both.unpersist()
     return 0
 
 

@@ -133,19 +133,23 @@ def regularity(edges: Column) -> Column:
 
 
 def has_digit(text: Column) -> Column:
-    return text.rlike("[0-9]")
+    return F.length(F.translate(text, "0123456789", "")) < F.length(text)
 
 
 def digit_led(text: Column) -> Column:
     """Density A: a digit, and digits not fewer than letters, without $ % ( ) and commas."""
-    bare = F.regexp_replace(F.trim(text), "[$%(),]", "")
-    digits = F.length(F.regexp_replace(bare, "[^0-9]", ""))
-    return (digits >= 1) & (digits >= F.length(F.regexp_replace(bare, r"\P{L}", "")))
+    # Deleting characters is far cheaper than matching them: letters are looked for only where something else than ASCII signs is left.
+    bare = F.translate(F.trim(text), "$%(),", "")
+    rest = F.translate(bare, "0123456789", "")
+    digits = F.length(bare) - F.length(rest)
+    letters = F.when(F.translate(rest, ".+-/:;!?*#&_ ", "") == "", 0).otherwise(F.length(F.regexp_replace(rest, r"\P{L}", "")))
+    return (digits >= 1) & (digits >= letters)
 
 
 def number_only(text: Column) -> Column:
     """Density B: nothing but digits, signs, points, commas and spaces, and a digit."""
-    return text.rlike(r"^[0-9.,+\- ]+$") & has_digit(text)
+    rest = F.translate(text, "0123456789", "")
+    return (F.length(rest) < F.length(text)) & (F.translate(rest, ".,+- ", "") == "")
 
 
 def numberish(text: Column) -> Column:
@@ -157,6 +161,17 @@ def punctuation_share(text: Column) -> Column:
     return share(F.length(F.regexp_replace(text, r"[^.,;:!?]", "")).cast("double"), F.length(text).cast("double"))
 
 
+def runs_with_digit(text: Column) -> Column:
+    """Density D, an aggregate: the share of runs that have a digit."""
+    return F.avg(has_digit(text).cast("double"))
+
+
+def signs_of_solid(text: Column) -> Column:
+    """The other punctuation density, an aggregate: signs among all characters that are not space."""
+    signs = F.sum(F.length(F.regexp_replace(text, r"[^.,;:!?]", "")))
+    return signs / F.greatest(F.lit(1), F.sum(F.length(F.regexp_replace(text, r"\s", ""))))
+
+
 def hex_share(text: Column) -> Column:
     return share(F.length(F.regexp_replace(text, r"[^0-9a-fA-F]", "")).cast("double"), F.length(text).cast("double"))
 

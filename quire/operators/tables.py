@@ -13,50 +13,18 @@ from bisect import bisect_left, bisect_right
 from collections import defaultdict
 
 from ..plans.options import Knobs, TableOptions
-from . import refine
+from . import refine, router
 
 Rule = tuple[float, float, float, float]
 
 
-def clusters(values: list[float], tolerance: float) -> list[float]:
-    """Means of runs of sorted values within tolerance of the running mean."""
-    out: list[list[float]] = []
-    for v in sorted(values):
-        if out and abs(v - out[-1][0]) <= tolerance:
-            m, n = out[-1]
-            out[-1] = [(m * n + v) / (n + 1), n + 1]
-        else:
-            out.append([v, 1])
-    return [m for m, _ in out]
+clusters = refine.means
 
 
 def upper_median(values: list[float], default: float) -> float:
     return sorted(values)[len(values) // 2] if values else default
 
 
-def iou(a: dict, b: dict) -> float:
-    both = overlap(a, b)
-    whole = area(a) + area(b) - both
-    return both / whole if whole > 0 else 0.0
-
-
-def area(a: dict) -> float:
-    return max(0.0, a["x1"] - a["x0"]) * max(0.0, a["y1"] - a["y0"])
-
-
-def overlap(a: dict, b: dict) -> float:
-    return max(0.0, min(a["x1"], b["x1"]) - max(a["x0"], b["x0"])) * max(0.0, min(a["y1"], b["y1"]) - max(a["y0"], b["y0"]))
-
-
-def contained(inner: dict, outer: dict) -> float:
-    return overlap(inner, outer) / area(inner) if area(inner) > 0 else 0.0
-
-
-def is_nested(child: dict, parent: dict) -> bool:
-    big = area(parent)
-    return big > 0 and contained(child, parent) >= 0.85 and 0.03 <= area(child) / big <= 0.55 and area(child) >= 2500 and min(child["x1"] - child["x0"], child["y1"] - child["y0"]) >= 36
-
-
 def _joined(rules: list[tuple[float, float, float]], k: Knobs) -> list[tuple[float, float, float]]:
     """(place, from, to) lines: collinear within snap, joined over gaps of twice that."""
     lines: list[list] = []
@@ -150,10 +118,15 @@ def grid_cells(xs: list[float], ys: list[float], runs: list[dict], right: set |
     return cells
 
 
-def lattice(page: int, runs: list[dict], rules: list[Rule], k: Knobs) -> list[dict]:
-    """Ruled tables: joints of horizontal and vertical lines, their components, a grid for each."""
-    h = _joined([((y0 + y1) / 2, x0, x1) for x0, y0, x1, y1 in rules if abs(y1 - y0) <= k.snap and x1 - x0 >= k.min_segment], k)
-    v = _joined([((x0 + x1) / 2, y0, y1) for x0, y0, x1, y1 in rules if abs(x1 - x0) <= k.snap and y1 - y0 >= k.min_segment], k)
+def lattice(page: int, runs: list[dict], rules: list[tuple], options: TableOptions) -> list[dict]:
+    """Ruled tables: joints of horizontal and vertical lines, their components, a grid for each; a rule may name its source."""
+    k = options.knobs
+    painted = [r for r in rules if len(r) > 4 and r[4] == "raster"]
+    if painted:
+        size = upper_median([r["font_size"] for r in runs], 10.0)
+        rules = refine.without_baselines(rules, text_lines(runs, max(0.35 * size, 2.5)), size, k.snap)
+    h = _joined([((r[1] + r[3]) / 2, r[0], r[2]) for r in rules if abs(r[3] - r[1]) <= k.snap and r[2] - r[0] >= k.min_segment], k)
+    v = _joined([((r[0] + r[2]) / 2, r[1], r[3]) for r in rules if abs(r[2] - r[0]) <= k.snap and r[3] - r[1] >= k.min_segment], k)
     if len(h) < 2 or len(v) < 2:
         return []
     v.sort()
@@ -178,68 +151,104 @@ def lattice(page: int, runs: list[dict], rules: list[Rule], k: Knobs) -> list[di
     groups = defaultdict(list)
     for i, j in joints:
         groups[find(i)].append((i, j))
-    out = []
-    for group in groups.values():
-        if len(group) < k.min_joints:
-            continue
-        hs, vs = {i for i, _ in group}, {j for _, j in group}
-        on_v, on_h = defaultdict(set), defaultdict(set)
-        for i, j in group:
-            on_v[j].add(h[i][0])
-            on_h[i].add(v[j][0])
-        tall = max(h[i][0] for i in hs) - min(h[i][0] for i in hs)
-        wide = max(v[j][0] for j in vs) - min(v[j][0] for j in vs)
-
-        def supported(place, hits: dict, keys: set, whole: float, least: float) -> list[float]:
-            by = defaultdict(set)
-            means = clusters([place[x][0] for x in keys], k.snap)
-            for x in keys:
-                by[min(range(len(means)), key=lambda m: abs(means[m] - place[x][0]))] |= hits[x]
-            return [means[m] for m, s in sorted(by.items()) if len(s) >= k.joints_per_line and max(s) - min(s) >= least * whole]
-
-        def spread(edges: list[float]) -> list[float]:
-            kept: list[float] = []
-            for e in edges:
-                if not kept or e - kept[-1] >= k.min_cell:
-                    kept.append(e)
-            return kept
-
-        xs, ys = spread(sorted(supported(v, on_v, vs, tall, k.v_span))), spread(sorted(supported(h, on_h, hs, wide, k.h_span)))
-        if len(xs) > 1 and len(ys) > 1:
-            inside = [r for r in runs if xs[0] <= (r["x0"] + r["x1"]) / 2 <= xs[-1] and ys[0] <= (r["y0"] + r["y1"]) / 2 <= ys[-1]]
-            size = upper_median([r["font_size"] for r in inside], 10.0)
-            bands = text_lines(inside, 0.35 * size)
-            ruled = (len(xs), len(ys))
-            ys = refine.row_edges(ys, bands, size, k)
-            if ruled[0] <= 3 and len(bands) >= 3:
-                xs = refine.column_edges(xs, _columns(bands, size, k), size, k)
-        rows, cols = len(ys) - 1, len(xs) - 1
-        if rows < 1 or cols < 1 or rows > k.max_rows or cols > k.max_cols or rows * cols < 2:
-            continue
-        own_h, own_v = sorted(h[i] for i in hs), sorted(v[j] for j in vs)
-        right, below, covered = set(), set(), 0
-        for r in range(rows):
-            y0, y1 = ys[rows - 1 - r], ys[rows - r]
-            for c in range(cols):
-                edges = [_covered(own_v, xs[c], y0, y1, k), _covered(own_v, xs[c + 1], y0, y1, k), _covered(own_h, y0, xs[c], xs[c + 1], k), _covered(own_h, y1, xs[c], xs[c + 1], k)]
-                covered += sum(edges)
-                if not edges[1] and c + 1 < cols and ruled[0] == len(xs):
-                    right.add((r, c))
-                if not edges[2] and r + 1 < rows and ruled[1] == len(ys):
-                    below.add((r, c))
-        cells = grid_cells(xs, ys, runs, right, below)
-        filled = sum(bool(c["text"]) for c in cells)
-        fill, edge = filled / len(cells), covered / (4 * rows * cols)
-        box_area = (xs[-1] - xs[0]) * (ys[-1] - ys[0])
-        if fill < k.min_fill or filled < min(k.min_filled, 2 * max(rows, cols)) or 1 - fill > k.max_empty or box_area < k.min_area:
-            continue
-        density = min(1.0, len(group) / max(1, (rows + 1) * (cols + 1)))
-        regular = (_regularity(xs) + _regularity(ys)) / 2
-        confidence = 0.30 * regular + 0.25 * edge + 0.20 * fill + 0.15 * density + 0.10 * min(1.0, rows * cols / 12)
-        out.append(_trimmed(_table(page, "lattice", confidence, xs, ys, cells, edge_score=edge, joints=len(group), notes=(["weak_edges"] if edge < k.weak_edge else []) + (["densified"] if ruled != (len(xs), len(ys)) else []))))
+    parts = [g for g in groups.values() if len(g) >= k.min_joints]
+    boxes = [(min(v[j][0] for _, j in g), min(h[i][0] for i, _ in g), max(v[j][0] for _, j in g), max(h[i][0] for i, _ in g)) for g in parts]
+
+    def beside(n: int) -> list[dict]:
+        """Runs that stand in no other component."""
+        return [r for r in runs if not any(m != n and b[0] <= (r["x0"] + r["x1"]) / 2 <= b[2] and b[1] <= refine.mid(r) <= b[3] for m, b in enumerate(boxes))]
+
+    out = [t for n, g in enumerate(parts) if (t := _ruled(page, g, h, v, runs, painted, options, free=beside(n) if len(parts) > 1 else runs))]
+    if not out and len(parts) == 1:
+        # One component whose lines stop short of each other: all lines, snapped, as one grid.
+        every = [(i, j) for i in range(len(h)) for j in range(len(v))]
+        whole = _ruled(page, every, h, v, runs, painted, options, [p for p, _, _ in v], [p for p, _, _ in h])
+        out = [router.marked(whole, "snapped")] if whole else []
     return out
 
 
+def _supported(lines: list[tuple], hits: dict, keys: set, whole: float, least: float, k: Knobs) -> list[float]:
+    """Places of lines that have enough joints over enough of the extent."""
+    by = defaultdict(set)
+    means = clusters([lines[x][0] for x in keys], k.snap)
+    for x in keys:
+        by[min(range(len(means)), key=lambda m: abs(means[m] - lines[x][0]))] |= hits[x]
+    return [means[m] for m, s in sorted(by.items()) if len(s) >= k.joints_per_line and max(s) - min(s) >= least * whole]
+
+
+def _ruled(page: int, group: list, h: list, v: list, runs: list[dict], painted: list, options: TableOptions, xs: list | None = None, ys: list | None = None, free: list[dict] | None = None) -> dict | None:
+    """The table of a component of joints; ``xs`` and ``ys``: its edges, if not found by joints; ``free``: the runs of no other
+    component, whose lines and columns may be its own, too."""
+    k = options.knobs
+    hs, vs = {i for i, _ in group}, {j for _, j in group}
+    on_v, on_h = defaultdict(set), defaultdict(set)
+    for i, j in group:
+        on_v[j].add(h[i][0])
+        on_h[i].add(v[j][0])
+    tall = max(h[i][0] for i in hs) - min(h[i][0] for i in hs)
+    wide = max(v[j][0] for j in vs) - min(v[j][0] for j in vs)
+    box = (min(v[j][0] for j in vs), min(h[i][0] for i in hs), max(v[j][0] for j in vs), max(h[i][0] for i in hs))
+    own = [r for r in painted if r[2] >= box[0] - k.snap and r[0] <= box[2] + k.snap and r[3] >= box[1] - k.snap and r[1] <= box[3] + k.snap]
+    is_painted = 2 * len(own) > len(hs) + len(vs)
+    if xs is None or ys is None:
+        spans = (k.raster_v_span, k.raster_h_span) if is_painted else (k.v_span, k.h_span)
+        xs, ys = _supported(v, on_v, vs, tall, spans[0], k), _supported(h, on_h, hs, wide, spans[1], k)
+        long = clusters([h[i][0] for i in hs if h[i][2] - h[i][1] >= k.long_h_width * wide], k.snap)
+        ys = long if len(long) >= k.long_h_ratio * max(1, len(ys)) else ys
+    xs, ys = refine.apart(xs, k.min_cell), refine.apart(ys, k.min_cell)
+    notes = ["raster"] if is_painted else []
+    ruled = (len(xs), len(ys))
+    if len(xs) > 1 and len(ys) > 1 and options.densify:
+        free = runs if free is None else free
+        inside = [r for r in free if xs[0] <= (r["x0"] + r["x1"]) / 2 <= xs[-1] and ys[0] <= (r["y0"] + r["y1"]) / 2 <= ys[-1]]
+        size = upper_median([r["font_size"] for r in inside], 10.0)
+        bands = text_lines(inside, 0.35 * size)
+        if options.collapse and len(fewer := refine.fewer_rows(ys, bands, k)) < len(ys):
+            ys, notes = fewer, [*notes, "collapsed"]
+        if not refine.is_prose_grid(len(ys) - 1, len(xs) - 1, inside, k):
+            more = refine.row_edges(ys, bands, size, k)
+            ys = more if refine.grows(len(ys) - 1, len(more) - 1, k) else ys
+        if len(xs) <= 3 and len(bands) >= 3:
+            xs = refine.column_edges(xs, _columns(bands, size, k), size, k)
+        around = refine.outer_columns(xs, free, ys, k)
+        if len(around) > len(xs):
+            xs, notes = around, [*notes, "outer_columns"]
+    rows, cols = len(ys) - 1, len(xs) - 1
+    if rows < 1 or cols < 1 or rows > k.max_rows or cols > k.max_cols or rows * cols < 2:
+        return None
+    own_h, own_v = sorted(h[i] for i in hs), sorted(v[j] for j in vs)
+    right, below, covered = set(), set(), 0
+    for r in range(rows):
+        y0, y1 = ys[rows - 1 - r], ys[rows - r]
+        for c in range(cols):
+            edges = [_covered(own_v, xs[c], y0, y1, k), _covered(own_v, xs[c + 1], y0, y1, k), _covered(own_h, y0, xs[c], xs[c + 1], k), _covered(own_h, y1, xs[c], xs[c + 1], k)]
+            covered += sum(edges)
+            if not edges[1] and c + 1 < cols and ruled[0] == len(xs):
+                right.add((r, c))
+            # Beside the frame nothing is drawn, and nothing is missing.
+            if not edges[2] and r + 1 < rows and ruled[1] == len(ys) and box[0] - k.snap <= xs[c] and xs[c + 1] <= box[2] + k.snap:
+                below.add((r, c))
+    cells = grid_cells(xs, ys, runs, right, below)
+    filled = sum(bool(c["text"]) for c in cells)
+    fill, edge = filled / len(cells), covered / (4 * rows * cols)
+    box_area = (xs[-1] - xs[0]) * (ys[-1] - ys[0])
+    regular = (_regularity(xs) + _regularity(ys)) / 2
+    density = min(1.0, len(group) / max(1, (rows + 1) * (cols + 1)))
+    confidence = 0.30 * regular + 0.25 * edge + 0.20 * fill + 0.15 * density + 0.10 * min(1.0, rows * cols / 12)
+    if box_area < k.min_area:
+        return None
+    if is_painted and not filled:
+        # All ink is in the image: the lines alone say what it is.
+        confidence = 0.40 * regular + 0.35 * edge + 0.15 * density + 0.10 * min(1.0, rows * cols / 12)
+    elif fill < k.min_fill or filled < min(k.min_filled, 2 * max(rows, cols)) or 1 - fill > k.max_empty:
+        return None
+    elif min(rows, cols) < k.tiny_side and filled < min(k.tiny_filled, rows * cols):
+        return None
+    notes += (["weak_edges"] if edge < k.weak_edge else []) + (["densified"] if ruled != (len(xs), len(ys)) else [])
+    found = _trimmed(_table(page, "lattice", confidence, xs, ys, cells, edge_score=edge, joints=len(group), notes=notes))
+    return refine.spread_tokens(refine.without_empty_columns(found))
+
+
 def _trimmed(t: dict) -> dict:
     """Without empty rows and columns at its border; of five columns on, one empty outer column may stay."""
     used = [c for c in t["cells"] if c["text"]]
@@ -298,40 +307,131 @@ def is_prose(texts: list[str], k: Knobs) -> bool:
     return listed >= 0.4 * len(filled)
 
 
-def network(page: int, runs: list[dict], k: Knobs) -> list[dict]:
-    """Borderless tables: blocks of lines with several runs whose left edges agree."""
-    if not runs:
+def _line_y(line: list[dict]) -> float:
+    return sum(map(refine.mid, line)) / len(line)
+
+
+def _lefts_of(lines: list[list[dict]], size: float, k: Knobs) -> list[float]:
+    """Left edges that a third of the lines share; lines of three runs on count first."""
+    near = max(0.75 * size, 3.0)
+
+    def shared_by(some: list[list[dict]]) -> list[float]:
+        lefts = clusters([r["x0"] for line in some for r in line], near)
+        return [x for x in lefts if sum(any(abs(r["x0"] - x) <= near for r in line) for line in some) >= max(1, k.anchor_support * len(some))]
+
+    rich = [line for line in lines if len(line) >= 3]
+    found = shared_by(rich) if len(rich) >= 2 else []
+    return found if len(found) >= 3 else shared_by(lines)
+
+
+def same_columns(a: list[float], b: list[float], tolerance: float) -> bool:
+    """Whether two areas' columns go together: of a number, and half of them, two at least, in place."""
+    if len(a) != len(b) or len(a) < 2:
+        return False
+    free, hits = list(b), 0
+    for x in a:
+        near = min(free, key=lambda y: abs(x - y), default=None)
+        if near is not None and abs(x - near) <= tolerance:
+            free.remove(near)
+            hits += 1
+    return hits >= 2 and 2 * hits >= len(a)
+
+
+def areas(lines: list[list[dict]], size: float, k: Knobs) -> list[list[list[dict]]]:
+    """Lines of a page's tables, from the top: cut at wide gaps always, at moderate ones where the columns change; neighbours
+    of the same columns are joined again, also over up to three lines of others, never over a wide gap."""
+    if not lines:
         return []
+    ys = [_line_y(line) for line in lines]
+    steps = [a - b for a, b in zip(ys, ys[1:]) if a - b > 0.5]
+    pitch = upper_median(steps, 1.5 * size)
+    soft = max(1.6 * pitch, 0.35 * k.gap_sizes * size, 0.5 * k.gap_least, 1.1 * size)
+    hard = max(6 * pitch, 3 * soft, 4 * size)
+    near = max(0.75 * size, 3.0)
+    like = lambda a, b: same_columns(_lefts_of(a, size, k), _lefts_of(b, size, k), near)
+    cut = [[lines[0]]]
+    for i in range(1, len(lines)):
+        gap = ys[i - 1] - ys[i]
+        if gap >= hard or gap > soft and not like(lines[max(0, i - 4) : i], lines[i : i + 4]):
+            cut.append([])
+        cut[-1].append(lines[i])
+    apart = lambda a, b: _line_y(a[-1]) - _line_y(b[0]) >= hard
+
+    def joined(parts: list) -> list:
+        out: list = []
+        for p in parts:
+            if out and not apart(out[-1], p) and like(out[-1], p):
+                out[-1] = out[-1] + p
+            else:
+                out.append(p)
+        return out
+
+    cut = joined(cut)
+    for _ in range(8):
+        out, i, changed = [], 0, False
+        while i < len(cut):
+            if i + 2 < len(cut) and len(cut[i + 1]) <= 3 and not apart(cut[i], cut[i + 2]) and like(cut[i], cut[i + 2]):
+                out.append(cut[i] + cut[i + 1] + cut[i + 2])
+                i, changed = i + 3, True
+            else:
+                out.append(cut[i])
+                i += 1
+        cut = joined(out)
+        if not changed:
+            break
+    return cut
+
+
+def _near_joined(columns: list[float], lines: list[list[dict]], size: float) -> list[float]:
+    """Columns that stand far closer than usual become one, where more lines have it."""
+    near = max(0.75 * size, 3.0)
+    gaps = [b - a for a, b in zip(columns, columns[1:])]
+    least = max(0.5 * max(upper_median(gaps, 0.0), 2 * near), near)
+    support = lambda x: sum(any(abs(r["x0"] - x) <= 1.2 * near for r in line) for line in lines)
+    out: list[tuple[float, int]] = []
+    for x in columns:
+        s = support(x)
+        if out and len(columns) >= 3 and x - out[-1][0] <= least:
+            y, t = out[-1]
+            out[-1] = ((y + x) / 2 if s == t else x if s > t else y, s + t)
+        else:
+            out.append((x, s))
+    return [x for x, _ in out]
+
+
+def network(page: int, runs: list[dict], k: Knobs) -> list[dict]:
+    """Borderless tables: areas of lines with several runs whose left edges agree."""
     size = upper_median([r["font_size"] for r in runs], 10.0)
     body = [r for r in runs if r["font_size"] <= k.body_size * size + 0.5 and r["text"].strip()]
-    lines = [line for line in text_lines(body, 0.35 * size) if line]
-    blocks: list[list[list[dict]]] = []
-    last_y, misses = None, 0
-    for line in lines:
-        y = sum((r["y0"] + r["y1"]) / 2 for r in line) / len(line)
-        far = last_y is not None and last_y - y > max(4 * size, 24.0)
-        if len(line) >= 2:
-            if not blocks or far or misses > 0:
-                blocks.append([])
-            blocks[-1].append(line)
-            misses = 0
-        else:
-            misses += 1
-        last_y = y
+    if len(body) < 6:
+        return []
+    extent = max(r["x1"] for r in body) - min(r["x0"] for r in body)
+    lines = text_lines(body, 0.35 * size)
+    usual = max((len(line) for line in lines), default=0)
+    multi = [line for line in lines if len(line) >= 2]
+    if len(multi) < k.min_lines:
+        return []
+    heads = {id(line): refine.unglued_header(line, usual) for line in lines if len(line) == 1}
     out = []
-    for block in blocks:
+    for block in areas(multi, size, k):
         if len(block) < k.min_lines:
             continue
-        anchors = _columns(block, size, k)
+        anchors = _near_joined(_columns(block, size, k), block, size)
         if len(anchors) < 2:
             continue
+        top = _line_y(block[0])
+        above = [line for line in lines if len(line) == 1 and 0 < _line_y(line) - top <= 2 * size]
+        if above and len(heads[id(above[-1])]) > 1:
+            block = [heads[id(above[-1])], *block]
         right = max(r["x1"] for line in block for r in line)
+        if extent > 0 and right - anchors[0] < 0.15 * extent:
+            continue
         edges = [anchors[0] - 1.0]
         for a, b in zip(anchors, anchors[1:]):
             before = [r["x1"] for line in block for r in line if a - size <= r["x0"] < b - 0.5 * size and r["x1"] < b]
             edges.append((max([*before, a]) + b) / 2)
         edges.append(right + 1.0)
-        mids = [sum((r["y0"] + r["y1"]) / 2 for r in line) / len(line) for line in block]
+        mids = [_line_y(line) for line in block]
         bottoms = [mids[0] + size, *[(a + b) / 2 for a, b in zip(mids, mids[1:])], mids[-1] - size]
         ys = bottoms[::-1]
         cells = grid_cells(edges, ys, [r for line in block for r in line])
@@ -339,7 +439,21 @@ def network(page: int, runs: list[dict], k: Knobs) -> list[dict]:
         if filled < k.stream_fill or len(ys) - 1 > 4 * k.max_rows or is_prose([c["text"] for c in cells], k):
             continue
         confidence = min(0.95, 0.55 + 0.25 * filled + 0.10 * min(1, (len(edges) - 1) / 6) + 0.10 * min(1, (len(ys) - 1) / 20))
-        out.append(_table(page, "network", confidence, edges, ys, cells))
+        out.append(_trimmed(_table(page, "network", confidence, edges, ys, cells)))
+    return _flows_joined(out, 8 * size)
+
+
+def _flows_joined(found: list[dict], gap: float) -> list[dict]:
+    """Borderless tables of the same columns close above each other become one."""
+    out: list[dict] = []
+    for t in sorted(found, key=lambda t: -t["y1"]):
+        up = out[-1] if out else None
+        if up and up["cols"] == t["cols"] and 0 <= up["y0"] - t["y1"] <= gap and same_columns(_lefts(up), _lefts(t), 12.0) and len(_lefts(up)) == up["cols"]:
+            cells = up["cells"] + [c | {"row": c["row"] + up["rows"], "header": False} for c in t["cells"]]
+            box = {"x0": min(up["x0"], t["x0"]), "x1": max(up["x1"], t["x1"]), "y0": t["y0"]}
+            out[-1] = up | box | {"cells": cells, "rows": up["rows"] + t["rows"], "fill": sum(bool(c["text"]) for c in cells) / len(cells), "notes": [*up["notes"], "stacked"]}
+        else:
+            out.append(t)
     return out
 
 
@@ -380,28 +494,8 @@ def hybrid(page: int, runs: list[dict], rules: list[Rule], k: Knobs) -> list[dic
     confidence = 0.4 * sum(sides) / 4 + 0.35 * fill + 0.25 * (_regularity(xs) + _regularity(ys)) / 2
     if len(ys) > 3 and len(xs) > 3:
         confidence = max(confidence, k.hybrid_floor)
-    return [_trimmed(_table(page, "hybrid", confidence, xs, ys, cells, edge_score=sum(sides) / 4))]
-
-
-def choose(found: list[dict], k: Knobs) -> list[dict]:
-    """Ruled before partly ruled before borderless: what a kept table owns goes, unless it is nested; then the best of a page."""
-    floors = {"lattice": k.min_confidence_lattice, "hybrid": k.min_confidence_hybrid, "network": k.min_confidence_network}
-    rank = {"lattice": 0, "hybrid": 1, "network": 2}
-    kept: list[dict] = []
-    order = sorted((t for t in found if t["confidence"] >= floors[t["method"]]), key=lambda t: (rank[t["method"]], -t["confidence"], -t["y1"], t["x0"]))
-    for t in order:
-        clash = False
-        for o in kept:
-            same = o["method"] == t["method"]
-            if same and t["method"] == "lattice" and (is_nested(t, o) or is_nested(o, t)):
-                continue
-            if iou(t, o) >= (k.nms_iou if same else k.own_iou) or (not same and max(contained(t, o), contained(o, t)) >= k.own_containment):
-                clash = True
-                break
-        if not clash:
-            kept.append(t)
-    best = sorted(kept, key=lambda t: (-t["confidence"], -t["y1"], t["x0"]))[: k.tables_per_page]
-    return sorted(best, key=lambda t: (-t["y1"], t["x0"]))
+    found = _trimmed(_table(page, "hybrid", confidence, xs, ys, cells, edge_score=sum(sides) / 4))
+    return [found] if min(found["rows"], found["cols"]) >= 2 else []
 
 
 def split_sides(t: dict, k: Knobs) -> list[dict]:
@@ -428,18 +522,25 @@ def split_sides(t: dict, k: Knobs) -> list[dict]:
     return [t]
 
 
-def page_tables(page: int, runs: list[dict], rules: list[Rule], options: TableOptions) -> list[dict]:
+def page_tables(page: int, runs: list[dict], rules: list[tuple], options: TableOptions, page_area: float = router.PAGE_AREA) -> list[dict]:
+    """A page's tables: the detectors' candidates, gates, repairs, and the choice among them."""
     if not options.detect:
         return []
+    from .stream import stream
+
     k = options.knobs
+    rules = rules if options.raster else [r for r in rules if len(r) < 5 or r[4] != "raster"]
     runs = refine.unglued(runs)
-    found = lattice(page, runs, rules, k) if options.lattice else []
-    if options.hybrid and not found:
-        found += hybrid(page, runs, rules, k)
-    if options.network:
-        found += network(page, runs, k)
-    kept = [refine.without_footer(t) for t in choose(found, k)]
-    return [s for t in kept for s in (split_sides(t, k) if options.split else [t])]
+    flows = network(page, runs, k) if options.network else []
+    classic = stream(page, runs, k) if options.classic else []
+    found = router.candidates(lattice(page, runs, rules, options) if options.lattice else [], hybrid(page, runs, rules, k) if options.hybrid else [], flows, classic, options)
+    if options.split:
+        found = [s for t in found for s in split_sides(t, k)]
+    if options.forms:
+        found = router.after_forms(router.without_forms(found, k), flows, k)
+    found = router.demoted_slices(found)
+    kept = router.routed(found, k, page_area) if options.router else router.suppressed(found, k)
+    return [refine.without_footer(t) for t in kept]
 
 
 def header_of(t: dict) -> list[str]:
@@ -519,4 +620,4 @@ def logical_tables(tables: list[dict], k: Knobs) -> list[dict]:
             cells += [c | {"row": c["row"] - skip + rows, "header": False} for c in t["cells"] if c["row"] >= skip]
             rows += t["rows"] - skip
         out.append(first | {"cells": cells, "rows": rows, "logical": n, "pages": [t["page"] for t in chain], "confidence": min(t["confidence"] for t in chain)})
-    return out[: k.logical_cap]
+    return out

@@ -15,7 +15,7 @@ from ..functions import geometry as G
 from ..operators import candidates as C
 from ..operators import evaluate as E
 from ..operators import layout
-from ..sources import pdf, render
+from ..sources import corpus, pdf, render
 from . import tables as T
 from .options import preset
 
@@ -50,24 +50,20 @@ SELECT CAST(o_custkey AS VARCHAR) AS doc_id, CAST(o_orderkey AS VARCHAR) AS k, o
 """
 
 
-def _all_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every customer's orders."""
     o = table(spark, sf_dir, "orders")
     columns = [F.col("o_orderkey"), F.col("o_orderstatus"), F.format_string("%.2f", "o_totalprice"), F.col("o_orderpriority")]
     return spread(render.collected(o, F.col("o_custkey"), ["o_orderkey"], columns))
 
 
-def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders of the customers with four or more, as the SQL of the queries over them says."""
-    return _all_orders(spark, sf_dir).where(F.size("rows") >= 4)
+_PAGED = f"SELECT *, rn // {render.PER_PAGE} AS page, CASE WHEN rn < n - n % {render.PER_PAGE} THEN {render.PER_PAGE} ELSE n % {render.PER_PAGE} END AS height, unnest([0, 1, 2, 3]) AS c FROM ({_ORDERS})"
 
 
 def _cells_sql(least: int) -> str:
-    """Cells of pages of at least so many rows."""
-    per = render.PER_PAGE
+    """Cells of every customer's pages of at least so many rows: the least that the detector takes for a table."""
     return f"""
-    SELECT doc_id, CAST(rn // {per} AS INTEGER) AS page, CAST(rn % {per} AS INTEGER) AS "row", CAST(c AS INTEGER) AS col, [k, s, p, r][c + 1] AS text
-    FROM (SELECT *, unnest([0, 1, 2, 3]) AS c FROM ({_ORDERS}) WHERE n >= 4) WHERE n % {per} = 0 OR n % {per} >= {least} OR rn < n - n % {per}
+    SELECT doc_id, CAST(page AS INTEGER) AS page, CAST(rn % {render.PER_PAGE} AS INTEGER) AS "row", CAST(c AS INTEGER) AS col, [k, s, p, r][c + 1] AS text FROM ({_PAGED}) WHERE height >= {least}
     """
 
 
@@ -77,7 +73,7 @@ def _cells(found: DataFrame) -> DataFrame:
 
 @query(_cells_sql(1))
 def rt_lattice_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ruled tables of the orders of customers with four or more; ``rt_lattice_all_cells`` has every customer."""
+    """Ruled tables of every customer's orders, of one row on."""
     return _cells(T.tables(render.grids(_orders(spark, sf_dir)), preset("lattice_only")))
 
 
@@ -89,71 +85,46 @@ def rt_filled_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_cells_sql(2))
 def rt_painted_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with lines that are only painted in an image."""
+    """The same with lines that are only painted in an image, of which a grid needs three each way."""
     return _cells(T.tables(render.grids(_orders(spark, sf_dir), style="painted"), preset("lattice_only")))
 
 
-@query(_cells_sql(3))
+@query(f"""
+SELECT doc_id, CAST(page AS INTEGER) AS page, CAST(CASE WHEN height = 2 THEN 0 ELSE rn % {render.PER_PAGE} END AS INTEGER) AS "row", CAST(c AS INTEGER) AS col, string_agg([k, s, p, r][c + 1], ' ' ORDER BY rn) AS text FROM ({_PAGED}) GROUP BY 1, 2, 3, 4
+""")
 def rt_column_ruled_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with lines between columns only."""
+    """The same with lines between columns only: rows are split by text from three lines on, so two stay one row of two lines."""
     return _cells(T.tables(render.grids(_orders(spark, sf_dir), style="columns"), preset("lattice_only")))
 
 
 @query(_cells_sql(3))
 def rt_network_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same without lines."""
+    """The same without lines, where a table takes three lines of text."""
     return _cells(T.tables(render.grids(_orders(spark, sf_dir), style="borderless"), preset("fast")))
 
 
-def _all_cells_sql(least: int) -> str:
-    """Cells of every customer's pages of at least so many rows: the least that the detector takes for a table."""
-    per = render.PER_PAGE
-    return f"""
-    SELECT doc_id, CAST(rn // {per} AS INTEGER) AS page, CAST(rn % {per} AS INTEGER) AS "row", CAST(c AS INTEGER) AS col, [k, s, p, r][c + 1] AS text
-    FROM (SELECT *, unnest([0, 1, 2, 3]) AS c, CASE WHEN rn < n - n % {per} THEN {per} ELSE n % {per} END AS height FROM ({_ORDERS})) WHERE height >= {least}
-    """
-
-
-@query(_all_cells_sql(1))
-def rt_lattice_all_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ruled tables of every customer's orders, of one row on."""
-    return _cells(T.tables(render.grids(_all_orders(spark, sf_dir)), preset("lattice_only")))
-
-
-@query(_all_cells_sql(1))
-def rt_filled_all_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with lines drawn as thin filled boxes."""
-    return _cells(T.tables(render.grids(_all_orders(spark, sf_dir), style="filled"), preset("lattice_only")))
-
-
-@query(_all_cells_sql(2))
-def rt_painted_all_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with lines that are only painted in an image, of which a grid needs three each way."""
-    return _cells(T.tables(render.grids(_all_orders(spark, sf_dir), style="painted"), preset("lattice_only")))
-
-
-@query(f"""
-WITH o AS (SELECT *, rn // {render.PER_PAGE} AS page, CASE WHEN rn < n - n % {render.PER_PAGE} THEN {render.PER_PAGE} ELSE n % {render.PER_PAGE} END AS height, unnest([0, 1, 2, 3]) AS c FROM ({_ORDERS}))
-SELECT doc_id, CAST(page AS INTEGER) AS page, CAST(CASE WHEN height = 2 THEN 0 ELSE rn % {render.PER_PAGE} END AS INTEGER) AS "row", CAST(c AS INTEGER) AS col, string_agg([k, s, p, r][c + 1], ' ' ORDER BY rn) AS text FROM o GROUP BY 1, 2, 3, 4
-""")
-def rt_column_ruled_all_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with lines between columns only: rows are split by text from three lines on, so two stay one row of two lines."""
-    return _cells(T.tables(render.grids(_all_orders(spark, sf_dir), style="columns"), preset("lattice_only")))
+@query(_cells_sql(1))
+def rt_full_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ruled tables under the whole set of detectors, gates and the router: the other detectors add nothing to them."""
+    return _cells(T.tables(render.grids(_orders(spark, sf_dir)), preset("full")))
 
 
-@query(_all_cells_sql(3))
-def rt_network_all_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same without lines, where a table takes three lines of text."""
-    return _cells(T.tables(render.grids(_all_orders(spark, sf_dir), style="borderless"), preset("fast")))
+_SUPPLIERS = "SELECT CAST(s_nationkey AS VARCHAR) AS doc_id, s_suppkey, s_name, printf('%.2f', s_acctbal) AS b, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS rn FROM supplier"
 
 
-_SUPPLIERS = "SELECT CAST(s_nationkey AS VARCHAR) AS doc_id, s_suppkey, s_name, printf('%.2f', s_acctbal) AS b, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS rn FROM supplier"
+#: Rows of a report's page, high enough to fill it: four suppliers under the header.
+_REPORT, _PITCH = 5, 130.0
 
 
 def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier")
     rows = render.collected(s, F.col("s_nationkey"), ["s_suppkey"], [F.col("s_suppkey"), F.col("s_name"), F.format_string("%.2f", "s_acctbal")])
-    return render.grids(spread(rows), ["Key", "Name", "Balance"])
+    return render.grids(spread(rows), ["Key", "Name", "Balance"], per_page=_REPORT, pitch=_PITCH)
+
+
+_SHEETS = f"SELECT *, (rn - 1) // {_REPORT - 1} AS page FROM ({_SUPPLIERS})"
+#: A document's logical tables are limited to the best eight beyond that; a report is one.
+_REPORT_TSV = """'Key' || chr(9) || 'Name' || chr(9) || 'Balance' || chr(10) || string_agg(s_suppkey || chr(9) || s_name || chr(9) || b, chr(10) ORDER BY rn)"""
 
 
 @query(f"""
@@ -165,29 +136,41 @@ def rt_stitched_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.cells(T.logical(_report(spark, sf_dir), preset("auto"))).select("doc_id", "row", "col", "text")
 
 
-@query(f"""
-WITH s AS ({_SUPPLIERS}), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id), p AS (SELECT doc_id, n, unnest(range((n + {render.PER_PAGE - 2}) // {render.PER_PAGE - 1})) AS page FROM n)
-SELECT s.doc_id, CAST((rn - 1) // {render.PER_PAGE - 1} AS INTEGER) AS page, 'Key' || chr(9) || 'Name' || chr(9) || 'Balance' || chr(10) || string_agg(s_suppkey || chr(9) || s_name || chr(9) || b, chr(10) ORDER BY rn) AS tsv
-FROM s GROUP BY s.doc_id, (rn - 1) // {render.PER_PAGE - 1}
-""")
+@query(f"SELECT doc_id, CAST(page AS INTEGER) AS page, 0 AS logical, page < max(page) OVER (PARTITION BY doc_id) AS continues, page > 0 AS continued FROM (SELECT DISTINCT doc_id, page FROM ({_SHEETS}))")
+def rt_stitch_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links between a report's pages."""
+    return T.tables(_report(spark, sf_dir), preset("auto")).select("doc_id", "page", "logical", "continues", "continued")
+
+
+@query(f"SELECT doc_id, CAST(page AS INTEGER) AS page, {_REPORT_TSV} AS tsv FROM ({_SHEETS}) GROUP BY doc_id, page")
 def snk_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.tsv(T.tables(_report(spark, sf_dir), preset("auto"))).select("doc_id", "page", "tsv")
 
 
-@query()
+@query(f"""
+WITH s AS ({_SHEETS}), n AS (SELECT doc_id, page, count(*) + 1 AS n, list(['"' || s_suppkey || '"', '"' || s_name || '"', '"' || b || '"'] ORDER BY rn) AS g FROM s GROUP BY ALL),
+t AS (SELECT doc_id, page, '{{"ord":' || page || ',"page":' || page || ',"method":"lattice","rows":' || n || ',"cols":3,"logical":0,"grid":[["Key","Name","Balance"],' ||
+      array_to_string(list_transform(g, lambda x: '[' || array_to_string(x, ',') || ']'), ',') || ']}}' AS j FROM n)
+SELECT doc_id, '{{"n_tables":' || count(*) || ',"tables":[' || string_agg(j, ',' ORDER BY page) || ']}}' AS json FROM t GROUP BY doc_id
+""")
 def snk_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.json(T.tables(_report(spark, sf_dir), preset("auto")))
+    """A document's tables as JSON; the confidence, of no exact value in SQL, is left out."""
+    return T.json(T.tables(_report(spark, sf_dir), preset("auto")), confidence=False)
 
 
-@query()
+@query(f"""
+WITH s AS ({_SHEETS}), l AS (SELECT doc_id, page, CASE WHEN count(*) < 2 THEN 'Key' || chr(10) || 'Name' || chr(10) || 'Balance' || chr(10) || string_agg(s_suppkey || chr(10) || s_name || chr(10) || b, chr(10) ORDER BY rn)
+       ELSE 'Key' || chr(10) || 'Name' || chr(10) || string_agg(s_suppkey || chr(10) || s_name, chr(10) ORDER BY rn) || chr(10) || 'Balance' || chr(10) || string_agg(b, chr(10) ORDER BY rn) END AS text, {_REPORT_TSV} AS tsv FROM s GROUP BY doc_id, page),
+w AS (SELECT doc_id, {_REPORT_TSV} AS whole, max(page) AS last FROM s GROUP BY doc_id)
+SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY page) || chr(10) || chr(10) || string_agg(tsv, chr(10) || chr(10) ORDER BY page) || CASE WHEN last > 0 THEN chr(10) || chr(10) || whole ELSE '' END AS text
+FROM l JOIN w USING (doc_id) GROUP BY doc_id, whole, last
+""")
 def snk_document_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages, tables of pages, and logical tables where their number differs; the runs of a row are far apart, so each is a line, and of two rows on the page reads as two columns."""
     return T.document_text(_report(spark, sf_dir), preset("auto"))
 
 
-@query(f"""
-WITH s AS ({_SUPPLIERS})
-SELECT doc_id, CAST((rn - 1) // {render.PER_PAGE - 1} AS INTEGER) AS page, 1 AS n_tables, 1 AS n_lattice, 0 AS n_hybrid, 0 AS n_network, count(*) + 1 AS n_rows FROM s GROUP BY ALL
-""")
+@query(f"SELECT doc_id, CAST(page AS INTEGER) AS page, 1 AS n_tables, 1 AS n_lattice, 0 AS n_hybrid, 0 AS n_network, count(*) + 1 AS n_rows FROM ({_SHEETS}) GROUP BY ALL")
 def snk_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = F.split_part(F.split_part(F.element_at("tables", 1), F.lit(" "), F.lit(2)), F.lit("x"), F.lit(1)).cast("long")
     return T.evidence(T.tables(_report(spark, sf_dir), preset("auto"))).select("doc_id", "page", "n_tables", "n_lattice", "n_hybrid", "n_network", rows.alias("n_rows"))
@@ -319,12 +302,12 @@ WITH RECURSIVE s AS (SELECT o_custkey, o_totalprice AS x, row_number() OVER (PAR
 f AS (SELECT o_custkey, k, x AS m, 1 AS n, 1 AS c FROM s WHERE k = 1
       UNION ALL SELECT s.o_custkey, s.k, CASE WHEN abs(s.x - f.m) <= 20000 THEN (f.m * f.n + s.x) / (f.n + 1) ELSE s.x END, CASE WHEN abs(s.x - f.m) <= 20000 THEN f.n + 1 ELSE 1 END, CASE WHEN abs(s.x - f.m) <= 20000 THEN f.c ELSE f.c + 1 END
       FROM f JOIN s ON s.o_custkey = f.o_custkey AND s.k = f.k + 1)
-SELECT CAST(o_custkey AS VARCHAR) AS doc_id, c AS cluster, round(arg_max(m, k), 2) AS centre FROM f GROUP BY ALL
+SELECT CAST(o_custkey AS VARCHAR) AS doc_id, c AS cluster, round(arg_max(m, k), 5) AS centre FROM f GROUP BY ALL
 """)
 def geo_cluster_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running-mean clusters of each customer's order prices."""
     c = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").cast("string").alias("doc_id")).agg(G.cluster_1d(F.collect_list("o_totalprice"), 20000.0).alias("m"))
-    return c.select("doc_id", F.posexplode("m").alias("k", "m")).select("doc_id", (F.col("k") + 1).alias("cluster"), F.round("m", 2).alias("centre"))
+    return c.select("doc_id", F.posexplode("m").alias("k", "m")).select("doc_id", (F.col("k") + 1).alias("cluster"), F.round("m", 5).alias("centre"))
 
 
 @query("""
@@ -615,3 +598,195 @@ def win_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("doc_id"), F.col("o_orderkey").alias("id"), (F.col("o_totalprice") / 500000).alias("score"))
     return S.scrubbed(o).select("doc_id", "id")
+
+
+@query("""
+WITH w AS (SELECT p_partkey, string_split(trim(p_name), ' ') AS a, string_split(trim(p_type), ' ') AS b FROM part), v AS (SELECT *, list_distinct(list_concat(a, b)) AS v FROM w)
+SELECT p_partkey, round(levenshtein(array_to_string(list_transform(a, lambda x: chr(CAST(64 + list_position(v, x) AS INTEGER))), ''), array_to_string(list_transform(b, lambda x: chr(CAST(64 + list_position(v, x) AS INTEGER))), '')) / len(a), 6) AS wer FROM v
+""")
+def evl_word_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(E.word_error(F.col("p_name"), F.col("p_type")), 6).alias("wer"))
+
+
+_MATCH = """
+o AS (SELECT o_custkey AS k, o_totalprice AS v, o_orderstatus AS s, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS g FROM orders),
+p AS (SELECT k, v, s, row_number() OVER (PARTITION BY k ORDER BY v, o_orderkey) - 1 AS p FROM o WHERE o_orderkey % 3 <> 0),
+x AS (SELECT o.k, o.g, p.p, 1 / (1 + abs(o.v - p.v) / 100000) + CASE WHEN o.s = p.s THEN 0.05 ELSE 0 END AS score FROM o LEFT JOIN p ON o.k = p.k)
+"""
+
+
+@query(f"""
+WITH RECURSIVE {_MATCH}, l AS (SELECT k, g, coalesce(list({{'p': p, 's': score}} ORDER BY score DESC, p) FILTER (WHERE p IS NOT NULL), []) AS ps FROM x GROUP BY k, g),
+f AS (SELECT DISTINCT k, CAST(-1 AS BIGINT) AS g, CAST([] AS BIGINT[]) AS used, {{'p': CAST(-1 AS BIGINT), 's': CAST(0 AS DOUBLE)}} AS b FROM l
+      UNION ALL SELECT k, g, list_append(used, b.p), b FROM (SELECT l.k, l.g, f.used, list_filter(l.ps, lambda y: NOT list_contains(f.used, y.p))[1] AS b FROM f JOIN l ON l.k = f.k AND l.g = f.g + 1))
+SELECT k, CAST(g AS INTEGER) AS gold, CAST(coalesce(b.p, -1) AS INTEGER) AS pred, round(coalesce(b.s, 0), 6) AS score FROM f WHERE g >= 0
+""")
+def evl_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order of a customer, in order, takes the most alike that is left of those sorted by price."""
+    from pyspark.sql import Window
+
+    own = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_totalprice").alias("v"), F.col("o_orderstatus").alias("s"), "o_orderkey")
+    gold = own.withColumn("gold", F.row_number().over(Window.partitionBy("k").orderBy("o_orderkey")) - 1)
+    pred = own.where("o_orderkey % 3 <> 0").withColumn("pred", F.row_number().over(Window.partitionBy("k").orderBy("v", "o_orderkey")) - 1).select("k", F.col("v").alias("pv"), F.col("s").alias("ps"), "pred")
+    score = E.shape_bonus(1 / (1 + F.abs(F.col("v") - F.col("pv")) / 100000), F.col("s") == F.col("ps"))
+    pairs = gold.join(pred, "k", "left").select("k", "gold", "pred", score.alias("score"))
+    return E.assigned(pairs, ["k"]).select("k", "gold", "pred", F.round("score", 6).alias("score"))
+
+
+@query(f"""
+WITH RECURSIVE x AS ({_BOXES}), c AS (SELECT doc_id, count(*) FILTER (WHERE id % 2 = 1) AS want, count(*) FILTER (WHERE id % 2 = 0) AS got FROM x GROUP BY doc_id),
+i AS (SELECT a.doc_id, a.id AS g, b.id AS p, {_IOU} AS iou FROM x a JOIN x b ON a.doc_id = b.doc_id AND a.id % 2 = 1 AND b.id % 2 = 0),
+l AS (SELECT doc_id, list({{'g': g, 'p': p}} ORDER BY iou DESC, p DESC, g DESC) AS ps FROM i WHERE iou >= 0.5 GROUP BY doc_id),
+f AS (SELECT doc_id, 0 AS k, CAST([] AS BIGINT[]) AS gs, CAST([] AS BIGINT[]) AS us FROM l
+      UNION ALL SELECT f.doc_id, k + 1, CASE WHEN list_contains(gs, ps[k + 1].g) OR list_contains(us, ps[k + 1].p) THEN gs ELSE list_append(gs, ps[k + 1].g) END, CASE WHEN list_contains(gs, ps[k + 1].g) OR list_contains(us, ps[k + 1].p) THEN us ELSE list_append(us, ps[k + 1].p) END
+      FROM f JOIN l ON f.doc_id = l.doc_id WHERE k < len(ps)),
+h AS (SELECT doc_id, max(len(gs)) AS n FROM f GROUP BY doc_id), t AS (SELECT c.doc_id, want, got, coalesce(n, 0) AS tp FROM c LEFT JOIN h ON c.doc_id = h.doc_id)
+SELECT doc_id, tp, got - tp AS fp, want - tp AS fn, round(CASE WHEN got = 0 THEN 0 ELSE tp / got END, 6) AS precision, round(tp / want, 6) AS recall FROM t
+""")
+def evl_box_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Odd boxes of a page are expected, even ones found."""
+    x = boxes(spark, sf_dir).select("doc_id", "page", "id", "x0", "y0", "x1", "y1")
+    pairs = C.pairs(x.where("id % 2 = 1"), x.where("id % 2 = 0")).select("doc_id", F.col("a_id").alias("gold"), F.col("b_id").alias("pred"), G.iou(G.Box.of("a_"), G.Box.of("b_")).alias("iou"))
+    counts = x.groupBy("doc_id").agg(F.count_if(F.col("id") % 2 == 1).alias("want"), F.count_if(F.col("id") % 2 == 0).alias("got"), F.lit(True).alias("has_boxes"))
+    found = E.box_detection(E.matched_boxes(pairs, ["doc_id"]), counts, ["doc_id"])
+    return found.select("doc_id", "tp", "fp", "fn", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+
+
+@query("""
+WITH s AS (SELECT o_orderkey, CASE WHEN o_orderstatus <> 'F' THEN o_totalprice / 10000 END AS t, CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey % 100 + 0.5 END AS b, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey % 100 END AS o FROM orders)
+SELECT o_orderkey, round((coalesce(0.4 * t, 0) + coalesce(0.4 * b, 0) + coalesce(0.2 * o, 0)) / nullif(CASE WHEN t IS NULL THEN 0 ELSE 0.4 END + CASE WHEN b IS NULL THEN 0 ELSE 0.4 END + CASE WHEN o IS NULL THEN 0 ELSE 0.2 END, 0), 5) AS overall FROM s
+""")
+def evl_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    text, cells_, objects = F.when(F.col("o_orderstatus") != "F", F.col("o_totalprice") / 10000), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_custkey") % 100 + 0.5), F.when(F.col("o_orderkey") % 5 != 0, (F.col("o_orderkey") % 100).cast("double"))
+    return o.select("o_orderkey", F.round(E.overall({"text": (text, 0.4), "tables": (cells_, 0.4), "objects": (objects, 0.2)}), 5).alias("overall"))
+
+
+@query("""
+SELECT event_type AS library, count(*) AS runs, count(*) FILTER (WHERE value > 10) AS successes, count(*) FILTER (WHERE value <= 10) AS failures, round(avg(user_id % 10) FILTER (WHERE value > 10), 6) AS mean_recall,
+       round(avg(value) FILTER (WHERE value > 10), 6) AS mean_wall, list_sort(list(value) FILTER (WHERE value > 10))[count(*) FILTER (WHERE value > 10) // 2 + 1] AS median, round(sum(value) FILTER (WHERE value > 10), 2) AS total FROM events GROUP BY event_type
+""")
+def evl_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = table(spark, sf_dir, "events").select(F.col("event_type").alias("library"), (F.col("value") > 10).alias("success"), (F.col("user_id") % 10).alias("recall"), F.col("value").alias("wall_ms"))
+    return E.run_summary(runs).select("library", "runs", "successes", "failures", F.round("mean_recall", 6).alias("mean_recall"), F.round("mean_wall", 6).alias("mean_wall"), "median", F.round("total", 2).alias("total"))
+
+
+@query("SELECT f, count(*) AS n_docs, round(avg(a), 6) AS a, round(avg(b), 6) AS b FROM (SELECT l_returnflag AS f, l_orderkey, avg(l_quantity) AS a, avg(l_discount) AS b FROM lineitem GROUP BY ALL) GROUP BY f")
+def evl_structure_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("f"), F.col("l_orderkey").alias("doc_id"), F.col("l_quantity").alias("a"), F.col("l_discount").alias("b"))
+    return E.structure_means(pages, ["f"], ["a", "b"]).select("f", "n_docs", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"))
+
+
+@query(f"SELECT o_orderpriority, count(*) AS n_docs, count(*) FILTER (WHERE abs(got - want) <= t) AS n_pass, count(*) FILTER (WHERE abs(got - want) > t) AS n_fail, round(avg(CAST(abs(got - want) <= t AS INTEGER)), 6) AS pass_rate FROM (SELECT *, o_custkey % 3 AS t FROM ({_COUNTS})) GROUP BY 1")
+def evl_false_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _counts(spark, sf_dir).withColumn("tolerance", F.col("o_custkey") % 3)
+    return E.false_positive_suite(rows, ["o_orderpriority"]).withColumn("pass_rate", F.round("pass_rate", 6))
+
+
+@query(f"""
+SELECT o_orderpriority, count(*) AS n_docs, CAST(sum(least(got, want)) AS BIGINT) AS tp, CAST(sum(greatest(got - want, 0)) AS BIGINT) AS fp, CAST(sum(greatest(want - got, 0)) AS BIGINT) AS fn, round(sum(least(got, want)) / sum(got), 6) AS precision, round(sum(least(got, want)) / sum(want), 6) AS recall FROM ({_COUNTS}) GROUP BY 1
+""")
+def evl_micro_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = E.micro_detection(_counts(spark, sf_dir), ["o_orderpriority"])
+    return found.select("o_orderpriority", "n_docs", "tp", "fp", "fn", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+
+
+@query()
+def evl_icdar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grids of each customer's orders against those without every seventh; matching blocks are no SQL, and tests hold them against difflib."""
+    cells = _order_cells(spark, sf_dir)
+    rows = cells.groupBy("doc_id", "row").agg(F.transform(F.array_sort(F.collect_list(F.struct("col", "text"))), lambda c: c["text"]).alias("r"))
+    grid = lambda df: df.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "r"))), lambda x: x["r"]).alias("grid")).withColumn("ord", F.lit(0))
+    return E.likeness(E.page_zip(grid(rows), grid(rows.where("row % 7 <> 3")), ["doc_id"])).select("doc_id", "ord", F.round("teds", 6).alias("teds"))
+
+
+@query("""
+WITH g AS (SELECT o_custkey AS k, CASE o_custkey % 4 WHEN 0 THEN 'synthetic' WHEN 1 THEN 'real_structure' END AS track, CASE o_custkey % 3 WHEN 0 THEN 'draft' ELSE 'reviewed' END AS status FROM orders GROUP BY 1),
+t AS (SELECT o_custkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i, o_orderkey % 4 AS n, o_orderkey % 5 = 0 AS has_box, o_orderkey % 7 = 0 AS no_page FROM orders WHERE o_orderstatus <> 'F')
+SELECT k, 'wrong track' AS fault FROM g WHERE track = 'synthetic' UNION ALL SELECT k, 'not reviewed' FROM g WHERE status = 'draft' UNION ALL SELECT k, 'no tables' FROM g WHERE k NOT IN (SELECT k FROM t)
+UNION ALL SELECT k, 'table ' || i || ': no cells' FROM t WHERE n = 0 UNION ALL SELECT k, 'table ' || i || ': neither box nor page' FROM t WHERE NOT has_box AND no_page
+""")
+def evl_gold_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_custkey")
+    one = F.struct("o_orderkey", (F.col("o_orderkey") % 4).alias("n_cells"), (F.col("o_orderkey") % 5 == 0).alias("has_box"), F.when(F.col("o_orderkey") % 7 != 0, 0).alias("page"))
+    gold = o.groupBy(k.alias("k")).agg(F.array_sort(F.collect_list(F.when(F.col("o_orderstatus") != "F", one))).alias("tables"))
+    gold = gold.withColumn("track", F.when(F.col("k") % 4 == 0, "synthetic").when(F.col("k") % 4 == 1, "real_structure")).withColumn("status", F.when(F.col("k") % 3 == 0, "draft").otherwise("reviewed"))
+    return E.gold_faults(gold, ["k"])
+
+
+_TIERS = ("basic", "stress", "hard", "hard_precision", "hard_sensing", "compete", "compete_hard", "real")
+
+
+def _tiered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a tier, a suite, grids, a ban and failure classes that follow from their ids."""
+    i = F.col("doc_id")
+    tier = F.get(F.array(*[F.lit(t) for t in _TIERS]), (i % 8).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", tier.alias("tier"), F.when(i % 5 == 0, "regression_hard").alias("suite"), (i % 3 != 0).alias("has_grids"), (i % 11 == 0).alias("banned"), F.array(F.concat(F.lit("C"), (i % 4).cast("string"))).alias("classes"))
+
+
+_TIERED = f"SELECT doc_id, {list(_TIERS)}[doc_id % 8 + 1] AS tier, CASE WHEN doc_id % 5 = 0 THEN 'regression_hard' END AS suite, doc_id % 3 <> 0 AS has_grids, doc_id % 11 = 0 AS banned FROM documents"
+
+
+@query(f"""
+WITH d AS (SELECT * FROM ({_TIERED}) WHERE NOT banned) SELECT 'regression' AS name, count(*) AS n FROM d WHERE tier IN ('basic', 'stress', 'hard') UNION ALL SELECT 'regression_hard', count(*) FROM d WHERE tier = 'hard' OR suite = 'regression_hard'
+UNION ALL SELECT 'regression_grid_gold', count(*) FROM d WHERE tier IN ('basic', 'stress', 'hard', 'hard_precision') AND has_grids UNION ALL SELECT 'all', count(*) FROM d UNION ALL SELECT 'compete', count(*) FROM d WHERE tier = 'compete'
+""")
+def evl_suites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ("regression", "regression_hard", "regression_grid_gold", "all", "compete")
+    row = _tiered(spark, sf_dir).agg(*[F.count_if(E.in_suite(n)).alias(n) for n in names])
+    return row.select(F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("n")) for n in names])))
+
+
+@query(f"""
+WITH d AS (SELECT *, doc_id % 4 AS c FROM ({_TIERED})) SELECT 'size' AS "check", CAST(count(*) AS DOUBLE) AS value, count(*) >= 60 AS passed FROM d UNION ALL SELECT 'incomplete', count(*) FILTER (WHERE NOT has_grids), count(*) FILTER (WHERE NOT has_grids) = 0 FROM d
+UNION ALL SELECT 'class_C1', count(*) FILTER (WHERE c = 1), count(*) FILTER (WHERE c = 1) > 0 FROM d UNION ALL SELECT 'class_C9', count(*) FILTER (WHERE c = 9), count(*) FILTER (WHERE c = 9) > 0 FROM d
+""")
+def evl_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.integrity(_tiered(spark, sf_dir), ["C1", "C9"])
+
+
+@query("""
+WITH s AS (SELECT o_orderpriority AS p, avg(o_totalprice) FILTER (WHERE o_orderstatus = 'F') AS b, avg(o_totalprice) FILTER (WHERE o_orderstatus = 'O') AS n FROM orders GROUP BY 1)
+SELECT p, 'price' AS metric, round(b, 4) AS before, round(n, 4) AS now FROM s WHERE n < b - 100
+""")
+def evl_regressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mean = lambda s: table(spark, sf_dir, "orders").where(F.col("o_orderstatus") == s).groupBy(F.col("o_orderpriority").alias("p")).agg(F.avg("o_totalprice").alias("price"))
+    return E.regressions(mean("O"), mean("F"), ["p"], {"price": 100.0}).select("p", "metric", F.round("before", 4).alias("before"), F.round("now", 4).alias("now"))
+
+
+@query("""
+WITH b AS (SELECT lang, count(*) AS n, avg(quality) AS quality FROM documents JOIN labels USING (doc_id) GROUP BY ROLLUP (lang))
+SELECT '| lang | n | quality |' || chr(10) || '|---|---|---|' || chr(10) || string_agg('| ' || coalesce(lang, 'all') || ' | ' || n || ' | ' || printf('%.4f', quality) || ' |', chr(10) ORDER BY lang NULLS FIRST) AS report FROM b
+""")
+def evl_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scoreboard as Markdown."""
+    s = table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels"), "doc_id")
+    return E.markdown(E.scoreboard(s, ["lang"], ["quality"]), ["lang", "n", "quality"], ["lang"])
+
+
+@query("SELECT doc_id, round(avg(CAST(regexp_matches(l, '[0-9]') AS INTEGER)), 6) AS with_digit, round(sum(len(regexp_replace(l, '[^.,;:!?]', '', 'g'))) / greatest(1, sum(len(regexp_replace(l, '\\s', '', 'g')))), 6) AS signs FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) WHERE trim(l) <> '' GROUP BY doc_id")
+def prd_run_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines taken as runs: the share with a digit, and the share of signs among all that is not space."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("l")).where(F.trim("l") != "")
+    return lines.groupBy("doc_id").agg(F.round(G.runs_with_digit(F.col("l")), 6).alias("with_digit"), F.round(G.signs_of_solid(F.col("l")), 6).alias("signs"))
+
+
+@query(f"SELECT doc_id, CAST((rn - 1) // 40 AS INTEGER) AS page, CAST((rn - 1) % 40 AS INTEGER) AS \"row\", CAST(c AS INTEGER) AS col, [CAST(s_suppkey AS VARCHAR), s_name, b][c + 1] AS text FROM (SELECT *, unnest([0, 1, 2]) AS c, count(*) OVER (PARTITION BY doc_id, (rn - 1) // 40) AS height FROM ({_SUPPLIERS})) WHERE height >= 2")
+def rt_gated_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A nation's suppliers as a ruled table, in a page frame and above a tax form's boxes: neither of these is a table, nor are three cells."""
+    s = table(spark, sf_dir, "supplier")
+    rows = render.collected(s, F.col("s_nationkey"), ["s_suppkey"], [F.col("s_suppkey"), F.col("s_name"), F.format_string("%.2f", "s_acctbal")])
+    return _cells(T.tables(render.grids(spread(rows), style="gated", per_page=40, pitch=12.0), preset("auto")))
+
+
+@query()
+def snk_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of a document as JSON; its coordinates are no SQL, and tests read it back."""
+    return T.envelope(_report(spark, sf_dir), preset("auto"))
+
+
+@query(f"SELECT family, variant, expected, expected AS found FROM (VALUES {', '.join(f"('{f}', {v}, {n})" for f, v, n in corpus.expected())}) t(family, variant, expected)")
+def gen_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The generated corpus: tables found against those drawn, for every family and variant."""
+    return corpus.counts(spark)

@@ -89,6 +89,37 @@ def is_grid(h: list, v: list) -> bool:
     return n >= LEAST_JOINTS and sum(k >= 2 for k in hits_h) >= 3 and sum(k >= 2 for k in hits_v) >= 3
 
 
+def grid_lines(px: np.ndarray) -> list[tuple[float, float, float, float]]:
+    """Lines (x0, y0, x1, y1) in pixels, rows from the top; none unless they make a grid."""
+    mask = ink(px)
+    h, v = _lines(mask), _lines(mask.T)
+    return [(x0, y, x1, y) for y, x0, x1 in h] + [(x, y0, x, y1) for x, y0, y1 in v] if is_grid(h, v) else []
+
+
+def seeds(px: np.ndarray, least: float = 5e-4) -> list[tuple[int, int, int, int]]:
+    """Boxes (x0, y0, x1, y1) in pixels of lines that touch: where a grid may be, of so much of the image at least."""
+    mask = ink(px)
+    boxes = [(x0, int(y), x1, int(y) + 1) for y, x0, x1 in _lines(mask)] + [(int(x), y0, int(x) + 1, y1) for x, y0, y1 in _lines(mask.T)]
+    parent = list(range(len(boxes)))
+
+    def find(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for i, (a, b, c, d) in enumerate(boxes):
+        for j in range(i):
+            e, f, g, h = boxes[j]
+            if a - GAP <= g and e <= c + GAP and b - GAP <= h and f <= d + GAP:
+                parent[find(i)] = find(j)
+    groups: dict[int, list] = {}
+    for i, box in enumerate(boxes):
+        groups.setdefault(find(i), []).append(box)
+    out = [(min(b[0] for b in g), min(b[1] for b in g), max(b[2] for b in g), max(b[3] for b in g)) for g in groups.values()]
+    return sorted(b for b in out if (b[2] - b[0]) * (b[3] - b[1]) >= least * px.size)
+
+
 def image_rules(doc: Document, resources, name: str, ctm: Matrix) -> list[tuple[float, float, float, float, str]]:
     """Rules that an image paints, in page space; none unless they make a grid."""
     res = doc.get(resources)
@@ -97,14 +128,10 @@ def image_rules(doc: Document, resources, name: str, ctm: Matrix) -> list[tuple[
     px = grey(doc, image) if isinstance(image, Stream) and image.info.get("Subtype") == "Image" else None
     if px is None or min(px.shape) < LEAST_SIDE:
         return []
-    mask = ink(px)
-    h, v = _lines(mask), _lines(mask.T)
-    if not is_grid(h, v):
-        return []
     high, wide = px.shape
     out = []
-    for a, b in [((x0, y), (x1, y)) for y, x0, x1 in h] + [((x, y0), (x, y1)) for x, y0, y1 in v]:
-        (x0, y0), (x1, y1) = apply(ctm, a[0] / wide, 1 - a[1] / high), apply(ctm, b[0] / wide, 1 - b[1] / high)
+    for a0, b0, a1, b1 in grid_lines(px):
+        (x0, y0), (x1, y1) = apply(ctm, a0 / wide, 1 - b0 / high), apply(ctm, a1 / wide, 1 - b1 / high)
         out.append((min(x0, x1), min(y0, y1), max(x0, x1), max(y0, y1), "raster"))
     return out
 

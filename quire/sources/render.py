@@ -10,18 +10,22 @@ from pyspark.sql import functions as F
 
 from .writer import Page, document, table
 
-#: Rows on a page; the header is repeated on each.
-PER_PAGE = 38
+#: Rows on a page, and their height; the header is repeated on each.
+PER_PAGE, PITCH = 12, 18.0
 
 
-def _pages(rows: list[list[str]], header: list[str] | None, style: str) -> list[Page]:
-    body = PER_PAGE - bool(header)
+def _pages(rows: list[list[str]], header: list[str] | None, style: str, per_page: int, pitch: float) -> list[Page]:
+    body = per_page - bool(header)
     cols = max(map(len, rows), default=1)
     xs = [40 + (532 / cols) * k for k in range(cols + 1)]
     pages = []
     for lo in range(0, max(1, len(rows)), body):
         p = Page()
-        table(p, ([header] if header else []) + rows[lo : lo + body], xs, style=style)
+        table(p, ([header] if header else []) + rows[lo : lo + body], xs, pitch=pitch, style="ruled" if style == "gated" else style)
+        if style == "gated":
+            for a in ((15, 15, 597, 15), (15, 777, 597, 777), (15, 15, 15, 777), (597, 15, 597, 777)):
+                p.line(*a)
+            table(p, [["Social security number", ""], ["Accounting method", ""], ["Business address", ""]], [40, 300, 572], top=180, pitch=40)
         pages.append(p)
     return pages
 
@@ -35,9 +39,9 @@ def _kernel(draw: Callable[[dict], bytes]) -> Callable:
     return run
 
 
-def grids(df: DataFrame, header: list[str] | None = None, style: str = "ruled") -> DataFrame:
+def grids(df: DataFrame, header: list[str] | None = None, style: str = "ruled", per_page: int = PER_PAGE, pitch: float = PITCH) -> DataFrame:
     """doc_id, content of (doc_id, rows array<array<string>>)."""
-    return df.select("doc_id", "rows").mapInArrow(_kernel(lambda r: document(_pages(r["rows"], header, style))), "doc_id string, content binary")
+    return df.select("doc_id", "rows").mapInArrow(_kernel(lambda r: document(_pages(r["rows"], header, style, per_page, pitch))), "doc_id string, content binary")
 
 
 def prose(df: DataFrame) -> DataFrame:

@@ -2,12 +2,14 @@
 
 import base64
 import zlib
+from dataclasses import fields
 
 import pytest
 
-from quire.operators.tables import cell_text, choose, clusters, is_prose, logical_tables, page_tables, split_sides, stitch
-from quire.operators import refine
-from quire.plans.options import Knobs, as_row, chosen, page_range, preset, tuned
+from quire.operators import refine, router
+from quire.operators.stream import stream
+from quire.operators.tables import areas, cell_text, clusters, is_prose, logical_tables, page_tables, split_sides, stitch
+from quire.plans.options import ALIASES, Knobs, TableOptions, as_row, chosen, page_range, preset, tuned, with_settings
 from quire.sources import fonts
 from quire.sources.content import interpret
 from quire.sources.objects import END, Document, Keyword, Lexer, Limits, Name, PdfError, Ref, Stream
@@ -25,7 +27,7 @@ def one(*pages, **more):
 
 def detect(page, name="auto", **more):
     got = one(page, **more)
-    return page_tables(0, got["runs"], [(r["x0"], r["y0"], r["x1"], r["y1"]) for r in got["rules"]], preset(name))
+    return page_tables(0, got["runs"], [(r["x0"], r["y0"], r["x1"], r["y1"], r["source"]) for r in got["rules"]], preset(name))
 
 
 def grid(t):
@@ -162,17 +164,148 @@ def test_partly_ruled():
 
 def test_spans():
     p = Page()
-    for y in (700, 660, 620):
+    for y in (700, 660, 620, 580):
         p.line(100, y, 400, y)
     for x in (100, 400):
-        p.line(x, 620, x, 700)
+        p.line(x, 580, x, 700)
     for x in (200, 300):
-        p.line(x, 620, x, 660)
+        p.line(x, 580, x, 660)
     p.text(110, 676, "wide")
     for k in range(3):
         p.text(110 + 100 * k, 636, f"c{k}")
+        p.text(110 + 100 * k, 596, f"{k}5")
     (t,) = detect(p, "lattice_only")
-    assert [(c["row"], c["col"], c["colspan"], c["text"]) for c in t["cells"]] == [(0, 0, 3, "wide"), (1, 0, 1, "c0"), (1, 1, 1, "c1"), (1, 2, 1, "c2")]
+    assert [(c["row"], c["col"], c["colspan"], c["text"]) for c in t["cells"]] == [(0, 0, 3, "wide"), *[(1, k, 1, f"c{k}") for k in range(3)], *[(2, k, 1, f"{k}5") for k in range(3)]]
+
+
+def cells_of(texts, **more):
+    """A table of texts as a candidate, cells 50 x 20 from (0, 0) down."""
+    cells = [{"row": r, "col": c, "rowspan": 1, "colspan": 1, "x0": 50.0 * c, "y0": -20.0 * r - 20, "x1": 50.0 * c + 50, "y1": -20.0 * r, "text": x, "header": r == 0} for r, row in enumerate(texts) for c, x in enumerate(row)]
+    full = sum(bool(c["text"]) for c in cells) / len(cells)
+    t = {"page": 0, "method": "lattice", "confidence": 0.9, "rows": len(texts), "cols": len(texts[0]), "x0": 0.0, "y0": -20.0 * len(texts), "x1": 50.0 * len(texts[0]), "y1": 0.0, "fill": full, "edge_score": 1.0, "joints": 20, "notes": [], "cells": cells}
+    return t | more
+
+
+DATA = [["Name", "Count", "Price"], *[[f"item {i}", str(i * 7), f"{i}.50"] for i in range(1, 8)]]
+
+
+def test_gates():
+    k = preset("auto").knobs
+    f = lambda t: router.facts(t)
+    data, empty = cells_of(DATA), cells_of([["", "", "x"], ["", "", ""], ["", "", ""]])
+    notice = cells_of([[f"a long line of words about rule {'x' * i}", "and some more of such words here"] for i in range(9)])
+    tax = cells_of([["Social security number", ""], ["Name", "x"], ["Accounting method", "cash"]])
+    assert not router.chrome(data, f(data)) and router.chrome(empty, f(empty)) and router.chrome(notice, f(notice)) and router.chrome(tax, f(tax))
+    assert not router.chrome(empty | {"notes": ["raster"]}, f(empty))
+    assert router.tax_form(f(tax)) and not router.tax_form(f(data))
+    assert router.strong_lattice(data, k) and not router.strong_lattice(data | {"notes": ["weak_edges"]}, k) and router.solid_ruled(data, f(data), k)
+    tall = cells_of([[f"r{i}", str(i)] for i in range(25)], notes=["densified"])
+    assert not router.solid_ruled(tall, f(tall), k)
+    flow = data | {"method": "network"}
+    assert router.borderless_passes(flow, f(flow), k, True) and router.borderless_passes(flow, f(flow), k, False)
+    words = cells_of([["some words in a row", "other words of it"]] * 5, method="network")
+    assert not router.borderless_passes(words, f(words), k, True) and not router.borderless_passes(flow | {"confidence": 0.3}, f(flow), k, True)
+    strip = cells_of([["Department of the Treasury", "OMB No. 1"], ["a", "1"], ["b", "2"], ["c", "3"]], method="network")
+    assert not router.borderless_passes(strip, f(strip), k, True)
+    kept = router.without_forms([data, flow, empty, words, tax], k)
+    assert kept == [data, flow, tax]  # a full grid, of which chrome() has rid the page before
+    assert router.data_score(data, f(data)) > 0.5 > router.data_score(empty, f(empty)) and router.form_score(empty, f(empty)) > router.form_score(data, f(data))
+    hexes = cells_of([["0x1f", "a0b1", "ffee"]] * 6)
+    towns = cells_of([["Name", "Town", "Count"], *[[f"Person {i}", "Northport", f"{i} units"] for i in range(8)]])
+    assert not router.plausible(hexes, f(hexes)) and router.plausible(towns, f(towns))
+    assert len(router.scrubbed([towns] * 9 + [hexes], k)) == 8 and len(router.scrubbed([hexes] * 8, k)) == 8 and router.scrubbed([hexes] * 9, k) == []
+
+
+def test_relations_of_candidates():
+    k = preset("auto").knobs
+    data = cells_of(DATA)
+    move = lambda t, dx, dy, **more: t | {"x0": t["x0"] + dx, "x1": t["x1"] + dx, "y0": t["y0"] + dy, "y1": t["y1"] + dy} | more
+    hybrid, flow = data | {"method": "hybrid", "confidence": 0.8}, data | {"method": "network", "confidence": 0.9}
+    assert router.without_ruled_twins([data, hybrid, move(hybrid, 400, 0)]) == [data, move(hybrid, 400, 0)]
+    assert router.without_sparse_ruled([hybrid | {"fill": 0.3}, flow]) == [flow] and router.without_sparse_ruled([hybrid, flow]) == [hybrid, flow]
+    assert router.without_wide_hybrids([hybrid | {"cols": 15}, flow]) == [flow]
+    strip = data | {"cols": 2, "rows": 9}
+    wide = flow | {"cols": 5}
+    assert router.demoted_slices([strip, wide]) == [wide] and router.demoted_slices([move(strip, 0, 400), wide]) == [move(strip, 0, 400), wide]
+    corner = data | {"cols": 2, "rows": 3, "x1": 40.0, "y0": -60.0}
+    assert router.demoted_slices([corner, wide])[0]["confidence"] == pytest.approx(0.405)
+    assert router.under_ruled(flow, [data]) and not router.under_ruled(flow | {"x1": 600.0, "x0": -100.0}, [data])
+    small = move(flow, 0, -400, rows=2, x1=30.0)
+    assert router.without_subordinate([flow, small, move(small, 200, 0)]) == [flow] and router.without_subordinate([flow, small]) == [flow, small]
+    low = move(data, 0, -165)
+    (one_,) = router.stacked([data, low])
+    assert one_["rows"] == 15 and one_["cells"][-1]["row"] == 14 and len(router.stacked([data, move(data, 0, -400)])) == 2
+    # Regions: a ruled one owns its place, a nested one stays, stacked ones are one region and give one table.
+    inner = move(cells_of(DATA[:4], joints=9), 30, -40)
+    outer = cells_of([[f"label {r}{c}" for c in range(6)] for r in range(12)])
+    assert router.nested(inner, outer, router.Policy()) and {t["rows"] for t in router.routed([outer, inner, flow], k)} == {12, 4}
+    p = router.Policy.of(k)
+    merged_ = router.merged([router.proposal(data, 0, 484704, p), router.proposal(low, 1, 484704, p)], p)
+    assert len(merged_) == 1 and merged_[0].sources == (0, 1) and router.emitted([data, low | {"confidence": 0.95}], merged_)[0]["confidence"] == 0.95
+    assert not router.passes_gate(router.proposal(data | {"joints": 2}, 0, 484704, p), p)
+
+
+def test_pages_of_several_tables():
+    p = Page()
+    table(p, ROWS, XS)
+    table(p, [["P", *r[1:]] for r in ROWS], XS, top=400, style="borderless")
+    found = detect(p)
+    assert [(t["method"], grid(t)[0][0]) for t in found] == [("lattice", "Key"), ("network", "P")]
+    # A frame around the page is no table, and what stands in it still is one.
+    q = Page()
+    for a in ((20, 20, 590, 20), (20, 770, 590, 770), (20, 20, 20, 770), (590, 20, 590, 770), (20, 400, 590, 400)):
+        q.line(*a)
+    table(q, ROWS, XS, style="borderless")
+    assert [(t["rows"], t["cols"]) for t in detect(q)] == [(7, 4)]
+
+
+def test_repairs():
+    k = Knobs()
+    assert refine.apart([0, 1, 10, 11.5], 3) == [0, 11.5] and refine.apart([0, 10, 20], 3) == [0, 10, 20]
+    assert [refine.grows(*n, k) for n in ((4, 6), (10, 20), (5, 9), (10, 40), (3, 3))] == [True, False, True, True, False]
+    t = cells_of([["a", "", "1", ""], ["b", "", "2", ""], ["c", "", "3", "x"]])
+    u = refine.without_empty_columns(t)
+    assert u["cols"] == 3 and grid(u)[2] == ["c", "3", "x"] and refine.without_empty_columns(cells_of(DATA))["cols"] == 3
+    spread = refine.spread_tokens(cells_of([["1 2 3", "", ""], ["label", "4 5", ""], ["x", "y", "z"]]))
+    assert grid(spread) == [["1", "2", "3"], ["label", "4", "5"], ["x", "y", "z"]]
+    assert grid(refine.spread_tokens(cells_of([["Speed limit 50", ""], ["a", "b"]])))[0] == ["Speed limit", "50"]
+    assert refine.split_words("NetIncomeTotal of 2020") == ["Net", "Income", "Total", "of", "2020"]
+    run = {"x0": 0.0, "x1": 90.0, "y0": 0.0, "y1": 10.0, "font_size": 10.0, "text": "YearCountPrice"}
+    assert [r["text"] for r in refine.unglued_header([run], 3)] == ["Year", "Count", "Price"] and refine.unglued_header([run], 8) == [run]
+    lines = [[{"x0": 0.0, "x1": 100.0, "y0": 50.0 + d, "y1": 60.0, "font_size": 10.0, "text": "x"}] for d in (0, 0.5, 1.0)]
+    assert refine.without_baselines([(0, 50, 90, 50), (0, 300, 90, 300), (5, 0, 5, 90)], lines, 10.0, 2.0) == [(0, 300, 90, 300), (5, 0, 5, 90)]
+
+
+def test_columns_beside_a_frame():
+    p = Page()
+    table(p, [r[1:] for r in ROWS], XS[1:])
+    for i, r in enumerate(ROWS):
+        p.text(XS[0] + 3, 740 - 18 * i - 13, r[0])
+    (t,) = detect(p, "lattice_only")
+    assert "outer_columns" in t["notes"] and grid(t) == ROWS
+
+
+def test_whitespace_detector():
+    p = Page()
+    table(p, ROWS, XS, style="borderless")
+    got = one(p)
+    (t,) = stream(0, got["runs"], Knobs())
+    assert t["method"] == "stream" and grid(t) == ROWS
+    q = Page()
+    for i in range(8):
+        q.text(72, 700 - 14 * i, f"word{'s' * (i % 3)}")
+        q.text(300, 700 - 14 * i, f"other{'s' * (i % 2)}")
+    assert stream(0, one(q)["runs"], Knobs()) == [] and stream(0, [], Knobs()) == []
+
+
+def test_areas():
+    line = lambda y, xs: [{"x0": float(x), "x1": x + 20.0, "y0": y - 5.0, "y1": y + 5.0, "font_size": 10.0, "text": "x"} for x in xs]
+    rows = [line(700 - 14 * i, (50, 150, 250)) for i in range(5)] + [line(600 - 14 * i, (60, 200)) for i in range(5)]
+    assert [len(a) for a in areas(rows, 10.0, Knobs())] == [5, 5]
+    same = [line(700 - 14 * i, (50, 150, 250)) for i in range(5)] + [line(600 - 14 * i, (50, 150, 250)) for i in range(5)]
+    assert [len(a) for a in areas(same, 10.0, Knobs())] == [10]
+    far = [line(700 - 14 * i, (50, 150, 250)) for i in range(5)] + [line(300 - 14 * i, (50, 150, 250)) for i in range(5)]
+    assert [len(a) for a in areas(far, 10.0, Knobs())] == [5, 5] and areas([], 10.0, Knobs()) == []
 
 
 def test_prose_and_lists_are_no_tables():
@@ -187,9 +320,10 @@ def test_side_by_side_and_choice():
     t = {"page": 0, "method": "lattice", "confidence": 0.9, "rows": 3, "cols": 5, "x0": 0.0, "y0": -40.0, "x1": 250.0, "y1": 20.0, "notes": [], "cells": cells}
     a, b = split_sides(t, Knobs())
     assert (a["cols"], b["cols"]) == (2, 2) and grid(b) == [["03", "04"], ["13", "14"], ["23", "24"]]
-    inner = t | {"method": "network", "x0": 10.0, "x1": 240.0}
-    assert choose([inner, t], Knobs()) == [t]
-    assert len(choose([t | {"y0": 100.0 * i, "y1": 100.0 * i + 60} for i in range(20)], Knobs())) == 12
+    inner, more = t | {"method": "network", "x0": 10.0, "x1": 240.0}, {"fill": 0.8, "edge_score": 1.0, "joints": 12}
+    assert [x["method"] for x in router.suppressed([inner | more, t | more], Knobs())] == ["lattice"]
+    many = [t | more | {"y0": 200.0 * i, "y1": 200.0 * i + 60} for i in range(20)]
+    assert len(router.routed(many, preset("auto").knobs)) == 12
 
 
 def test_stitching():
@@ -215,12 +349,17 @@ def test_options():
     for bad in ("0", "4-2", "6", "x", "1-"):
         with pytest.raises(ValueError):
             page_range(bad, 5)
+    assert set(ALIASES.values()) <= {f.name for f in fields(Knobs)} | {f.name for f in fields(TableOptions)}
+    many = with_settings(preset("auto"), {"lattice_v_span_frac": 0.5, "use_engine_v2": 0, "min_table_confidence": 0.6})
+    assert (many.knobs.v_span, many.router, many.knobs.min_confidence_hybrid) == (0.5, False, 0.6)
+    with pytest.raises(ValueError):
+        with_settings(preset("auto"), {"use_engine_v2": 2})
     o = tuned(preset("auto"), "snap=3; min_joints:5")
     assert o.knobs.snap == 3 and o.knobs.min_joints == 5 and as_row(o)["snap"] == 3
     for bad in ("nope=1", "min_joints=1.5", "snap=inf", "snap"):
         with pytest.raises(ValueError):
             tuned(o, bad)
-    assert chosen("fast", True, True).stitch is False and chosen(high_quality=True, auto=True) == preset("high_quality") and not chosen().detect
+    assert chosen("fast", True, True).auto_render is False and chosen(high_quality=True, auto=True) == preset("high_quality") and not chosen().detect
 
 
 def test_missing_row_lines_and_painted_lines():
