@@ -32,7 +32,7 @@ def row_key(*columns: str) -> Column:
 
 
 #: Bytes of text that travel to a Python worker at once: both sides hold a batch, some as long as the worker lives.
-BATCH = 4 << 20
+BATCH = 2 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
