@@ -6,256 +6,263 @@ has a CRC-32 of its ids. Ids are predicted by orders 2, 1 and 0:
 
 - order 2: the id that followed the last occurrence of the last two ids,
 - order 1: the id that followed the last occurrence of the last id,
-- order 0: how long ago the id last occurred in the block, as a power of two and a rest,
+- order 0: the id most frequent in the block so far; then how long ago the id last
+  occurred, as a power of two and a rest,
 - else the id itself, evenly among all.
 
-Which of the four it is gets coded with frequencies mixed from two adaptive
-contexts (what the orders 2 and 1 propose and whether they agree; what the last
-two ids were coded as), the power of two with its own adaptive frequencies. The
-range coder keeps 48 bits and writes 16 at a time; carries are settled at the
-end. Blocks are independent, so numpy codes LANES of them in step.
+Which of the five it is gets coded with a mix of two adaptive distributions, one
+by what orders 2 and 1 propose and whether they agree, one by what the last id was
+coded as. The mix has a weight of its own in every block, which moves towards the
+distribution that has coded the block's last ids in fewer bits. Counts, weights and
+quantised frequencies are renewed after runs of up to RUN ids; within a run coding
+is shifts and products. The range coder keeps 56 bits and writes 16 at a time;
+carries are settled at the end. All arithmetic is in integers, so a segment reads
+the same everywhere. Blocks are independent, so numpy codes LANES of them in step.
 """
 
 from __future__ import annotations
 
+import math
 import struct
 import zlib
 
 import numpy as np
 
-BLOCK, LANES = 4096, 2048
-MAGIC = b"QTK1"
-_TOP, _MASK = np.uint64(1 << 32), np.uint64((1 << 32) - 1)
-_HASH = 13
-#: Stands in ``past`` for no id; vocabularies are smaller.
+BLOCK, LANES, RUN = 4096, 2048, 64
+MAGIC = b"QTK2"
+_U = np.uint64
+_TOP, _MASK = _U(1 << 40), _U((1 << 40) - 1)
+_12, _16, _40 = _U(12), _U(16), _U(40)
+#: Stands for no id; vocabularies are smaller.
 _NONE = 65_535
-_SLOT = (np.arange(65_536, dtype=np.int64) * 0x9E3779B1 >> 9) & ((1 << _HASH) - 1)
-_MODES, _POWERS = 4, 13
-_CONTEXTS, _HISTORY = 4, 16
+_IDS, _PAIRS = 10, 11
+_SLOT = (np.arange(65_536, dtype=np.int64) * 0x9E3779B1 >> 9) & ((1 << _IDS) - 1)
+_MODES, _CONTEXTS, _POWERS = 5, 4, 13
+_TOTAL = 1 << 12
 _LOG2 = np.floor(np.log2(np.maximum(np.arange(BLOCK + 1), 1))).astype(np.int64)
+#: Bits of a frequency, in 1/64.
+_BITS = np.array([round(64 * math.log2(max(f, 1))) for f in range(_TOTAL + 1)], np.int64)
 
 
 class CorruptBlock(ValueError):
     """A block whose ids don't match its checksum, or a segment of another format."""
 
 
-class _Model:
-    """Predictions and adaptive frequencies of every lane; arrays run over lanes last, so a step is a few whole-array operations.
-
-    Ids stand from row 2 of ``past``; rows 0 and 1 are of no id. Tables hold rows of ``past``.
-    """
+def _shares(counts: np.ndarray) -> np.ndarray:
+    """Counts as shares of _TOTAL along the last axis."""
+    return (counts << 12) // counts.sum(axis=-1, keepdims=True)
 
-    def __init__(self, lanes: int, steps: int, vocabulary: int):
-        self.lanes, self.rows, self.vocabulary = lanes, np.arange(lanes), vocabulary
-        self.past = np.full((steps + 3) * lanes, _NONE, np.uint16)
-        self.after = np.full(lanes << _HASH, 2, np.uint16)  # the row after an id's last, by the id's slot
-        self.after_pair = np.full(lanes << _HASH, 2, np.uint16)
-        self.own = self.rows << _HASH
-        self.by_context = np.full((_MODES, _CONTEXTS * lanes), 2, np.int32)
-        self.by_history = np.full((_MODES, _HISTORY * lanes), 2, np.int32)
-        self.by_power = np.full((_POWERS, lanes), 2, np.int32)
-        self.history = np.zeros(lanes, np.int64)
-        self.cum = np.zeros((_MODES + 1, lanes), np.int64)
 
-    def propose(self, t: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ids that orders 2 and 1 predict for step t in the first n lanes; _NONE: none."""
-        rows, lanes, past = self.rows[:n], self.lanes, self.past
-        one = past[(t + 1) * lanes : (t + 1) * lanes + n]
-        if t == 0:
-            return one, one
-        slot = self.own[:n] + _SLOT.take(one)
-        place = self.after.take(slot).astype(np.int64) * lanes + rows
-        # Another id may have the slot.
-        c1 = np.where(past.take(place - lanes) == one, past.take(place), _NONE)
-        self.after[slot] = t + 2
-        if t == 1:
-            return np.full(n, _NONE, np.uint16), c1
-        two = past[t * lanes : t * lanes + n]
-        slot = self.own[:n] + _SLOT.take(two * np.uint16(40_503) + one)
-        place = self.after_pair.take(slot).astype(np.int64) * lanes + rows
-        same = (past.take(place - lanes) == one) & (past.take(place - 2 * lanes) == two)
-        self.after_pair[slot] = t + 2
-        return np.where(same, past.take(place), _NONE), c1
+def _bounds(shares: np.ndarray) -> np.ndarray:
+    """Rising bounds from 0 to _TOTAL along the first axis, for shares along the last; each has one at least."""
+    n = shares.shape[-1]
+    out = np.zeros((n + 1, *shares.shape[:-1]), np.int32)
+    for k in range(n - 1):
+        out[k + 1] = out[k] + 1 + (shares[..., k] * (_TOTAL - 2 * n) >> 12)
+    out[n] = _TOTAL
+    return out
 
-    def distance(self, t: int, ids: np.ndarray) -> np.ndarray:
-        """Steps back to the last occurrence; 0: none that the slots know."""
-        n = len(ids)
-        after = self.after.take(self.own[:n] + _SLOT.take(ids)).astype(np.int64)
-        return np.where(self.past.take((after - 1) * self.lanes + self.rows[:n]) == ids, t + 3 - after, 0)
 
-    def modes(self, c2: np.ndarray, c1: np.ndarray) -> np.ndarray:
-        """Mixed cumulative frequencies by mode, from 0, for the lanes' contexts."""
-        n = len(c1)
+class _Model:
+    """Predictions and mixed frequencies of every lane; a step is a few operations over whole arrays of the lanes that go on."""
+
+    def __init__(self, lanes: int):
+        self.lanes, self.rows = lanes, np.arange(lanes)
+        self.ids, self.pairs = self.rows << _IDS, self.rows << _PAIRS
+        # An id's or a pair's tag, and what followed it; an id, its count and its last place.
+        self.after = np.full(lanes << _IDS, 0xFFFFFFFF, np.uint32)
+        self.after_pair = np.full(lanes << _PAIRS, 0xFFFFFFFF, np.uint32)
+        self.seen = np.full(lanes << _IDS, _NONE << 32, np.int64)
+        self.last, self.before = np.full(lanes, _NONE, np.int64), np.full(lanes, _NONE, np.int64)
+        self.top, self.top_count = np.full(lanes, _NONE, np.int64), np.zeros(lanes, np.int64)
+        self.coded = np.full(lanes, _MODES - 1, np.int64)
+        self.by_context = np.full((lanes, _CONTEXTS, _MODES), 8, np.int64)
+        self.by_coded = np.full((lanes, _MODES, _MODES), 8, np.int64)
+        self.by_power = np.full((lanes, _POWERS), 8, np.int64)
+        self.weight = np.full(lanes, 128, np.int64)
+        self.said: list[np.ndarray] = []
+        self.powers_said: list[np.ndarray] = []
+        self._renew()
+
+    def _renew(self) -> None:
+        self.context_shares, self.coded_shares = _shares(self.by_context), _shares(self.by_coded)
+        w = self.weight[:, None, None, None]
+        mixed = (w * self.context_shares[:, :, None, :] + (256 - w) * self.coded_shares[:, None, :, :]) >> 8
+        self.modes = _bounds(mixed).reshape(_MODES + 1, -1)
+        self.powers = _bounds(_shares(self.by_power))
+
+    def propose(self, n: int) -> None:
+        """Sets c2, c1, c0, what orders 2, 1 and 0 predict for the next id of the first n lanes, and ``at``, the place of its mode's bounds."""
+        a, b = self.last[:n], self.before[:n]
+        self.slot = self.ids[:n] + _SLOT.take(a)
+        e = self.after.take(self.slot).astype(np.int64)
+        self.c1 = c1 = np.where(e >> 16 == a, e & 0xFFFF, _NONE)
+        u = (b * 0x9E3779B1 + a * 0x85EBCA6B) & 0xFFFFFFFF
+        self.pair, self.tag = self.pairs[:n] + (u >> 32 - _PAIRS), (u >> 4) & 0xFFFF
+        e = self.after_pair.take(self.pair).astype(np.int64)
+        self.c2 = c2 = np.where(e >> 16 == self.tag, e & 0xFFFF, _NONE)
+        self.c0 = self.top[:n]
         context = np.where(c2 == _NONE, c1 != _NONE, 3 - (c2 == c1))
-        self.a = a = context * self.lanes + self.rows[:n]
-        self.h = h = self.history[:n] * self.lanes + self.rows[:n]
-        cum = self.cum
-        for m in range(_MODES):
-            cum[m + 1, :n] = cum[m, :n] + self.by_context[m].take(a) + self.by_history[m].take(h)
-        return cum
-
-    def saw_mode(self, mode: np.ndarray) -> None:
-        n = len(mode)
-        for f, at, width in ((self.by_context, self.a, _CONTEXTS), (self.by_history, self.h, _HISTORY)):
-            f = f.reshape(-1)
-            k = mode * (width * self.lanes) + at
-            f[k] = f.take(k) + 24
-        self.history[:n] = (self.history[:n] * 4 + mode) & (_HISTORY - 1)
-
-    def powers(self, rows: np.ndarray) -> np.ndarray:
-        cum = np.zeros((_POWERS + 1, len(rows)), np.int64)
-        np.cumsum(self.by_power.take(rows, axis=1), axis=0, out=cum[1:])
-        return cum
-
-    def saw_power(self, rows: np.ndarray, power: np.ndarray) -> None:
-        f = self.by_power.reshape(-1)
-        k = power * self.lanes + rows
-        f[k] = f.take(k) + 24
-
-    def age(self, step: int) -> None:
-        """Halves all frequencies now and then, which bounds their sums."""
-        if step & 127 == 127:
-            for f in (self.by_context, self.by_history, self.by_power):
-                f -= f >> 1
-
-
-class _Encoder:
-    def __init__(self, lanes: int, words: int):
-        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, 1 << 48, np.uint64)
-        self.out, self.used = np.zeros((lanes, words), np.uint32), np.zeros(lanes, np.int64)
-
-    def put(self, rows: np.ndarray, cum: np.ndarray, freq: np.ndarray, total: np.ndarray) -> None:
-        r = self.range[rows] // total.astype(np.uint64)
-        low = self.low[rows] + r * cum.astype(np.uint64)
-        span = r * freq.astype(np.uint64)
-        small = np.flatnonzero(span < _TOP)
-        if len(small):
-            k = rows[small]
-            self.out[k, self.used[k]] = low[small] >> np.uint64(32)  # up to 17 bits: the carry is settled in done()
-            self.used[k] += 1
-            low[small] = (low[small] & _MASK) << np.uint64(16)
-            span[small] <<= np.uint64(16)
-        self.low[rows], self.range[rows] = low, span
-
-    def done(self) -> list[bytes]:
-        for shift in (32, 16, 0):
-            k = np.arange(len(self.low))
-            self.out[k, self.used] = self.low >> np.uint64(32)
-            self.used += 1
-            self.low = (self.low & _MASK) << np.uint64(16)
-        carry = np.zeros(len(self.low), np.uint32)
-        for j in range(int(self.used.max()) - 1, -1, -1):
-            v = self.out[:, j] + carry
-            carry = np.where(j < self.used, v >> 16, 0).astype(np.uint32)
-            self.out[:, j] = v & 0xFFFF
-        return [self.out[i, : self.used[i]].astype(">u2").tobytes() for i in range(len(self.low))]
-
-
-class _Decoder:
-    def __init__(self, blobs: list[bytes]):
-        size = max((len(b) for b in blobs), default=0) // 2 + 8
-        self.data = np.zeros((len(blobs), size), np.uint64)
-        for i, b in enumerate(blobs):
-            self.data[i, : len(b) // 2] = np.frombuffer(b, ">u2")
-        self.code = (self.data[:, 0] << np.uint64(32)) | (self.data[:, 1] << np.uint64(16)) | self.data[:, 2]
-        self.range, self.at = np.full(len(blobs), 1 << 48, np.uint64), np.full(len(blobs), 3)
-
-    def peek(self, rows: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(unit, where in the total the code lies)."""
-        r = self.range[rows] // total.astype(np.uint64)
-        return r, np.minimum((self.code[rows] // r).astype(np.int64), total - 1)
-
-    def take(self, rows: np.ndarray, r: np.ndarray, cum: np.ndarray, freq: np.ndarray) -> None:
-        code = self.code[rows] - r * cum.astype(np.uint64)
-        span = r * freq.astype(np.uint64)
-        small = np.flatnonzero(span < _TOP)
-        if len(small):
-            k = rows[small]
-            code[small] = (code[small] << np.uint64(16)) | self.data[k, np.minimum(self.at[k], self.data.shape[1] - 1)]
-            self.at[k] += 1
-            span[small] <<= np.uint64(16)
-        self.code[rows], self.range[rows] = code, span
+        self.at = (self.rows[:n] * _CONTEXTS + context) * _MODES + self.coded[:n]
+
+    def count(self, t: int, x: np.ndarray) -> np.ndarray:
+        """Counts ids x at step t; gives the steps back to their last occurrence, 0: none that the slots know."""
+        n = len(x)
+        slot = self.ids[:n] + _SLOT.take(x)
+        e = self.seen.take(slot)
+        known = e >> 32 == x
+        count = np.where(known, (e >> 16) & 0xFFFF, 0) + 1
+        self.seen[slot] = (x << 32) | (count << 16) | t
+        more = count >= self.top_count[:n]
+        self.top = np.concatenate([np.where(more, x, self.top[:n]), self.top[n:]]) if n < self.lanes else np.where(more, x, self.top)
+        np.maximum(self.top_count[:n], count, out=self.top_count[:n])
+        return np.where(known, t - (e & 0xFFFF), 0)
+
+    def learn(self, t: int, x: np.ndarray, mode: np.ndarray) -> None:
+        n = len(x)
+        self.after[self.slot] = (self.last[:n] << 16) | x
+        self.after_pair[self.pair] = (self.tag << 16) | x
+        self.before[:n] = self.last[:n]
+        self.last[:n] = x
+        self.coded[:n] = mode
+        self.said.append(self.at * _MODES + mode)
+        if t in (15, 31) or t % RUN == RUN - 1:
+            self._adapt()
+
+    def _adapt(self) -> None:
+        joint = np.bincount(np.concatenate(self.said), minlength=self.lanes * _CONTEXTS * _MODES * _MODES).reshape(self.lanes, _CONTEXTS, _MODES, _MODES)
+        contexts, coded = joint.sum(axis=2), joint.sum(axis=1)
+        gain = (contexts * _BITS.take(self.context_shares)).sum(axis=(1, 2)) - (coded * _BITS.take(self.coded_shares)).sum(axis=(1, 2))
+        self.weight = np.clip(self.weight + np.clip(gain >> 5, -32, 32), 16, 240)
+        self.by_context += 24 * contexts - (self.by_context >> 2)
+        self.by_coded += 24 * coded - (self.by_coded >> 2)
+        if self.powers_said:
+            self.by_power += 24 * np.bincount(np.concatenate(self.powers_said), minlength=self.lanes * _POWERS).reshape(self.lanes, _POWERS)
+            self.by_power -= self.by_power >> 2
+        for f in (self.by_context, self.by_coded, self.by_power):
+            np.maximum(f, 3, out=f)
+        self.said, self.powers_said = [], []
+        self._renew()
 
 
 def _encode_lanes(ids: np.ndarray, lengths: np.ndarray, vocabulary: int) -> list[bytes]:
     """ids: (lanes, steps), lanes in falling order of length; what follows a lane's length is ignored."""
     lanes, steps = ids.shape
-    columns = np.ascontiguousarray(ids.T.astype(np.uint16))
-    model, coder, rows = _Model(lanes, steps, vocabulary), _Encoder(lanes, 3 * steps + 8), np.arange(lanes)
-    ones = np.ones(lanes, np.int64)
+    columns = np.ascontiguousarray(ids.T)
+    model, words = _Model(lanes), steps // 2 + 4 * RUN
+    low_all, range_all = np.zeros(lanes, np.uint64), np.full(lanes, 1 << 56, np.uint64)
+    out, used = np.zeros((lanes, words), np.uint32), np.zeros(lanes, np.int64)
     live = np.searchsorted(-lengths, -np.arange(steps), side="left")  # lanes longer than t
     for t in range(steps):
         n = int(live[t])
-        own = columns[t, :n]
-        c2, c1 = model.propose(t, n)
-        back = model.distance(t, own)
-        mode = np.where(own == c2, 0, np.where(own == c1, 1, 3 - (back > 0)))
-        cum = model.modes(c2, c1).reshape(-1)
-        k = mode * lanes + rows[:n]
-        low = cum.take(k)
-        coder.put(rows[:n], low, cum.take(k + lanes) - low, model.cum[_MODES, :n])
-        model.saw_mode(mode)
-        plain = np.flatnonzero(mode > 1)
-        if len(plain):
-            rest, total = own[plain].astype(np.int64), np.full(len(plain), vocabulary)
-            is_recent = np.flatnonzero(mode[plain] == 2)
-            if len(is_recent):
-                recent = plain[is_recent]
-                d = back[recent]
-                p = _LOG2[d]
-                cum = model.powers(recent)
-                k = p * len(recent) + np.arange(len(recent))
-                low = cum.reshape(-1).take(k)
-                coder.put(recent, low, cum.reshape(-1).take(k + len(recent)) - low, cum[-1])
-                model.saw_power(recent, p)
-                total[is_recent] = 1 << p
-                rest[is_recent] = d - total[is_recent]
-            coder.put(plain, rest, ones[: len(plain)], total)
-        model.past[(t + 2) * lanes : (t + 2) * lanes + n] = own
-        model.age(t)
-    return coder.done()
+        x, low, span = columns[t, :n].astype(np.int64), low_all[:n], range_all[:n]
+        model.propose(n)
+        c0 = model.c0
+        back = model.count(t, x)
+        mode = np.where(x == model.c2, 0, np.where(x == model.c1, 1, np.where(x == c0, 2, 4 - (back > 0))))
+        flat, k = model.modes.reshape(-1), mode * model.modes.shape[1] + model.at
+        first = flat.take(k)
+        r = span >> _12
+        low += r * first.astype(np.uint64)
+        r *= (flat.take(k + model.modes.shape[1]) - first).astype(np.uint64)
+        recent = mode == 3
+        power = _LOG2.take(back)
+        k = power * lanes + model.rows[:n]
+        flat = model.powers.reshape(-1)
+        first = np.where(recent, flat.take(k), 0)
+        freq = np.where(recent, flat.take(k + lanes) - first, _TOTAL)
+        r >>= _12
+        low += r * first.astype(np.uint64)
+        r *= freq.astype(np.uint64)
+        any_ = mode == 4
+        r >>= np.where(recent, power, np.where(any_, 16, 0)).astype(np.uint64)
+        low += r * np.where(recent, back - (1 << power), np.where(any_, x, 0)).astype(np.uint64)
+        span[:] = r
+        while len(small := np.flatnonzero(span < _TOP)):
+            v, place = low[small], used[small]
+            out[small, place] = v >> _40  # up to 17 bits: the carry is settled at the end
+            used[small] = place + 1
+            low[small] = (v & _MASK) << _16
+            span[small] <<= _16
+        if len(s := np.flatnonzero(recent)):
+            model.powers_said.append(s * _POWERS + power[s])
+        model.learn(t, x, mode)
+        if t % RUN == RUN - 1 and int(used.max()) + 3 * RUN + 8 > words:
+            words += words // 2
+            out = np.pad(out, ((0, 0), (0, words - out.shape[1])))
+    rows = np.arange(lanes)
+    for _ in range(4):
+        out[rows, used] = low_all >> _40
+        used += 1
+        low_all = (low_all & _MASK) << _16
+    carry = np.zeros(lanes, np.uint32)
+    for j in range(int(used.max()) - 1, -1, -1):
+        v = out[:, j] + carry
+        carry = np.where(j < used, v >> 16, 0).astype(np.uint32)
+        out[:, j] = v & 0xFFFF
+    return [out[i, : used[i]].astype(">u2").tobytes() for i in range(lanes)]
 
 
 def _decode_lanes(blobs: list[bytes], lengths: np.ndarray, vocabulary: int) -> np.ndarray:
     lanes, steps = len(blobs), int(lengths.max())
-    model, coder, rows = _Model(lanes, steps, vocabulary), _Decoder(blobs), np.arange(lanes)
-    ones = np.ones(lanes, np.int64)
+    width = max((len(b) for b in blobs), default=0) // 2 + 8
+    data, code_all = np.zeros((lanes, width), np.uint16), np.zeros(lanes, np.uint64)
+    for i, b in enumerate(blobs):
+        code_all[i] = int.from_bytes(b[:7].ljust(7, b"\0"), "big")
+        rest = np.frombuffer(b[7:] + b"\0" * ((len(b) - 7) % 2), ">u2") if len(b) > 7 else ()
+        data[i, : len(rest)] = rest
+    range_all, read = np.full(lanes, 1 << 56, np.uint64), np.zeros(lanes, np.int64)
+    model = _Model(lanes)
+    past = np.zeros((steps, lanes), np.uint16)
     live = np.searchsorted(-lengths, -np.arange(steps), side="left")
+    one = _U(1)
     for t in range(steps):
         n = int(live[t])
-        c2, c1 = model.propose(t, n)
-        cum = model.modes(c2, c1)
-        unit, where = coder.peek(rows[:n], cum[_MODES, :n])
-        mode = (where >= cum[1, :n]).astype(np.int64) + (where >= cum[2, :n]) + (where >= cum[3, :n])
-        flat, k = cum.reshape(-1), mode * lanes + rows[:n]
-        low = flat.take(k)
-        coder.take(rows[:n], unit, low, flat.take(k + lanes) - low)
-        model.saw_mode(mode)
-        got = np.where(mode == 0, c2, c1)
-        plain = np.flatnonzero(mode > 1)
-        if len(plain):
-            total = np.full(len(plain), vocabulary)
-            is_recent = np.flatnonzero(mode[plain] == 2)
-            if len(is_recent):
-                recent = plain[is_recent]
-                cum = model.powers(recent)
-                unit, where = coder.peek(recent, cum[-1])
-                p = (where >= cum[1:]).sum(axis=0)
-                k = p * len(recent) + np.arange(len(recent))
-                low = cum.reshape(-1).take(k)
-                coder.take(recent, unit, low, cum.reshape(-1).take(k + len(recent)) - low)
-                model.saw_power(recent, p)
-                total[is_recent] = 1 << p
-            unit, rest = coder.peek(plain, total)
-            coder.take(plain, unit, rest, ones[: len(plain)])
-            if len(is_recent):
-                # A corrupt code may point before the block; the checksum tells.
-                back = np.maximum(t + 2 - total[is_recent] - rest[is_recent], 0)
-                rest[is_recent] = model.past[back * lanes + plain[is_recent]]
-            got[plain] = rest
-        model.past[(t + 2) * lanes : (t + 2) * lanes + n] = got
-        model.age(t)
-    return model.past.reshape(-1, lanes)[2 : steps + 2].T
+        code, span = code_all[:n], range_all[:n]
+        model.propose(n)
+        width_ = model.modes.shape[1]
+        flat, at = model.modes.reshape(-1), model.at
+        r = span >> _12
+        where = np.minimum(code // r, _U(_TOTAL - 1)).astype(np.int32)
+        mode = (where >= flat.take(at + width_)).astype(np.int64)
+        for m in range(2, _MODES):
+            mode += where >= flat.take(at + m * width_)
+        k = mode * width_ + at
+        first = flat.take(k)
+        code -= r * first.astype(np.uint64)
+        r *= (flat.take(k + width_) - first).astype(np.uint64)
+        r >>= _12
+        bits = np.where(mode == 4, _16, _U(0))
+        s = np.flatnonzero(mode == 3)
+        freq = np.full(n, _TOTAL, np.uint64)
+        if len(s):
+            own, bounds = r[s], model.powers[:, s]
+            place = np.minimum(code[s] // own, _U(_TOTAL - 1)).astype(np.int32)
+            power = (place >= bounds[1:]).sum(axis=0)
+            cell = power * len(s) + np.arange(len(s))
+            lo = bounds.reshape(-1).take(cell)
+            code[s] -= own * lo.astype(np.uint64)
+            freq[s] = bounds.reshape(-1).take(cell + len(s)) - lo
+            bits[s] = power
+            model.powers_said.append(s * _POWERS + power)
+        r *= freq
+        r >>= bits
+        rest = np.minimum(code // r, (one << bits) - one)
+        code -= r * rest
+        span[:] = r
+        x = np.where(mode == 0, model.c2, np.where(mode == 1, model.c1, np.where(mode == 2, model.c0, rest.astype(np.int64))))
+        if len(s):
+            # A corrupt code may point before the block; the checksum tells.
+            x[s] = past.reshape(-1).take(np.maximum(t - (1 << power) - x[s], 0) * lanes + s)
+        past[t, :n] = x
+        model.count(t, x)
+        while len(small := np.flatnonzero(span < _TOP)):
+            place = read[small]
+            code[small] = (code[small] << _16) | data[small, np.minimum(place, width - 1)]
+            read[small] = place + 1
+            span[small] <<= _16
+        model.learn(t, x, mode)
+    return past.T
 
 
 def encode(ids: np.ndarray, counts: np.ndarray, doc_ids: list[int | None], vocabulary: int) -> bytes:

@@ -9,12 +9,14 @@ committer makes them survive lost executors; each blob stands for itself.
 Defined cases: a null or empty text is its end id alone; rows of one doc_id
 follow each other by the hash of their text; a null doc_id sorts first and is
 kept; a document is never cut between segments, so a segment is as long as
-SEGMENT or its longest document; an empty table writes no segment; other columns
-are not read.
+SEGMENT or its longest document, and its compressed bytes have to stay under 2 GB
+(a text of some 4 GB); an empty table writes no segment; other columns are not
+read, whatever they are called.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -24,12 +26,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import token_coder
-from .common import shuffle_parts, small_batches
+from .common import small_batches
 from .tokens import BYTE_BPE, encoder, tokenizer_path
 
 END_ID, VOCABULARY = 2, 50_257
 #: Ids after which a segment ends: the coder's lanes, all full.
 SEGMENT = token_coder.BLOCK * token_coder.LANES
+#: Bytes of text of a range: about a segment's, as full lanes cost least; of a small input, which then goes to all cores.
+RANGE, LEAST_RANGE = 20 << 20, 4 << 20
 SCHEMA = "range int, number int, documents bigint, ids bigint, segment binary"
 
 
@@ -69,10 +73,13 @@ def _write(path: str) -> Callable:
 
 def write_segments(docs: DataFrame, folder: str, path: str | None = None) -> None:
     """Writes ``docs`` (doc_id, text) as segments in ascending doc_id order."""
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, math.ceil(size / RANGE), min(spark.sparkContext.defaultParallelism, math.ceil(size / LEAST_RANGE)))
     ranges = (
         docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-        .repartitionByRange(shuffle_parts(docs.sparkSession), F.col("doc_id").asc_nulls_first())
+        .repartitionByRange(parts, F.col("doc_id").asc_nulls_first())
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     )
     ranges.mapInArrow(_write(path or tokenizer_path(BYTE_BPE)), SCHEMA).write.parquet(folder)
