@@ -380,10 +380,13 @@ def test_coder_round_trip(ids):
 
 def test_coder_finds_damage_in_its_block_only():
     ids = np.arange(9000) % 50
-    blob = bytearray(token_coder.encode(ids, np.array([9000]), [1], 100))
-    blob[-3] ^= 255
-    with pytest.raises(token_coder.CorruptBlock):
-        token_coder.decode(bytes(blob))
+    whole = token_coder.encode(ids, np.array([9000]), [1], 100)
+    start = 24 + int.from_bytes(whole[16:20], "little")
+    for at in (start, start + 1, start + 9, 30):
+        blob = bytearray(whole)
+        blob[at] ^= 255
+        with pytest.raises(token_coder.CorruptBlock):
+            token_coder.decode(bytes(blob))
     with pytest.raises(token_coder.CorruptBlock):
         token_coder.decode(b"x" * 40)
 
