@@ -3,18 +3,27 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next one's documents. All but the last keep the
 columns of ``documents``.
+
+Defined cases, of every stage: an empty table gives an empty result. A null text
+counts as empty: it is scored as such, has no line to remove, is like no other
+document, holds no test item, and is packed as its end id. A null doc_id is kept:
+it is never learned from, sorts first among repeated lines, and stays beside
+near copies. Repeated rows are one document to line dedup; one of them stays after
+the Jaccard join. Ties go to the smaller doc_id. A very long text is one row in every
+stage, read whole (Spark's limit: 2 GB a value). Other columns than doc_id and
+text pass through, whatever they are called; n_chars, where there is one, follows
+the text.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import decontaminate, jaccard_join, line_dedup, packing, quality
-from quire.llm.common import checkpoint_dir, table
+from quire.llm.common import saver, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +33,10 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later occurrences of three-line windows go; every document stays, and n_chars follows its text."""
-    return line_dedup.line_dedup(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    cut = line_dedup.line_dedup(docs)
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.length("text").cast("long"))
+    return cut.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,10 +67,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    base = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
-        docs = spark.read.parquet(f"{base}/{name}")
+    """All stages over ``documents``; what a stage wrote goes when the next one has, and the last goes at the end of the program."""
+    docs, saves = table(spark, sf_dir, "documents"), []
+    for _, stage in STAGES:
+        made = stage(spark, docs, sf_dir)
+        save = saver(spark)
+        docs_before, docs = docs, save(made)
+        if saves:
+            saves[-1].drop(docs_before)
+        saves.append(save)
     return docs
