@@ -57,3 +57,27 @@ def test_run(spark, folder):
     rows = corpus_pipeline.run(spark, folder).collect()
     ids = {r["doc_id"] for r in rows}
     assert not ids & (set(range(122, 125)) | set(range(129, 169))) and set(range(2, 120)) <= ids
+
+
+def test_stages_on_odd_tables(spark, folder):
+    """Each stage on its own: an empty table, null ids and texts, repeated rows, a long text and a clashing column."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    good = docs.where("doc_id = 3").first()["text"]
+    long = " ".join(f"w{i % 997}x{i}" for i in range(30_000))
+    rows = [(1, good, "en", "s", 5, 7), (1, good, "en", "s", 5, 7), (None, good, "en", "s", 5, 8), (2, None, "en", "s", None, 9), (3, "", None, None, 0, 1), (4, long, "en", "s", 9, 2)]
+    odd = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, `_key` bigint")
+    for name, stage in corpus_pipeline.STAGES:
+        none = stage(spark, odd.limit(0), folder)
+        assert none.count() == 0
+        got = stage(spark, odd, folder)
+        if name != "best_fit_packing":
+            assert none.columns == odd.columns == got.columns
+        found = got.collect()
+        if name == "line_dedup":
+            assert sorted((r["_key"] for r in found)) == [1, 2, 7, 7, 8, 9] and {r["n_chars"] for r in found if r["doc_id"] == 4} == {len(long)}
+        if name == "ngram_jaccard_join":
+            assert sorted((r["_key"] for r in found)) == [1, 2, 7, 8, 9]
+        if name == "benchmark_decontamination":
+            assert len(found) == 6
+        if name == "best_fit_packing":
+            assert sum(r["length"] for r in found if r["doc_id"] == 2) == 1 and len([r for r in found if r["doc_id"] == 4]) > 1 and sum(r["doc_id"] is None for r in found) == 1
