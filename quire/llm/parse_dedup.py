@@ -13,18 +13,26 @@ trigger, wherever they stand.
    those in more than one document. A false hit costs a row, never a match.
 2. Phrases, cut to the windows of the sides in the bitmap, are sent to their
    trigger. Of phrases that a slice repeats, the bytes go once.
-3. Per trigger, in doc_id order, the windows (suffixes of the phrase dictionary,
-   cut at 50 bytes and ordered by hash) get the smallest doc_id they start in; a
-   window is covered if that is smaller than its own.
-4. Covered runs return to their documents, which are cut and hashed.
-
-The suffix array of the parse itself isn't needed: it would order matches longer
-than a phrase, and a byte is judged by 50-byte strings alone.
+3. Per trigger the distinct phrases are the dictionary, and the occurrences of a
+   phrase, in doc_id order, are its place in the parse. The suffixes of the
+   dictionary's phrases that are windows are put in order: by their first eight
+   bytes, then by the hash of all 50, which brings equal ones together.
+4. Dictionary and parse combine: a string first occurs in the smallest of the
+   documents in which the phrases that have it first occur. An occurrence of a phrase
+   in a later document than its first is covered whole; in the first one, the
+   windows are covered whose string occurs in a smaller document.
+5. Covered runs return to their documents, which are cut and hashed.
+
+What the parse's own suffixes would add is the order of matches longer than a
+phrase. A byte is judged by 50-byte strings, each whole in one phrase, so the
+parse is used for its occurrences and isn't sorted.
 
 Defined cases: a null text counts as empty; texts under 50 bytes have no window;
 rows of equal doc_id and text are one document, and rows of one doc_id never
 cover each other; a null doc_id counts as the smallest; an empty table gives an
-empty result; other columns are not read. Windows are compared by 64-bit hashes.
+empty result; a very long text is parsed in pieces of 8 MB that share 49 bytes;
+other columns are not read, whatever they are called. Windows are compared by
+64-bit hashes.
 """
 
 from __future__ import annotations
@@ -176,7 +184,7 @@ def _phrases(hits: np.ndarray) -> Callable:
 
 def _cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, start, end): covered runs, from phrases sorted by trigger and document."""
-    seen, seen_doc, seen_trigger = np.zeros(0, np.uint64), np.zeros(0, np.int64), None
+    seen, seen_head, seen_doc, seen_trigger = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), None
 
     def out(key, start, end) -> pa.RecordBatch:
         return pa.record_batch({"key": pa.array(key, pa.int64()), "start": pa.array(start, pa.int64()), "end": pa.array(end, pa.int64())})
@@ -193,29 +201,47 @@ def _cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         up, down = W._power(len(data) + 1)
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(W._TABLE[data] * up[: len(data)], out=sums[1:], dtype=np.uint64)
-        r = np.repeat(np.arange(len(n)), n)
-        at = np.arange(len(r)) - np.repeat(np.cumsum(n) - n, n)
-        i = offsets[:-1][r] + at
+        # The dictionary: each distinct phrase once, by its first occurrence, which is in its smallest document.
+        whole = W.mix((sums[offsets[1:]] - sums[offsets[:-1]]) * down[offsets[:-1]] ^ trigger.view(np.uint64)) + n.astype(np.uint64)
+        _, lead_row, phrase = np.unique(whole, return_index=True, return_inverse=True)
+        least = doc[lead_row]
+        later = doc > least[phrase]
+        yield out(key[later], pos[later], pos[later] + n[later] + WINDOW - 1)
+        # Its suffixes.
+        size = n[lead_row]
+        word = np.repeat(np.arange(len(size)), size)
+        at = np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)
+        i = offsets[:-1][lead_row][word] + at
         h = W.mix((sums[i + WINDOW] - sums[i]) * down[i])
-        d = doc[r]
+        head = np.zeros(len(i), np.uint64)
+        for k in range(8):
+            head = (head << np.uint64(8)) | data[i + k]
+        d, own_trigger = least[word], trigger[lead_row]
         # What earlier batches saw of the trigger that goes on.
         if seen_trigger is None or seen_trigger != trigger[0]:
-            seen, seen_doc = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        every, every_doc = np.concatenate([seen, h]), np.concatenate([seen_doc, d])
-        order = np.lexsort((every_doc, every))
+            seen, seen_head, seen_doc = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        every, heads, every_doc = np.concatenate([seen, h]), np.concatenate([seen_head, head]), np.concatenate([seen_doc, d])
+        order = np.lexsort((every, heads))
         s = every[order]
-        lead = np.r_[True, s[1:] != s[:-1]]
-        first = np.empty(len(s), np.int64)
-        first[order] = every_doc[order][np.flatnonzero(lead)][np.cumsum(lead) - 1]
-        covered = first[len(seen) :] < d
-        more = trigger[r] == trigger[-1]
-        carried = np.concatenate([np.full(len(seen), trigger[0] == trigger[-1]), more])
-        keep = order[lead][carried[order[lead]]]
-        seen, seen_doc, seen_trigger = every[keep], every_doc[keep], trigger[-1]
-        new_row = np.r_[True, r[1:] != r[:-1]]
-        begins = np.flatnonzero(covered & (new_row | np.r_[True, ~covered[:-1]]))
-        ends = np.flatnonzero(covered & (np.r_[new_row[1:], True] | np.r_[~covered[1:], True]))
-        yield out(key[r[begins]], pos[r[begins]] + at[begins], pos[r[ends]] + at[ends] + WINDOW)
+        lead = np.flatnonzero(np.r_[True, (s[1:] != s[:-1]) | (heads[order][1:] != heads[order][:-1])])
+        place = np.empty(len(s), np.int64)
+        place[order] = np.repeat(np.arange(len(lead)), np.diff(np.r_[lead, len(s)]))
+        first = np.minimum.reduceat(every_doc[order], lead)
+        covered = first[place[len(seen) :]] < d
+        goes_on = np.concatenate([np.full(len(seen), trigger[0] == trigger[-1]), own_trigger[word] == trigger[-1]])
+        keep = order[lead][goes_on[order[lead]]]
+        seen, seen_head, seen_doc, seen_trigger = every[keep], heads[keep], first[place[keep]], trigger[-1]
+        new_word = np.r_[True, word[1:] != word[:-1]]
+        begins = np.flatnonzero(covered & (new_word | np.r_[True, ~covered[:-1]]))
+        ends = np.flatnonzero(covered & (np.r_[new_word[1:], True] | np.r_[~covered[1:], True]))
+        # The parse: each occurrence in a phrase's first document has its runs.
+        rows = np.flatnonzero(~later)
+        runs = np.bincount(word[begins], minlength=len(size))
+        from_ = np.concatenate([[0], np.cumsum(runs)])[:-1]
+        many = runs[phrase[rows]]
+        row = np.repeat(rows, many)
+        run = np.repeat(from_[phrase[rows]], many) + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+        yield out(key[row], pos[row] + at[begins[run]], pos[row] + at[ends[run]] + WINDOW)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
