@@ -57,7 +57,7 @@ class Machine:
 
     def __init__(self, doc: Document, resources, forms_text: bool = False):
         self.doc, self.found, self.forms, self.forms_text = doc, Found(), 0, forms_text
-        self.ops = doc.limits.page_ops
+        self.ops, self.resources = doc.limits.page_ops, resources
         self.run(doc_bytes=None, resources=resources, state=State(), depth=0)
 
     def run(self, doc_bytes: bytes | None, resources, state: State, depth: int, busy: frozenset = frozenset()) -> None:
@@ -77,7 +77,7 @@ class Machine:
             nonlocal tm, fonts
             if not in_text:
                 return
-            fonts = page_fonts(doc, resources) if fonts is None else fonts
+            fonts = page_fonts(doc, resources, self.resources) if fonts is None else fonts
             name, font = resolve(fonts, state.font)
             start = concat(tm, state.ctm)
             text, sure, box = [], 1.0, None
@@ -95,7 +95,7 @@ class Machine:
                     c, conf = font.char(code)
                     sure = min(sure, conf)
                     before = along
-                    along += font.width(code) / 1000 * state.size * state.scale + state.char + (state.word if code == 32 and not font.wide else 0)
+                    along += font.width(code) / 1000 * state.size * state.scale + state.char + (state.word if c == " " or code == 32 and not font.wide else 0)
                     text.append(c)
                 if along or before or text:
                     # Glyphs of a string stand on one line: its box is that of its ends.
@@ -139,8 +139,9 @@ class Machine:
                     if not dashes or sum(dashes) <= 0 or length == 0:
                         rule(a, b, "stroke")
                         continue
-                    at, k = -(phase % sum(dashes)), 0
-                    while at < length and k < 10_000:
+                    # Of a pattern without a piece long enough nothing is left; another has a bounded number of pieces a length.
+                    at, k = (-(phase % sum(dashes)), 0) if max(dashes[::2]) >= LEAST_CLIPPED else (length, 0)
+                    while at < length:
                         s, e = max(at, 0), min(at + dashes[k % len(dashes)], length)
                         if k % 2 == 0 and e - s >= LEAST_CLIPPED:
                             p, q = ((a[0] + (b[0] - a[0]) * t / length, a[1] + (b[1] - a[1]) * t / length) for t in (s, e))
@@ -247,10 +248,14 @@ class Machine:
             elif op not in IGNORED:
                 found.warnings.append(f"unknown operator {op[:20]}")
 
-    def xobject(self, name: str, resources, state: State, depth: int, busy: frozenset) -> None:
+    def named(self, resources, kind: str) -> dict:
         res = self.doc.get(resources)
-        named = self.doc.get(res.get("XObject")) if isinstance(res, dict) else None
-        ref = (named or {}).get(name)
+        found = self.doc.get(res.get(kind)) if isinstance(res, dict) else None
+        return found if isinstance(found, dict) else {}
+
+    def xobject(self, name: str, resources, state: State, depth: int, busy: frozenset) -> None:
+        # A form's own names come first, then its page's.
+        ref = next((r for some in (resources, self.resources) if (r := self.named(some, "XObject").get(name)) is not None), None)
         x = self.doc.get(ref)
         if not isinstance(x, Stream) or x.info.get("Subtype") != "Form":
             self.found.placements.append((name, state.ctm))

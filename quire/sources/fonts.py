@@ -81,8 +81,8 @@ class Font:
         return (chr(code), 0.85) if code >= 0xA0 else (LOST, 0.0)
 
     def width(self, code: int) -> float:
-        if code in self.widths:
-            return self.widths[code]
+        if (w := self.widths.get(code)) is not None and (w > 0 or self.wide):
+            return w
         for a, b, w in self.ranges:
             if a <= code <= b:
                 return w
@@ -91,7 +91,7 @@ class Font:
     def codes(self, data: bytes) -> list[int]:
         if self.wide or data[:2] == b"\xfe\xff":
             data = data[2:] if data[:2] == b"\xfe\xff" else data
-            return [data[i] << 8 | data[i + 1] for i in range(0, len(data) - 1, 2)]
+            return [data[i] << 8 | data[i + 1] for i in range(0, len(data) - 1, 2)] + list(data[len(data) // 2 * 2 :])
         return list(data)
 
 
@@ -154,10 +154,22 @@ def load(doc: Document, x) -> Font:
     return font
 
 
-def page_fonts(doc: Document, resources) -> dict[str, Font]:
-    res = doc.get(resources)
-    named = doc.get(res.get("Font")) if isinstance(res, dict) else None
-    return {name: load(doc, x) for name, x in (named or {}).items()} or {"F1": Font()}
+def _loaded(doc: Document, x) -> Font:
+    """A font, or a plain Latin one where its dictionary is broken."""
+    try:
+        return load(doc, x)
+    except (PdfError, ValueError, TypeError, AttributeError, IndexError):
+        return Font()
+
+
+def page_fonts(doc: Document, *resources) -> dict[str, Font]:
+    """The fonts of the first resources that name any: a form's or page's own, then what it inherits; else one plain Latin font."""
+    for own in resources:
+        res = doc.get(own)
+        named = doc.get(res.get("Font")) if isinstance(res, dict) else None
+        if isinstance(named, dict) and named:
+            return {name: _loaded(doc, x) for name, x in named.items()}
+    return {"F1": Font()}
 
 
 def resolve(fonts: dict[str, Font], name: str | None) -> tuple[str, Font]:

@@ -107,6 +107,33 @@ def test_fonts():
     assert fonts.resolve({"B": f, "A": f}, "ABC+B")[0] == "B" and fonts.resolve({"B": f, "A": f}, "Z")[0] == "A"
 
 
+def test_font_fallbacks():
+    f = fonts.Font(wide=True, widths={65: 0.0}, ranges=[(1, 9, 250.0), (5, 20, 300.0)], default_width=1000.0)
+    assert f.codes(b"\0A\0B\x07") == [65, 66, 7] and [f.width(c) for c in (65, 7, 12, 99)] == [0.0, 250.0, 300.0, 1000.0]
+    g = fonts.Font(widths={65: 0.0, 66: 600.0})
+    assert [g.width(c) for c in (65, 66, 67)] == [500.0, 600.0, 500.0]
+    doc = Document(document([Page()]))
+    broken = {"Type": Name("Font"), "Subtype": Name("Type0"), "DescendantFonts": [{"W": [1, 2, "x"]}]}
+    named = fonts.page_fonts(doc, {"Font": {}}, {"Font": {"B": broken, "A": {"FirstChar": 65, "Widths": [700]}}})
+    assert set(named) == {"A", "B"} and named["A"].width(65) == 700 and named["B"].char(65) == ("A", 1.0)
+    assert set(fonts.page_fonts(doc, None)) == {"F1"}
+
+
+def test_dashes_without_end():
+    p = Page()
+    p.raw(b"[0.01 0.01] 0 d 0 50 m 600 50 l S [2 1] 0 d 0 70 m 300 70 l S")
+    rules = one(p)["rules"]
+    assert len(rules) == 100 and {r["y0"] for r in rules} == {70}
+
+
+def test_forms_use_names_of_their_page():
+    inner, p = Page(), Page()
+    p.forms["A"] = b"/B Do"
+    p.forms["B"] = b"BT /F1 10 Tf 50 200 Td (deep) Tj ET"
+    p.raw(b"/A Do")
+    assert [r["text"] for r in one(p)["runs"]] == ["deep"]
+
+
 def test_content_operators():
     p = Page()
     p.raw(b"q 1 0 0 1 10 20 cm 0 0 m 100 0 l S Q [10 5] 0 d 0 50 m 40 50 l S [] 0 d 0 0 20 2 re f 0 0 m 5 5 9 9 20 0 c S 0 60 30 10 re W n 0 65 m 90 65 l S")
