@@ -29,39 +29,46 @@ SCHEMA = f"doc_id string, code string, message string, fragments array<{TABLE}>,
 CELLS = 20_000
 
 
-def _kernel(options: TableOptions, limits: Limits, pages: frozenset | None, schema: pa.Schema, renderer: Renderer | None) -> Callable:
-    def named(found: list[dict]) -> list[dict]:
-        return [t | {"ord": i, "table_id": hashlib.sha1(f"{t['doc_id']}\0{t['page']}\0{i}".encode()).hexdigest(), "pages": t.get("pages", [t["page"]])} for i, t in enumerate(found)]
-
-    def row(doc_id: str, content: bytes | None) -> dict:
-        got = pdf.read(doc_id, content, limits, frozenset(("runs", "rules")))
-        if got.get("code"):
-            return {"doc_id": doc_id, "code": got["code"], "message": got["message"], "fragments": [], "logical_tables": []}
-        runs, rules = {}, {}
-        for r in got["runs"]:
-            runs.setdefault(r["page"], []).append(r)
-        for r in got["rules"]:
-            rules.setdefault(r["page"], []).append((r["x0"], r["y0"], r["x1"], r["y1"], r["source"]))
-        found = []
-        for p in got["pages"]:
-            if pages is None or p["page"] in pages:
-                own = rules.get(p["page"], [])
-                if renderer and wants_render(options, runs.get(p["page"], []), own):
-                    own = rendered_rules(renderer, content or b"", p, own)
-                area = abs((p["x1"] - p["x0"]) * (p["y1"] - p["y0"]))
-                found += page_tables(p["page"], runs.get(p["page"], []), own, options, area if area > 1 else PAGE_AREA)
-        heights = {p["page"]: p["y1"] - p["y0"] for p in got["pages"]}
-        found = stitch(found, heights, options.knobs) if options.stitch else [t | {"logical": i, "continues": False, "continued": False} for i, t in enumerate(found)]
-        found = [t | {"doc_id": doc_id} for t in found]
-        whole = logical_tables(found, options.knobs) if options.stitch else found
-        whole = scrubbed(whole, options.knobs) if options.forms else whole
-        return {"doc_id": doc_id, "fragments": named(found), "logical_tables": named(whole)}
+def _named(found: list[dict], doc_id: str) -> list[dict]:
+    return [t | {"ord": i, "table_id": hashlib.sha1(f"{doc_id}\0{t['page']}\0{i}".encode()).hexdigest(), "pages": t.get("pages", [t["page"]])} for i, t in enumerate(found)]
+
+
+def _row(doc_id: str, content: bytes | None, options: TableOptions, limits: Limits, pages: frozenset | None, renderer: Renderer | None) -> dict:
+    """A document's fault, or its tables on pages and its logical tables."""
+    got = pdf.read(doc_id, content, limits, frozenset(("runs", "rules")))
+    if got.get("code"):
+        return {"doc_id": doc_id, "code": got["code"], "message": got["message"], "fragments": [], "logical_tables": []}
+    runs, rules = {}, {}
+    for r in got["runs"]:
+        runs.setdefault(r["page"], []).append(r)
+    for r in got["rules"]:
+        rules.setdefault(r["page"], []).append((r["x0"], r["y0"], r["x1"], r["y1"], r["source"]))
+    found = []
+    for p in got["pages"]:
+        if pages is None or p["page"] in pages:
+            own = rules.get(p["page"], [])
+            if renderer and wants_render(options, runs.get(p["page"], []), own):
+                own = rendered_rules(renderer, content or b"", p, own)
+            area = abs((p["x1"] - p["x0"]) * (p["y1"] - p["y0"]))
+            found += page_tables(p["page"], runs.get(p["page"], []), own, options, area if area > 1 else PAGE_AREA)
+    heights = {p["page"]: p["y1"] - p["y0"] for p in got["pages"]}
+    found = stitch(found, heights, options.knobs) if options.stitch else [t | {"logical": i, "continues": False, "continued": False} for i, t in enumerate(found)]
+    whole = logical_tables(found, options.knobs) if options.stitch else found
+    whole = scrubbed(whole, options.knobs) if options.forms else whole
+    return {"doc_id": doc_id, "fragments": _named(found, doc_id), "logical_tables": _named(whole, doc_id)}
+
+
+def fragments(content: bytes | None, options: TableOptions, limits: Limits = Limits()) -> list[dict]:
+    """The tables of one document's pages, outside Spark."""
+    return _row("", content, options, limits, None, None)["fragments"] if options.detect else []
+
 
+def _kernel(options: TableOptions, limits: Limits, pages: frozenset | None, schema: pa.Schema, renderer: Renderer | None) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             held, size = [], 0
             for doc_id, content in zip(b.column("doc_id").to_pylist(), b.column("content")):
-                held.append(row(doc_id, content.as_py()))
+                held.append(_row(doc_id, content.as_py(), options, limits, pages, renderer))
                 size += sum(len(t["cells"]) for t in held[-1]["fragments"]) + 1
                 if size >= CELLS:
                     yield pa.RecordBatch.from_pylist(held, schema)

@@ -191,3 +191,20 @@ def test_evaluation_by_brute_force(spark):
     for g in "ab":
         own = sorted(v for k, v in values if k == g)
         assert (stats[g]["mid"], stats[g]["last"], stats[g]["n"]) == (own[len(own) // 2], own[-1], len(own))
+
+
+def test_documents_and_sql_functions(spark, folder):
+    from quire.api import Documents, register
+
+    d = Documents.open(spark, folder)
+    assert [r["n_pages"] for r in d.page_count().collect()] == [2] and d.page(1).count() == 1 and d.pages().count() == 2
+    assert d.runs().count() == 14 and d.runs(0).count() == 6 and {r["font_name"] for r in d.font_names().collect()} == {"F1"}
+    assert [r["code"] for r in d.errors().collect()] == ["not_pdf"] and d.links().count() == d.fields().count() == d.images().count() == d.outline().count() == d.placements().count() == 0
+    assert d.tables().count() == d.stitched("auto").count() == 1 and d.cells("lattice_only").count() == 6 and d.tables("off").count() == 0
+    assert d.segments().where("is_flat").count() == 4 and d.segments().where("is_tall").count() == 3 and d.warnings().count() == 0
+    assert d.info().first()["title"] == d.meta().first()["title"] == "T" and d.text().count() == 2
+    register(spark)
+    pdf.load(spark, folder).createOrReplaceTempView("pdf_files")
+    rows = spark.sql("SELECT t.page, t.row, t.col, t.text FROM pdf_files, LATERAL pdf_tables(content, 'auto') t ORDER BY t.row, t.col").collect()
+    assert [(r["row"], r["col"], r["text"]) for r in rows][:2] == [(0, 0, "a"), (0, 1, "b\tc")] and len(rows) == 6
+    assert [r["n_runs"] for r in spark.sql("SELECT p.n_runs FROM pdf_files, LATERAL pdf_pages(content) p ORDER BY p.page").collect()] == [6, 8]
