@@ -182,11 +182,32 @@ FROM (SELECT item_id, w, unnest(range((len(w) + 7) // 8)) AS i FROM (SELECT item
 """
 
 
-def _prose(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _lines(spark: SparkSession, sf_dir: str, each: int = 8) -> DataFrame:
+    """Benchmark items in lines of so many words."""
     w = F.filter(F.split("text", r"\s+"), lambda x: x != "")
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("doc_id"), w.alias("w"))
-    lines = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size("w") / 8).cast("int") - 1, F.lit(0))), lambda i: F.array_join(F.slice(F.col("w"), i * 8 + 1, F.lit(8)), " "))
-    return render.prose(spread(items.select("doc_id", lines.alias("lines"))))
+    lines = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size("w") / each).cast("int") - 1, F.lit(0))), lambda i: F.array_join(F.slice(F.col("w"), i * each + 1, F.lit(each)), " "))
+    return spread(items.select("doc_id", lines.alias("lines")))
+
+
+def _prose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.prose(_lines(spark, sf_dir))
+
+
+@query(f"WITH l AS ({_ITEMS}) SELECT doc_id, CAST(i // 44 AS INTEGER) AS page, string_agg(line, chr(10) ORDER BY i) AS text FROM l GROUP BY ALL")
+def rt_word_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word drawn on its own: spaces come back from the gaps."""
+    return T.text(render.words(_lines(spark, sf_dir)))
+
+
+@query(f"""
+WITH w AS (SELECT item_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM benchmark), l AS (SELECT CAST(item_id AS VARCHAR) AS doc_id, i, array_to_string(w[2 * i + 1:2 * i + 2], ' ') AS line FROM (SELECT item_id, w, unnest(range((len(w) + 1) // 2)) AS i FROM w)),
+p AS (SELECT doc_id, i // {render.COLUMN_LINES} AS page, i % {render.COLUMN_LINES} AS k, line, count(*) OVER (PARTITION BY doc_id, i // {render.COLUMN_LINES}) AS n FROM l)
+SELECT doc_id, CAST(page AS INTEGER) AS page, string_agg(line, chr(10) ORDER BY CASE WHEN n >= {render.COLUMN_LEAST} THEN k % 2 ELSE 0 END, k) AS text FROM p GROUP BY ALL
+""")
+def rt_column_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two columns drawn row by row read one after the other."""
+    return T.text(render.columns(_lines(spark, sf_dir, 2)))
 
 
 @query(f"WITH l AS ({_ITEMS}) SELECT doc_id, CAST(i // 44 AS INTEGER) AS page, string_agg(line, chr(10) ORDER BY i) AS text FROM l GROUP BY ALL")

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .writer import Page, document, table
+from .writer import Page, document, table, text_width
 
 #: Rows on a page, and their height; the header is repeated on each.
 PER_PAGE, PITCH = 12, 18.0
@@ -59,6 +59,44 @@ def prose(df: DataFrame) -> DataFrame:
     return df.select("doc_id", "lines").mapInArrow(_kernel(draw), "doc_id string, content binary")
 
 
+def words(df: DataFrame) -> DataFrame:
+    """The same as ``prose`` with every word drawn on its own, a space apart."""
+
+    def draw(r: dict) -> bytes:
+        pages = []
+        for lo in range(0, max(1, len(r["lines"])), 44):
+            p = Page(900)
+            for k, line in enumerate(r["lines"][lo : lo + 44]):
+                x = 72.0
+                for w in line.split(" "):
+                    p.text(x, 740 - 16 * k, w)
+                    x += text_width(w + " ", 10)
+            pages.append(p)
+        return document(pages)
+
+    return df.select("doc_id", "lines").mapInArrow(_kernel(draw), "doc_id string, content binary")
+
+
+#: Lines of a page in two columns, and the fewest for which a second is begun.
+COLUMN_LINES, COLUMN_LEAST = 88, 8
+
+
+def columns(df: DataFrame) -> DataFrame:
+    """Lines in two columns, drawn row by row: left, right, left, ...; a page of few lines has one column."""
+
+    def draw(r: dict) -> bytes:
+        pages = []
+        for lo in range(0, max(1, len(r["lines"])), COLUMN_LINES):
+            p, own = Page(), r["lines"][lo : lo + COLUMN_LINES]
+            for k, line in enumerate(own):
+                row, right = (k // 2, k % 2) if len(own) >= COLUMN_LEAST else (k, 0)
+                p.text(330 if right else 40, 740 - 16 * row, line)
+            pages.append(p)
+        return document(pages)
+
+    return df.select("doc_id", "lines").mapInArrow(_kernel(draw), "doc_id string, content binary")
+
+
 def objects(df: DataFrame) -> DataFrame:
     """doc_id, content of (doc_id, title, names array<string>): a link, a field and an outline entry for each name."""
 

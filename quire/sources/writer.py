@@ -76,6 +76,11 @@ def _painted(page: Page, xs: Sequence[float], ys: Sequence[float], scale: int =
 HELVETICA = [278, 278, 355, 556, 556, 889, 667, 191, 333, 333, 389, 584, 278, 333, 278, 278] + [556] * 10 + [278, 278, 584, 584, 584, 556, 1015, 667, 667, 722, 722, 667, 611, 778, 722, 278, 500, 667, 556, 833, 722, 778, 667, 778, 722, 667, 611, 722, 667, 944, 667, 667, 611, 278, 278, 278, 469, 556, 333, 556, 556, 500, 556, 556, 278, 556, 556, 222, 222, 500, 222, 833, 556, 556, 556, 556, 333, 500, 278, 556, 500, 722, 500, 500, 500, 334, 260, 334, 584, 350] + [556] * 128
 
 
+def text_width(text: str, size: float) -> float:
+    """How far a text reaches in the font of ``document``."""
+    return sum(HELVETICA[c - 32] if 32 <= c < 256 else 500 for c in text.encode("cp1252", "replace")) * size / 1000
+
+
 def document(pages: Sequence[Page], title: str = "", outline: Sequence[str] = (), fields: Sequence[tuple[str, str]] = (), compress: bool = True, encrypt: bool = False) -> bytes:
     """The file's bytes, with a classic cross-reference table."""
     objects: list[bytes] = []
