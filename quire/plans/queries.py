@@ -15,7 +15,8 @@ from ..functions import geometry as G
 from ..operators import candidates as C
 from ..operators import evaluate as E
 from ..operators import layout
-from ..sources import corpus, pdf, render
+from ..sources import corpus, pdf, render, writer
+from ..sources.objects import Limits
 from . import tables as T
 from .options import preset
 
@@ -265,6 +266,99 @@ def src_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pdf.errors(pdf.extract(junk))
 
 
+_WAYS = (("Flate",), ("FlateUp",), ("ASCIIHex",), ("ASCII85",), ("RunLength",), ("LZW",), ("ASCIIHex", "Flate"), ("ASCII85", "LZW"))
+
+
+def _nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("doc_id"), F.col("n_nationkey").cast("int").alias("k"), F.col("n_name").alias("name"))
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS doc_id, n_name AS text FROM nation")
+def src_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names in streams of every filter, predictors and chains."""
+
+    def draw(r: dict) -> bytes:
+        p = writer.Page()
+        p.text(72, 700, r["name"])
+        return writer.document([p], filters=_WAYS[r["k"] % len(_WAYS)])
+
+    return T.text(render.drawn(_nations(spark, sf_dir), draw)).select("doc_id", "text")
+
+
+@query("""
+WITH n AS (SELECT n_regionkey, n_nationkey, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey % 2, n_nationkey) - 1 AS page FROM nation)
+SELECT CAST(n_regionkey AS VARCHAR) AS doc_id, CAST(page AS INTEGER) AS page, CAST(CASE WHEN n_nationkey % 3 = 0 THEN 270 ELSE n_nationkey % 2 * 90 END AS INTEGER) AS rotate, CAST(400 AS DOUBLE) AS x1, CAST(300 AS DOUBLE) AS y1, n_name AS text FROM n
+""")
+def src_page_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of a nested tree: box, fonts and rotation are inherited, or a page's own; content is in two streams."""
+
+    def draw(r: dict) -> bytes:
+        own = lambda odd: [(n["name"], 270 if n["k"] % 3 == 0 else None) for n in r["names"] if n["k"] % 2 == odd]
+        return writer.nested([(0, own(0)), (90, own(1))])
+
+    names = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").cast("string").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct(F.col("n_nationkey").cast("int").alias("k"), F.col("n_name").alias("name")))).alias("names"))
+    got = pdf.extract(render.drawn(names, draw), ("runs",))
+    return pdf.relation(got, "pages").join(pdf.relation(got, "runs").select("doc_id", "page", "text"), ["doc_id", "page"]).select("doc_id", "page", "rotate", "x1", "y1", "text")
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS doc_id, CAST(i AS INTEGER) AS ord, n_name AS text, round(50 + len(n_name) * CAST([4.5, 6, 7][i + 1] AS DOUBLE), 4) AS x1, CAST(1 AS DOUBLE) AS sure FROM (SELECT *, unnest([0, 1, 2]) AS i FROM nation)")
+def fnt_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names under codes of their own: glyph names, a two-byte font and a one-byte font with maps to Unicode; the widths of each."""
+    runs = pdf.relation(pdf.extract(render.drawn(_nations(spark, sf_dir), lambda r: writer.in_fonts(r["name"])), ("runs",)), "runs")
+    return runs.select("doc_id", "ord", "text", F.round("x1", 4).alias("x1"), F.col("mapping_confidence").alias("sure"))
+
+
+@query("""
+WITH s AS (SELECT s_nationkey, s_suppkey % 4 AS kind, 20.0 + s_suppkey % 200 AS l, 750 - 6.0 * (row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1) AS y FROM supplier),
+d AS (SELECT *, unnest(range(0, CAST(ceil(l / 15) AS BIGINT))) AS k FROM s WHERE kind = 2)
+SELECT CAST(s_nationkey AS VARCHAR) AS doc_id, CAST(50 AS DOUBLE) AS x0, CAST(50 + l AS DOUBLE) AS x1, CAST(y AS DOUBLE) AS y, 'stroke' AS source FROM s WHERE kind = 0
+UNION ALL SELECT CAST(s_nationkey AS VARCHAR), 50, 50 + l, y + 0.5, 'fill' FROM s WHERE kind = 1
+UNION ALL SELECT CAST(s_nationkey AS VARCHAR), 50 + 15 * k, 50 + least(15 * k + 10, l), y, 'dash' FROM d WHERE least(15 * k + 10, l) - 15 * k >= 1
+UNION ALL SELECT CAST(s_nationkey AS VARCHAR), 50, 50 + least(l, 70), y, 'stroke' FROM s WHERE kind = 3
+""")
+def cnt_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A nation's suppliers as lines: stroked, thin and filled, dashed, and clipped."""
+
+    def draw(r: dict) -> bytes:
+        p = writer.Page(height=20_000)
+        for i, key in enumerate(r["keys"]):
+            y, long = 750 - 6.0 * i, 20.0 + key % 200
+            if key % 4 == 1:
+                p.bar(50, y, long, 1)
+                continue
+            before = {0: b"q", 2: b"q [10 5] 0 d", 3: b"q 0 -20000 120 40000 re W n"}[key % 4]
+            p.raw(before)
+            p.line(50, y, 50 + long, y)
+            p.raw(b"Q")
+        return writer.document([p])
+
+    keys = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").cast("string").alias("doc_id")).agg(F.array_sort(F.collect_list("s_suppkey")).alias("keys"))
+    rules = pdf.relation(pdf.extract(render.drawn(keys, draw), ("rules",)), "rules")
+    return rules.select("doc_id", F.round("x0", 4).alias("x0"), F.round("x1", 4).alias("x1"), F.round("y0", 4).alias("y"), "source")
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS doc_id, ['encrypted', 'not_pdf', 'limit_file_bytes', 'limit_ratio'][n_nationkey % 5] AS code FROM nation WHERE n_nationkey % 5 > 0")
+def src_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are read, encrypted, no PDF, too long, or too much longer once inflated: a code each."""
+
+    def draw(r: dict) -> bytes:
+        p, kind = writer.Page(), r["k"] % 5
+        p.text(72, 700, r["name"])
+        if kind == 2:
+            return r["name"].encode()
+        if kind == 3:
+            p.raw(b"% " + bytes(range(33, 90)) * 3000)
+        if kind == 4:
+            p.raw(b" " * 400_000)
+        return writer.document([p], compress=kind != 3, encrypt=kind == 1)
+
+    limits = Limits(file_bytes=100_000, ratio=100)
+    got = pdf.extract(render.drawn(_nations(spark, sf_dir), draw), ("runs",), limits)
+    # A page that can't be read is a warning of a document whose other pages are.
+    of_pages = pdf.relation(got, "warnings").where(F.col("message").rlike("[0-9]+ bytes to [0-9]+")).select("doc_id", F.lit("limit_ratio").alias("code"))
+    return pdf.errors(got).select("doc_id", "code").unionByName(of_pages)
+
+
 # Geometry: a line item is a box, its order a page
 
 _BOXES = """

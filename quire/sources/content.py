@@ -112,7 +112,7 @@ class Machine:
             if abs(x1 - x0) <= AXIS and abs(y1 - y0) <= AXIS and source == "stroke":
                 return
             flat = abs(y1 - y0) <= AXIS
-            if not flat and abs(x1 - x0) > AXIS or max(abs(x1 - x0), abs(y1 - y0)) < LEAST:
+            if not flat and abs(x1 - x0) > AXIS or max(abs(x1 - x0), abs(y1 - y0)) < (LEAST_CLIPPED if source == "dash" else LEAST):
                 return
             x0, x1, y0, y1 = min(x0, x1), max(x0, x1), min(y0, y1), max(y0, y1)
             if c := state.clip:

@@ -97,6 +97,11 @@ def columns(df: DataFrame) -> DataFrame:
     return df.select("doc_id", "lines").mapInArrow(_kernel(draw), "doc_id string, content binary")
 
 
+def drawn(df: DataFrame, draw: Callable[[dict], bytes]) -> DataFrame:
+    """doc_id, content of rows with a doc_id, each drawn by a function of its columns."""
+    return df.mapInArrow(_kernel(draw), "doc_id string, content binary")
+
+
 def objects(df: DataFrame) -> DataFrame:
     """doc_id, content of (doc_id, title, names array<string>): a link, a field and an outline entry for each name."""
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import zlib
 from collections.abc import Sequence
 
@@ -81,18 +82,120 @@ def text_width(text: str, size: float) -> float:
     return sum(HELVETICA[c - 32] if 32 <= c < 256 else 500 for c in text.encode("cp1252", "replace")) * size / 1000
 
 
-def document(pages: Sequence[Page], title: str = "", outline: Sequence[str] = (), fields: Sequence[tuple[str, str]] = (), compress: bool = True, encrypt: bool = False) -> bytes:
-    """The file's bytes, with a classic cross-reference table."""
-    objects: list[bytes] = []
-
-    def add(body: bytes) -> int:
-        objects.append(body)
-        return len(objects)
+def _lzw(data: bytes) -> bytes:
+    """Codes of 9 bits, the table cleared before they would need more."""
+    bits, n = 0, 0
+    for k, b in enumerate(data):
+        for code in ((256, b) if k % 200 == 0 else (b,)):
+            bits, n = bits << 9 | code, n + 9
+    bits, n = bits << 9 | 257, n + 9
+    return (bits << -n % 8).to_bytes((n + 7) // 8, "big")
+
+
+def _run_length(data: bytes) -> bytes:
+    return b"".join(bytes([len(p) - 1]) + p for p in (data[k : k + 128] for k in range(0, len(data), 128))) + b"\x80"
+
+
+def _up(data: bytes, columns: int = 8) -> bytes:
+    """Rows less the row above each, deflated."""
+    data = data.ljust(-(-len(data) // columns) * columns)
+    rows = [bytes(columns), *(data[k : k + columns] for k in range(0, len(data), columns))]
+    return zlib.compress(b"".join(b"\2" + bytes((b - a) & 255 for a, b in zip(up, row)) for up, row in zip(rows, rows[1:])))
+
+
+#: A filter's way in, its name and its parameters.
+FILTERS = {
+    "Flate": (zlib.compress, b"FlateDecode", b"null"),
+    "FlateUp": (_up, b"FlateDecode", b"<< /Predictor 12 /Columns 8 >>"),
+    "ASCIIHex": (lambda d: d.hex().encode() + b">", b"ASCIIHexDecode", b"null"),
+    "ASCII85": (lambda d: base64.a85encode(d) + b"~>", b"ASCII85Decode", b"null"),
+    "RunLength": (_run_length, b"RunLengthDecode", b"null"),
+    "LZW": (_lzw, b"LZWDecode", b"null"),
+}
+
+
+class File:
+    """Objects that become a file with a classic cross-reference table."""
+
+    def __init__(self):
+        self.objects: list[bytes] = []
+
+    def add(self, body: bytes) -> int:
+        self.objects.append(body)
+        return len(self.objects)
+
+    def stream(self, data: bytes, extra: bytes = b"", filters: Sequence[str] = ("Flate",)) -> int:
+        """A stream through filters, of which the first is undone first."""
+        for name in reversed(filters):
+            data = FILTERS[name][0](data)
+        if filters:
+            names, parms = b" ".join(b"/" + FILTERS[f][1] for f in filters), [FILTERS[f][2] for f in filters]
+            extra += b" /Filter [%s]" % names if len(filters) > 1 else b" /Filter " + names
+            if any(p != b"null" for p in parms):
+                extra += b" /DecodeParms " + (parms[0] if len(parms) == 1 else b"[%s]" % b" ".join(parms))
+        return self.add(b"<< /Length %d%s >>\nstream\n%s\nendstream" % (len(data), extra, data))
+
+    def bytes(self, trailer: bytes) -> bytes:
+        out, places = bytearray(b"%PDF-1.4\n"), []
+        for k, body in enumerate(self.objects, 1):
+            places.append(len(out))
+            out += b"%d 0 obj\n%s\nendobj\n" % (k, body)
+        start = len(out)
+        out += b"xref\n0 %d\n0000000000 65535 f \n" % (len(self.objects) + 1)
+        out += b"".join(b"%010d 00000 n \n" % p for p in places)
+        out += b"trailer\n<< /Size %d %s >>\nstartxref\n%d\n%%%%EOF\n" % (len(self.objects) + 1, trailer, start)
+        return bytes(out)
+
+
+def nested(groups: Sequence[tuple[int, Sequence[tuple[str, int | None]]]]) -> bytes:
+    """A page tree of groups (their rotation, pages of a text and a rotation of their own): the root has the box, a group the fonts and its
+    rotation, and every page its content in two streams."""
+    f = File()
+    root = f.add(b"")
+    font = f.add(b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>")
+    kids = []
+    for rotate, pages in groups:
+        node, own = f.add(b""), []
+        for text, turned in pages:
+            parts = [f.stream(b"BT /F1 10 Tf 50 100 Td"), f.stream(_escaped(text) + b" Tj ET")]
+            more = b"" if turned is None else b" /Rotate %d" % turned
+            own.append(f.add(b"<< /Type /Page /Parent %d 0 R /Contents [%s]%s >>" % (node, b" ".join(b"%d 0 R" % p for p in parts), more)))
+        f.objects[node - 1] = b"<< /Type /Pages /Parent %d 0 R /Kids [%s] /Count %d /Rotate %d /Resources << /Font << /F1 %d 0 R >> >> >>" % (root, b" ".join(b"%d 0 R" % k for k in own), len(own), rotate, font)
+        kids.append(node)
+    f.objects[root - 1] = b"<< /Type /Pages /Kids [%s] /Count %d /MediaBox [0 0 400 300] >>" % (b" ".join(b"%d 0 R" % k for k in kids), sum(len(p) for _, p in groups))
+    return f.bytes(b"/Root %d 0 R" % f.add(b"<< /Type /Catalog /Pages %d 0 R >>" % root))
+
+
+def in_fonts(text: str) -> bytes:
+    """A text three times under codes of its own: by glyph names, by a two-byte font with a map to Unicode, by a one-byte font with one."""
+    f = File()
+    code = {c: k for k, c in enumerate(sorted(set(text)), 1)}
+    names = b" ".join(b"/uni%04X" % ord(c) for c in code)
+    pairs = lambda form: b"".join(form % (k, ord(c)) for c, k in code.items())
+    single = b"%d beginbfrange\n" % len(code) + b"".join(b"<%02x> <%02x> <%04x>\n" % (k, k, ord(c)) for c, k in code.items()) + b"endbfrange"
+    fonts = [
+        f.add(b"<< /Type /Font /Subtype /Type1 /BaseFont /A /Encoding << /Differences [1 %s] >> /FirstChar 1 /Widths [%s] >>" % (names, b" ".join([b"450"] * len(code)))),
+        f.add(b"<< /Type /Font /Subtype /Type0 /BaseFont /B /Encoding /Identity-H /ToUnicode %d 0 R /DescendantFonts [<< /Type /Font /Subtype /CIDFontType2 /DW 600 >>] >>" % f.stream(b"%d beginbfchar\n%sendbfchar" % (len(code), pairs(b"<%04x> <%04x>\n")))),
+        f.add(b"<< /Type /Font /Subtype /Type1 /BaseFont /C /ToUnicode %d 0 R /FontDescriptor << /MissingWidth 700 >> >>" % f.stream(single)),
+    ]
+    shown = [bytes(code[c] for c in text).hex(), b"".join(b"\0" + bytes([code[c]]) for c in text).hex(), bytes(code[c] for c in text).hex()]
+    content = b"\n".join(b"BT /F%d 10 Tf 50 %d Td <%s> Tj ET" % (k, 700 - 20 * k, h.encode()) for k, h in enumerate(shown))
+    own = b" ".join(b"/F%d %d 0 R" % (k, n) for k, n in enumerate(fonts))
+    tree = len(f.objects) + 2
+    page = b"<< /Type /Page /Parent %d 0 R /MediaBox [0 0 612 792] /Contents %d 0 R /Resources << /Font << %s >> >> >>" % (tree + 1, tree - 1, own)
+    f.stream(content)
+    kid = f.add(page)
+    f.add(b"<< /Type /Pages /Kids [%d 0 R] /Count 1 >>" % kid)
+    return f.bytes(b"/Root %d 0 R" % f.add(b"<< /Type /Catalog /Pages %d 0 R >>" % (kid + 1)))
+
+
+def document(pages: Sequence[Page], title: str = "", outline: Sequence[str] = (), fields: Sequence[tuple[str, str]] = (), compress: bool = True, encrypt: bool = False, filters: Sequence[str] = ("Flate",)) -> bytes:
+    """The file's bytes; ``filters`` are those of its streams, unless it isn't compressed."""
+    file = File()
+    objects, add = file.objects, file.add
 
     def stream(data: bytes, extra: bytes = b"") -> int:
-        if compress:
-            data, extra = zlib.compress(data), extra + b" /Filter /FlateDecode"
-        return add(b"<< /Length %d%s >>\nstream\n%s\nendstream" % (len(data), extra, data))
+        return file.stream(data, extra, filters if compress else ())
 
     widths = b" ".join(b"%d" % w for w in HELVETICA)
     font = add(b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding /FirstChar 32 /LastChar 255 /Widths [%s] >>" % widths)
@@ -119,12 +222,4 @@ def document(pages: Sequence[Page], title: str = "", outline: Sequence[str] = ()
         more += b" /AcroForm << /Fields [%s] >>" % b" ".join(b"%d 0 R" % f for f in own)
     root = add(b"<< /Type /Catalog /Pages %d 0 R%s >>" % (tree, more))
     info = add(b"<< /Title %s /Producer (quire) >>" % _escaped(title))
-    out, places = bytearray(b"%PDF-1.4\n"), []
-    for k, body in enumerate(objects, 1):
-        places.append(len(out))
-        out += b"%d 0 obj\n%s\nendobj\n" % (k, body)
-    start = len(out)
-    out += b"xref\n0 %d\n0000000000 65535 f \n" % (len(objects) + 1)
-    out += b"".join(b"%010d 00000 n \n" % p for p in places)
-    out += b"trailer\n<< /Size %d /Root %d 0 R /Info %d 0 R%s >>\nstartxref\n%d\n%%%%EOF\n" % (len(objects) + 1, root, info, b" /Encrypt << /Filter /Standard >>" if encrypt else b"", start)
-    return bytes(out)
+    return file.bytes(b"/Root %d 0 R /Info %d 0 R%s" % (root, info, b" /Encrypt << /Filter /Standard >>" if encrypt else b""))
