@@ -129,6 +129,43 @@ def regularity(edges: Column) -> Column:
     return F.when(F.size(s) < 3, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - 0.5 * F.sqrt(var) / mean))
 
 
+def grid_boxes(xs: Column, ys: Column, least: float = 3.0) -> Column:
+    """Cells between sorted distinct edges, row 0 on top: array<struct<row, col, x0, y0, x1, y1>>, without those thinner than ``least``."""
+
+    def gaps(edges: Column) -> Column:
+        s = F.array_sort(F.array_distinct(edges))
+        return F.zip_with(F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0))), F.slice(s, 2, F.greatest(F.size(s) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+    wide, tall = gaps(xs), F.reverse(gaps(ys))
+    every = F.flatten(F.transform(tall, lambda y, r: F.transform(wide, lambda x, c: F.struct(r.alias("row"), c.alias("col"), x["a"].alias("x0"), y["a"].alias("y0"), x["b"].alias("x1"), y["b"].alias("y1")))))
+    return F.filter(every, lambda b: (b["x1"] - b["x0"] >= least) & (b["y1"] - b["y0"] >= least))
+
+
+def alignment(values: Column, anchors: Column, tolerance: float) -> Column:
+    """The share of values within tolerance of an anchor."""
+    near = F.filter(values, lambda v: F.exists(anchors, lambda a: F.abs(v - a) <= tolerance))
+    return share(F.size(near).cast("double"), F.size(values).cast("double"))
+
+
+def steady(counts: Column) -> Column:
+    """The share of rows whose filled cells are within one of the upper median's."""
+    usual = upper_median(counts, 0)
+    return share(F.size(F.filter(counts, lambda n: F.abs(n - usual) <= 1)).cast("double"), F.size(counts).cast("double"))
+
+
+def composed(text: Column) -> Column:
+    """NFKC; no SQL function has it, so it runs in Python, in Arrow batches, and only where it is asked for."""
+    import pandas as pd
+
+    @F.pandas_udf("string")
+    def nfkc(s: pd.Series) -> pd.Series:
+        import unicodedata
+
+        return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+
+    return nfkc(text)
+
+
 # Text of cells
 
 

@@ -38,6 +38,21 @@ def overlaps_any(candidates: DataFrame, others: DataFrame, share: float = 0.40,
     return candidates.join(o, on, "left_semi")
 
 
+def in_cells(runs: DataFrame, cells: DataFrame, pad: float = 1.0) -> DataFrame:
+    """Runs (columns r_) with each cell (c_) of their page that has their centre, give or take a pad."""
+    both = pairs(runs, cells, "r_", "c_")
+    x, y = (F.col("r_x0") + F.col("r_x1")) / 2, (F.col("r_y0") + F.col("r_y1")) / 2
+    return both.where(x.between(F.col("c_x0") - pad, F.col("c_x1") + pad) & y.between(F.col("c_y0") - pad, F.col("c_y1") + pad))
+
+
+def own_cells(runs: DataFrame, cells: DataFrame, run: str, pad: float = 1.0) -> DataFrame:
+    """Of ``in_cells`` one cell for each run: where its centre is deepest inside, of equals the leftmost."""
+    x, y = (F.col("r_x0") + F.col("r_x1")) / 2, (F.col("r_y0") + F.col("r_y1")) / 2
+    depth = F.least(x - F.col("c_x0"), F.col("c_x1") - x, y - F.col("c_y0"), F.col("c_y1") - y)
+    best = Window.partitionBy(*PAGE, f"r_{run}").orderBy(F.desc("_depth"), "c_x0", f"c_{run}")
+    return in_cells(runs, cells, pad).withColumn("_depth", depth).withColumn("_k", F.row_number().over(best)).where("_k = 1").drop("_k", "_depth")
+
+
 def nested_pairs(boxes: DataFrame, key: str) -> DataFrame:
     both = pairs(boxes, boxes, "c_", "p_")
     return both.where((F.col(f"c_{key}") != F.col(f"p_{key}")) & nested(Box.of("c_"), Box.of("p_")))

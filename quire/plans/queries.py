@@ -905,3 +905,35 @@ def snk_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gen_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The generated corpus: tables found against those drawn, for every family and variant."""
     return corpus.counts(spark)
+
+
+@query(f"""
+WITH x AS ({_BOXES}), h AS (SELECT doc_id, x0, lead(x0) OVER (PARTITION BY doc_id ORDER BY x0) AS x1, row_number() OVER (PARTITION BY doc_id ORDER BY x0) - 1 AS col FROM (SELECT DISTINCT doc_id, x0 FROM x)),
+v AS (SELECT doc_id, y0, lead(y0) OVER (PARTITION BY doc_id ORDER BY y0) AS y1, row_number() OVER (PARTITION BY doc_id ORDER BY y0 DESC) - 2 AS "row" FROM (SELECT DISTINCT doc_id, y0 FROM x))
+SELECT h.doc_id, CAST("row" AS INTEGER) AS "row", CAST(col AS INTEGER) AS col, x0, y0, x1, y1 FROM h JOIN v ON h.doc_id = v.doc_id WHERE x1 - x0 >= 3 AND y1 - y0 >= 3
+""")
+def geo_grid_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The left and lower sides of a page's boxes as edges of a grid."""
+    edges = boxes(spark, sf_dir).groupBy("doc_id").agg(F.collect_list("x0").alias("xs"), F.collect_list("y0").alias("ys"))
+    return edges.select("doc_id", F.inline(G.grid_boxes(F.col("xs"), F.col("ys"))))
+
+
+@query(f"""
+WITH x AS ({_BOXES}), p AS (SELECT a.doc_id, a.id AS run, b.id AS cell, b.x0 AS cx, (a.x0 + a.x1) / 2 AS mx, (a.y0 + a.y1) / 2 AS my, b.x0, b.x1, b.y0, b.y1 FROM x a JOIN x b ON a.doc_id = b.doc_id AND a.id % 2 = 1 AND b.id % 2 = 0
+WHERE (a.x0 + a.x1) / 2 BETWEEN b.x0 - 1 AND b.x1 + 1 AND (a.y0 + a.y1) / 2 BETWEEN b.y0 - 1 AND b.y1 + 1)
+SELECT doc_id, run, cell FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, run ORDER BY least(mx - x0, x1 - mx, my - y0, y1 - my) DESC, cx, cell) AS k FROM p) WHERE k = 1
+""")
+def geo_own_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each odd box as a run in the one even box that has its centre deepest inside."""
+    x = boxes(spark, sf_dir).select("doc_id", "page", "id", "x0", "y0", "x1", "y1")
+    return C.own_cells(x.where("id % 2 = 1"), x.where("id % 2 = 0"), "id").select("doc_id", F.col("r_id").alias("run"), F.col("c_id").alias("cell"))
+
+
+@query(f"""
+WITH x AS ({_BOXES}), a AS (SELECT doc_id, list(x0) FILTER (WHERE id % 2 = 0) AS anchors FROM x GROUP BY doc_id), c AS (SELECT doc_id, list_sort(list("rows")) AS r FROM x GROUP BY doc_id)
+SELECT x.doc_id, round(avg(CAST(coalesce(len(list_filter(anchors, lambda y: abs(y - x.x0) <= 40)), 0) > 0 AS INTEGER)), 6) AS alignment, round(any_value(len(list_filter(r, lambda n: abs(n - r[len(r) // 2 + 1]) <= 1)) / len(r)), 6) AS steady
+FROM x JOIN a ON x.doc_id = a.doc_id JOIN c ON x.doc_id = c.doc_id GROUP BY x.doc_id
+""")
+def geo_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = boxes(spark, sf_dir).groupBy("doc_id").agg(F.collect_list("x0").alias("v"), F.collect_list(F.when(F.col("id") % 2 == 0, F.col("x0"))).alias("a"), F.collect_list("rows").alias("r"))
+    return g.select("doc_id", F.round(G.alignment(F.col("v"), F.col("a"), 40.0), 6).alias("alignment"), F.round(G.steady(F.col("r")), 6).alias("steady"))
