@@ -300,3 +300,17 @@ def parse_dedup(docs: DataFrame) -> DataFrame:
     return whole.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "spans").mapInArrow(
         _cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
     )
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS t FROM documents), h AS (SELECT doc_id, t, hex(t) AS x, octet_length(t) AS n FROM d),
+w AS (SELECT doc_id, pos, hash(t[pos + 1:pos + 50]) AS k FROM (SELECT doc_id, t, unnest(range(0, n - 49)) AS pos FROM h WHERE n >= 50)),
+f AS (SELECT k, min(doc_id) AS first FROM w GROUP BY k HAVING count(*) > 1),
+g AS (SELECT doc_id, pos FROM w JOIN f ON w.k = f.k AND f.first < w.doc_id),
+m AS (SELECT doc_id, pos, CASE WHEN pos > lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) + 50 OR lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) IS NULL THEN 1 ELSE 0 END AS opens FROM g),
+i AS (SELECT doc_id, pos, sum(opens) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM m),
+u AS (SELECT doc_id, run, min(pos) AS s, max(pos) + 50 AS e FROM i GROUP BY ALL),
+v AS (SELECT doc_id, s, e, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY s) AS before FROM u),
+k AS (SELECT h.doc_id, string_agg(substr(x, 2 * before + 1, 2 * (s - before)), '' ORDER BY s) AS head, max(e) AS last, count(*) AS n_spans, sum(e - s) AS gone FROM v JOIN h ON v.doc_id = h.doc_id GROUP BY h.doc_id)
+SELECT h.doc_id, n AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM h LEFT JOIN k ON h.doc_id = k.doc_id
+"""

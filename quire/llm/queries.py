@@ -61,4 +61,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_benchmark_decontamination": decontaminate.SQL, "op10_line_dedup": line_dedup.SQL}
+    return {
+        "op4_jaccard_join": jaccard_join.SQL,
+        "op5_parse_dedup": parse_dedup.SQL,
+        "op6_benchmark_decontamination": decontaminate.SQL,
+        "op10_line_dedup": line_dedup.SQL,
+    }
