@@ -300,14 +300,14 @@ def decode(blob: bytes) -> tuple[np.ndarray, np.ndarray, list[int | None]]:
     raw, null, counts = np.frombuffer(head, "<i8", n), np.frombuffer(head, "u1", n, 8 * n), np.frombuffer(head, "<u8", n, 9 * n).astype(np.int64)
     sizes, lengths, sums = (np.frombuffer(head, "<u4", k, 17 * n + 4 * k * i).astype(np.int64) for i in range(3))
     at = 24 + size + np.concatenate([[0], np.cumsum(sizes)])
-    out: list[np.ndarray] = []
+    ids = np.zeros(int(lengths.sum()), np.uint32)
+    to = np.concatenate([[0], np.cumsum(lengths)])
     for lo in range(0, k, LANES):
         hi = min(lo + LANES, k)
         some = _decode_lanes([blob[at[i] : at[i + 1]] for i in range(lo, hi)], lengths[lo:hi], vocabulary)
         for i in range(lo, hi):
-            own = some[i - lo, : lengths[i]].astype(np.uint32)
+            own = ids[to[i] : to[i + 1]]
+            own[:] = some[i - lo, : lengths[i]]
             if zlib.crc32(own.astype("<u4").tobytes()) != sums[i]:
                 raise CorruptBlock(f"block {i}")
-            out.append(own)
-    ids = np.concatenate(out) if out else np.zeros(0, np.uint32)
     return ids, counts, [None if z else int(d) for d, z in zip(raw, null)]

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from . import token_coder
 from .common import small_batches
 from .tokens import BYTE_BPE, encoder, tokenizer_path
+from .words import trim
 
 END_ID, VOCABULARY = 2, 50_257
 #: Ids after which a segment ends: the coder's lanes, all full.
@@ -55,13 +56,14 @@ def _write(path: str) -> Callable:
             types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
             number, size = number + 1, 0
             ids.clear(), counts.clear(), docs.clear()
+            trim()  # the coder's tables are of sizes that would stay with the worker
             return pa.record_batch({k: pa.array(v, t) for (k, v), t in zip(row.items(), types)})
 
         for b in batches:
             for r in encode(b.column("text")):
                 if size and size + len(r.ids) > SEGMENT:
                     yield segment()
-                ids.append(r.ids)
+                ids.append(r.ids.astype(np.uint16))  # below 65,535
                 counts.append(np.diff(r.bounds))
                 docs += b.column("doc_id").slice(r.lo, r.hi - r.lo).to_pylist()
                 size += len(r.ids)
@@ -89,7 +91,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for base, blob in zip(b.column("base").to_pylist(), b.column("segment")):
             ids, counts, docs = token_coder.decode(blob.as_py())
-            raw = memoryview(ids.astype("<u4")).cast("B")
+            trim()
+            raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
             end = np.cumsum(counts)
             start = end - counts
             yield pa.record_batch(
