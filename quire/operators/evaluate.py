@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -236,12 +239,15 @@ def box_detection(matches: DataFrame, counts: DataFrame, key: list[str]) -> Data
 
 
 def overall(parts: dict[str, tuple[Column, float]]) -> Column:
-    """The weighted mean of the scores that there are; null without any."""
-    has = lambda c, x: F.when(c.isNotNull(), x).otherwise(F.lit(0.0))
-    weights = [has(c, F.lit(w)) for c, w in parts.values()]
-    total = [has(c, c * w) for c, w in parts.values()]
-    plus = lambda cs: cs[0] if len(cs) == 1 else cs[0] + plus(cs[1:])
-    return F.when(plus(weights) > 0, plus(total) / plus(weights))
+    """The weighted mean of the scores that there are; null without any.
+
+    Weights are decimals, so 0.4 and 0.2 make 0.6, and so are products with decimal or whole scores; terms add up from the left.
+    """
+    exact = lambda w: F.lit(Decimal(str(w)))
+    weights = [F.when(c.isNotNull(), exact(w)).otherwise(exact(0)) for c, w in parts.values()]
+    total = [F.coalesce((c * exact(w)).cast("double"), F.lit(0.0)) for c, w in parts.values()]
+    weight = reduce(add, weights)
+    return F.when(weight > 0, reduce(add, total) / weight.cast("double"))
 
 
 # Suites
