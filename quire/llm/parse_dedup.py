@@ -9,8 +9,9 @@ trigger, wherever they stand.
 
 1. A window holds SIDE bytes before its trigger or SIDE bytes after it, so the
    trigger with either side is counted: per slice of texts and bucket a packed
-   list of 32-bit rests, then a bitmap of FILTER_BITS over all (fixed size) of
-   those in more than one document. A false hit costs a row, never a match.
+   list of 32-bit rests, then a bitmap over all of those in more than one
+   document, two bits each. It grows with the bytes of text from FILTER_BITS to
+   MAX_FILTER_BITS. A false hit costs a row, never a match.
 2. Phrases, cut to the windows of the sides in the bitmap, are sent to their
    trigger. Of phrases that a slice repeats, the bytes go once.
 3. Per trigger the distinct phrases are the dictionary, and the occurrences of a
@@ -50,7 +51,8 @@ from .common import row_key, saver, shuffle_parts
 
 WINDOW, GRAM = 50, 20
 SIDE = (WINDOW - GRAM) // 2
-FILTER_BITS = 1 << 27
+#: Bits of the bitmap, one for 8 bytes of text between these bounds: at most 64 MB, which every worker holds.
+FILTER_BITS, MAX_FILTER_BITS = 1 << 27, 1 << 29
 LEAST = -(1 << 63)
 _PIECE = 8 << 20
 
@@ -98,8 +100,23 @@ def _sides(d: np.ndarray, sums: np.ndarray, start: np.ndarray, count: np.ndarray
     return [(before, left), (after, right)]
 
 
-def _count(buckets: int) -> Callable:
+def filter_bits(text_bytes: int) -> int:
+    return min(MAX_FILTER_BITS, max(FILTER_BITS, 1 << (max(text_bytes // 8, 1) - 1).bit_length()))
+
+
+def _places(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of a hash, and the 32 bits after it."""
     shift = np.uint64(64 - buckets.bit_length() + 1)
+    return (h >> shift).astype(np.int64), (h >> (shift - np.uint64(32))).astype(np.uint32)
+
+
+def _cells(rest: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of a rest in its bucket's part of ``size`` bits."""
+    down = np.uint32(32 - size.bit_length() + 1)
+    return (rest >> down).astype(np.int64), (rest * np.uint32(0x9E3779B1) >> down).astype(np.int64)
+
+
+def _count(buckets: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, d, sums, row, _, start, count, gram, _ in _triggers(batches, "text"):
@@ -112,8 +129,7 @@ def _count(buckets: int) -> Callable:
             h = h[first]
             rank = np.arange(len(h)) - np.searchsorted(h, h)
             h = h[rank < 2]
-            bucket = (h >> shift).astype(np.int64)
-            rest = (h >> (shift - np.uint64(32))).astype(np.uint32)
+            bucket, rest = _places(h, buckets)
             cut = np.searchsorted(bucket, np.arange(buckets + 1))
             used = np.flatnonzero(np.diff(cut))
             yield pa.record_batch({"bucket": pa.array(used.astype(np.int32)), "rests": pa.array([rest[cut[k] : cut[k + 1]].tobytes() for k in used], pa.binary())})
@@ -121,29 +137,32 @@ def _count(buckets: int) -> Callable:
     return run
 
 
-def _shared(buckets: int) -> Callable:
-    bits = FILTER_BITS // buckets
-
+def _shared(size: int) -> Callable:
     def run(key, table):
         r = np.sort(np.frombuffer(b"".join(table["rests"].to_pylist()), np.uint32))
         twice = r[1:][r[1:] == r[:-1]]
-        hit = np.zeros(bits, np.uint8)
-        hit[(twice >> np.uint32(32 - bits.bit_length() + 1)).astype(np.int64)] = 1
+        hit = np.zeros(size, np.uint8)
+        for cells in _cells(twice, size):
+            hit[cells] = 1
         return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "hits": pa.array([np.packbits(hit).tobytes()], pa.binary())})
 
     return run
 
 
-def _phrases(hits: np.ndarray) -> Callable:
-    shift = np.uint64(64 - FILTER_BITS.bit_length() + 1)
+def _phrases(hits: np.ndarray, buckets: int = 256) -> Callable:
+    size = 8 * len(hits) // buckets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, d, sums, row, pos, start, count, gram, h in _triggers(batches, "text"):
             hit = []
             for where, side in _sides(d, sums, start, count, gram):
-                cell = (side >> shift).astype(np.int64)
+                bucket, rest = _places(side, buckets)
+                both = np.ones(len(side), np.uint8)
+                for cell in _cells(rest, size):
+                    cell += bucket * size
+                    both &= hits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)
                 own = np.zeros(len(h), bool)
-                own[where] = (hits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1
+                own[where] = both & 1
                 hit.append(own)
             use = np.flatnonzero(hit[0] | hit[1])
             if not len(use):
@@ -282,12 +301,13 @@ def covered_runs(docs: DataFrame) -> DataFrame:
     buckets = 1 << min(20, max(8, (4 * n - 1).bit_length()))
     own = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LEAST)).alias("doc"), row_key("doc_id", "text").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     lists = own.select("text").mapInArrow(_count(buckets), "bucket int, rests binary")
-    rows = lists.groupBy("bucket").applyInArrow(_shared(buckets), "bucket int, hits binary").toLocalIterator()
-    hits = np.zeros(FILTER_BITS // 8, np.uint8)
+    bits = filter_bits(own.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    rows = lists.groupBy("bucket").applyInArrow(_shared(bits // buckets), "bucket int, hits binary").toLocalIterator()
+    hits = np.zeros(bits // 8, np.uint8)
     size = len(hits) // buckets
     for r in rows:
         hits[r["bucket"] * size : (r["bucket"] + 1) * size] = np.frombuffer(r["hits"], np.uint8)
-    phrases = own.mapInArrow(_phrases(hits), "trigger bigint, doc bigint, key bigint, pos bigint, n int, phrase binary")
+    phrases = own.mapInArrow(_phrases(hits, buckets), "trigger bigint, doc bigint, key bigint, pos bigint, n int, phrase binary")
     return phrases.repartition(n, "trigger").sortWithinPartitions("trigger", "doc").mapInArrow(_cover, "key bigint, start bigint, end bigint")
 
 

@@ -315,6 +315,23 @@ def test_parse_is_exact(spark, docs, monkeypatch, slice_, piece):
     assert order(rows_of(parse_dedup.parse_dedup(docs))) == order(brute_parse(corpus()))
 
 
+def test_parse_filter_follows_the_input(spark, monkeypatch):
+    monkeypatch.setattr(parse_dedup, "FILTER_BITS", 1 << 12)
+    made, fill = parse_dedup._phrases, []
+
+    def spy(hits, *rest):
+        fill.append(np.unpackbits(hits).mean())
+        return made(hits, *rest)
+
+    monkeypatch.setattr(parse_dedup, "_phrases", spy)
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choices("abcdefghij ", k=2000)) for _ in range(600)]
+    rows = [(i, t) for i, t in enumerate(texts + texts[:30])]
+    got = {r["doc_id"]: r["n_removed"] for r in parse_dedup.parse_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {i: 2000 * (i >= 600) for i in range(630)}
+    assert 0 < fill[0] < 0.2  # a bitmap of fixed size is full, and every phrase travels
+
+
 def test_parse_of_nothing(spark, none):
     assert parse_dedup.parse_dedup(none).count() == 0
 
