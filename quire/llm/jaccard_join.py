@@ -15,11 +15,20 @@ never a link. A shingle whose cell exceeds the mean cell by HOT, or by four
 times the mean where that is more, has its list split into pairs of blocks, so
 no list lies in one task; at any size of the input few cells do.
 
-Candidates are verified exactly. They are routed by the smallest class they
-meet, so a family's sets are fetched once, not once a pair; families are cut
-into pairs of blocks of BLOCK shingles. Verification gives, per class, the
-number of linked documents and one edge to a local root; components come from
-the edges by alternating star contractions, with checkpoints between rounds.
+Classes of near copies share most of their lists, so that a family of f classes
+would meet as f * f pairs in each of them. Therefore classes of equal least and
+greatest shingle hash, under one of LEVELS orders of the hashes, are one unit
+where they are many (GROUP) and alike by the next order, too (DENSE); any other
+class is a unit of its own. Lists hold each unit once, with the least and greatest
+of its members' bounds, and candidates are pairs of units: a unit shares what its
+members share, so none is lost, whatever the units are.
+
+Candidates are verified exactly, class by class, and so are all pairs within a
+unit. They are routed by the smallest unit they meet, so a family's sets are
+fetched once, not once a pair; families and units are cut into blocks of BLOCK
+shingles. Verification gives, per class, the number of linked documents and one
+edge to a local root; components come from the edges by alternating star
+contractions, with checkpoints between rounds.
 
 Defined cases: a null text counts as empty; a document without words has no
 shingle, no link and itself as component; with fewer words than a shingle the
@@ -54,9 +63,14 @@ HOT = 20_000
 #: Rows of sorted signatures, and pairs found in them, that a worker holds at once; classes it remembers.
 WINDOW, FOUND, SEEN = 250_000, 400_000, 250_000
 BLOCK = 500_000
-#: Signature rows of a task: the fewer tasks a pair's shingles spread over, the fewer rows count them.
-TASK_ROWS = 3_000_000
+#: Signature rows of a task: the fewer tasks a pair's shingles spread over, the fewer rows count them, and the more memory a sort takes.
+TASK_ROWS = 1_500_000
 MAX_LIGHT = 8
+#: Classes that share a unit: at least GROUP; two of them agree in the next order with this probability, .25 at a Jaccard of .5.
+GROUP, DENSE = 16, 0.25
+#: Odd factors of the hashes, one per order; the largest units, of which every worker holds the ids: 2 MB.
+LEVELS = np.array([1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93], np.uint64)
+MAX_UNITS = 250_000
 #: Bits of the filter that keeps sets without candidates from being fetched: at most 4 MB, whatever the input.
 MAX_FILTER_BITS = 1 << 25
 
@@ -85,18 +99,49 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, i
             yield b, w.lo, h, bounds, _class_ids(h, bounds)
 
 
+def _alike(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Per set and order, the id of the unit it may be in; 0 for small sets."""
+    size = np.diff(bounds)
+    out = np.zeros((len(size), len(LEVELS)), np.int64)
+    use = size > 0
+    if use.any():
+        at = bounds[:-1][use]
+        for i, factor in enumerate(LEVELS):
+            x = h * factor
+            ends = mix(np.minimum.reduceat(x, at)) + np.maximum.reduceat(x, at) * np.uint64(3) + np.uint64(i)
+            out[use, i] = np.where(size[use] > MAX_LIGHT, mix(ends), np.uint64(0)).view(np.int64)
+    return out
+
+
+def _unit(alike: np.ndarray, cid: np.ndarray, groups: np.ndarray) -> np.ndarray:
+    """The first of its ids that is in ``groups`` (sorted); else the class itself."""
+    unit, own = cid.copy(), np.ones(len(cid), bool)
+    if len(groups):
+        for level in alike.T:
+            hit = own & (groups[np.minimum(np.searchsorted(groups, level), len(groups) - 1)] == level)
+            unit[hit] = level[hit]
+            own &= ~hit
+    return unit
+
+
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per document (doc_id, cid, n), and per task its part of the sketch."""
+    """A row per document (doc_id, cid, n, ids of units), and per task its part of the sketch."""
     sketch = np.zeros(SKETCH, np.uint32)
     for b, lo, h, bounds, cid in _sets(batches):
         np.add.at(sketch, (h & np.uint64(SKETCH - 1)).astype(np.int64), np.uint32(1))
-        k = len(cid)
+        k, alike = len(cid), _alike(h, bounds)
         yield pa.record_batch(
-            {"doc_id": b.column("doc_id").slice(lo, k).cast(pa.int64()), "cid": pa.array(cid), "n": pa.array(np.diff(bounds).astype(np.int32)), "chunk": pa.nulls(k, pa.int32()), "part": pa.nulls(k, pa.binary())}
+            {"doc_id": b.column("doc_id").slice(lo, k).cast(pa.int64()), "cid": pa.array(cid), "n": pa.array(np.diff(bounds).astype(np.int32))}
+            | {f"u{i}": pa.array(np.ascontiguousarray(u)) for i, u in enumerate(alike.T)}
+            | {"chunk": pa.nulls(k, pa.int32()), "part": pa.nulls(k, pa.binary())}
         )
     blobs = to_parts(sketch)
     k = len(blobs)
-    yield pa.record_batch({"doc_id": pa.nulls(k, pa.int64()), "cid": pa.nulls(k, pa.int64()), "n": pa.nulls(k, pa.int32()), "chunk": pa.array(range(k), pa.int32()), "part": pa.array(blobs, pa.binary())})
+    yield pa.record_batch(
+        {"doc_id": pa.nulls(k, pa.int64()), "cid": pa.nulls(k, pa.int64()), "n": pa.nulls(k, pa.int32())}
+        | {f"u{i}": pa.nulls(k, pa.int64()) for i in range(len(LEVELS))}
+        | {"chunk": pa.array(range(k), pa.int32()), "part": pa.array(blobs, pa.binary())}
+    )
 
 
 def light_boundary(histogram: dict[int, int], mean_list: float) -> int:
@@ -111,12 +156,12 @@ def light_boundary(histogram: dict[int, int], mean_list: float) -> int:
     return x
 
 
-def _signatures(sketch: np.ndarray, x: int) -> Callable:
-    """Signature rows: key, side, cid, n, pos (-1: a subset)."""
+def _signatures(sketch: np.ndarray, x: int, groups: np.ndarray) -> Callable:
+    """Signature rows: key, unit, and side, n, pos (-1: a subset) in one number."""
     block = int(max(HOT, 4 * sketch.mean()))
     floor = int(sketch.mean())
 
-    def of(h: np.ndarray, cid: int) -> list[tuple]:
+    def of(h: np.ndarray, unit: int) -> list[tuple]:
         n, out = len(h), []
         load = sketch[(h & np.uint64(SKETCH - 1)).astype(np.int64)]
         if n <= x:
@@ -131,7 +176,7 @@ def _signatures(sketch: np.ndarray, x: int) -> Callable:
                 key = int(h[k])
                 if load[k] > floor + block:
                     blocks = (int(load[k]) - floor) // block + 1
-                    own = int(cid) % blocks
+                    own = int(unit) % blocks
                     for other in range(blocks):
                         a, b = min(own, other), max(own, other)
                         out.append((int(mix(np.array([key + a * 0x9E3779B97F4A7C15 + b * 0xC2B2AE3D27D4EB4F & (1 << 64) - 1], np.uint64))[0]), -1 if a == b else int(own == b), n, pos))
@@ -142,7 +187,7 @@ def _signatures(sketch: np.ndarray, x: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for _, _, h, bounds, cids in _sets(batches):
-            size = np.diff(bounds)
+            size, units = np.diff(bounds), _unit(_alike(h, bounds), cids, groups)
             first = np.zeros(len(cids), bool)
             for i, c in enumerate(cids):
                 if size[i] and c not in seen:
@@ -165,59 +210,72 @@ def _signatures(sketch: np.ndarray, x: int) -> Callable:
             n = size[d]
             keep = pos < n - -(-PERCENT * n // 100) + shared_needed(n)
             d, v, pos, n = d[keep], v[keep], pos[keep], n[keep]
-            yield _rows(v.view(np.int64), np.full(len(v), -1, np.int8), cids[d], n, pos)
+            yield _rows(v.view(np.int64), np.full(len(v), -1, np.int8), units[d], n, pos)
             for i in np.flatnonzero(first & ~plain):
-                if rows := of(h[bounds[i] : bounds[i + 1]], cids[i]):
+                if rows := of(h[bounds[i] : bounds[i + 1]], units[i]):
                     k, s, m, p = zip(*rows)
-                    yield _rows(np.array(k, np.uint64).view(np.int64), np.array(s, np.int8), np.full(len(k), cids[i]), np.array(m), np.array(p))
+                    yield _rows(np.array(k, np.uint64).view(np.int64), np.array(s, np.int8), np.full(len(k), units[i]), np.array(m), np.array(p))
 
     return run
 
 
-def _rows(key, side, cid, n, pos) -> pa.RecordBatch:
+def _rows(key, side, unit, n, pos) -> pa.RecordBatch:
     # side, n and pos in one number: fewer bytes to shuffle.
     packed = (n.astype(np.int64) << 32) | ((pos.astype(np.int64) + 1) << 2) | (side.astype(np.int64) + 1)
-    return pa.record_batch({"key": pa.array(key), "cid": pa.array(cid), "at": pa.array(packed)})
+    return pa.record_batch({"key": pa.array(key), "unit": pa.array(unit), "at": pa.array(packed)})
 
 
 def _counted(p: np.ndarray) -> np.ndarray:
-    """Columns (a, b, an, bn, count), one per pair with the sum of its counts."""
+    """Columns (a, b, n, count), one per pair with its least n and the sum of its counts."""
     order = np.lexsort((p[1], p[0]))
     p = p[:, order]
     at = np.flatnonzero(np.r_[True, (p[0, 1:] != p[0, :-1]) | (p[1, 1:] != p[1, :-1])])
     out = p[:, at]
-    out[4] = np.add.reduceat(p[4], at)
+    out[2] = np.minimum.reduceat(p[2], at)
+    out[3] = np.add.reduceat(p[3], at)
     return out
 
 
 def _pairs(x: int) -> Callable:
-    """Pairs (a, b, an, bn, shared), the smaller set first, from rows sorted by key, size and class."""
+    """Pairs (a, b, n, shared) of units, the smaller id first, from rows sorted by key; n is the least size that shared."""
 
     def made(p: np.ndarray) -> pa.RecordBatch:
-        return pa.record_batch({"a": pa.array(p[0]), "b": pa.array(p[1]), "an": pa.array(p[2].astype(np.int32)), "bn": pa.array(p[3].astype(np.int32)), "shared": pa.array(p[4].astype(np.int32))})
-
-    def among(key, cid, at) -> Iterator[pa.RecordBatch]:
-        once = np.r_[True, (key[1:] != key[:-1]) | (cid[1:] != cid[:-1])]  # copies read by several tasks
-        key, cid, at = key[once], cid[once], at[once]
+        return pa.record_batch({"a": pa.array(p[0]), "b": pa.array(p[1]), "n": pa.array(p[2].astype(np.int32)), "shared": pa.array(p[3].astype(np.int32))})
+
+    def among(key, unit, at) -> Iterator[pa.RecordBatch]:
+        new = np.r_[True, key[1:] != key[:-1]]
+        several = ~(new & np.r_[new[1:], True])  # most keys have one row
+        key, unit, at = key[several], unit[several], at[several]
+        if not len(key):
+            return
+        # One row per key and unit: of its classes, and of copies read by several tasks.
+        order = np.lexsort((at, unit, key))
+        key, unit, at = key[order], unit[order], at[order]
         n, pos, side = at >> 32, ((at >> 2) & ((1 << 30) - 1)) - 1, (at & 3) - 1
+        once = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (unit[1:] != unit[:-1])])
+        # The smallest and the largest set, the most that may be left to share, whether one is in a smaller set's prefix.
+        high = n[np.r_[once[1:], len(n)] - 1]
+        left_over = np.maximum.reduceat(n - pos, once)
+        index = n - -(-2 * PERCENT * n // (100 + PERCENT)) + shared_needed(n)
+        early = np.logical_or.reduceat((pos < index) | (pos < 0), once)
+        key, unit, n, pos, side = key[once], unit[once], n[once], pos[once], side[once]
+        order = np.lexsort((unit, n, key))
+        key, unit, n, pos, side, high, left_over, early = (v[order] for v in (key, unit, n, pos, side, high, left_over, early))
         last = np.flatnonzero(np.r_[key[1:] != key[:-1], True])
         left = np.repeat(last, np.diff(np.r_[-1, last])) - np.arange(len(key))  # rows of the key after this one
-        live, found, step = np.flatnonzero(left > 0), [], 1
-        index = n - -(-2 * PERCENT * n // (100 + PERCENT)) + shared_needed(n)
-        live = live[(pos[live] < index[live]) | (pos[live] < 0)]
+        live, found, step = np.flatnonzero((left > 0) & (early | (high > n))), [], 1
         waiting = 0
         while len(live):
             a, b = live, live + step
-            ok = (cid[a] != cid[b]) & (n[a] * 100 >= PERCENT * n[b]) & ((side[a] < 0) | (side[a] != side[b]))
+            near = high[a] * 100 >= PERCENT * n[b]
+            live, a, b = live[near], a[near], b[near]  # later rows of the key are larger still
             need = -(-PERCENT * (n[a] + n[b]) // (100 + PERCENT))
-            subset = pos[a] < 0
-            ok &= np.where(subset, pos[b] < 0, (pos[b] >= 0) & (n[b] > x) & (np.minimum(n[a] - pos[a], n[b] - pos[b]) > need - shared_needed(n[a])))
+            most = np.minimum(left_over[a], left_over[b]) > need - shared_needed(np.minimum(high[a], high[b]))
+            ok = (early[a] | (early[b] & (high[a] > n[b]))) & ((side[a] < 0) | (side[a] != side[b]))
+            ok &= np.where(pos[a] < 0, pos[b] < 0, (pos[b] >= 0) & (np.maximum(high[a], high[b]) > x) & most)
             if ok.any():
                 a, b = a[ok], b[ok]
-                # Equal sizes come in either order: the smaller class first.
-                turn = (n[a] == n[b]) & (cid[a] > cid[b])
-                a, b = np.where(turn, b, a), np.where(turn, a, b)
-                found.append(np.stack([cid[a], cid[b], n[a], n[b], np.ones(len(a), np.int64)]))
+                found.append(np.stack([np.minimum(unit[a], unit[b]), np.maximum(unit[a], unit[b]), n[a], np.ones(len(a), np.int64)]))
                 waiting += len(a)
                 if waiting > FOUND:
                     found = [_counted(np.concatenate(found, 1))]
@@ -292,39 +350,52 @@ def _verify(keys: tuple, pairs: pa.Table, sets: pa.Table) -> pa.Table:
 
     if not pairs.num_rows or not sets.num_rows:
         return made([], [], [])
-    cid, once = np.unique(sets["cid"].to_numpy(), return_index=True)  # copies read by several tasks
-    copies, column = sets["copies"].to_numpy()[once], sets["s"].combine_chunks().take(pa.array(once))
+    once = np.unique(sets["cid"].to_numpy(), return_index=True)[1]  # copies read by several tasks
+    unit, part = sets["unit"].to_numpy()[once], sets["part"].to_numpy()[once]
+    order = np.lexsort((part, unit))
+    once, unit, part = once[order], unit[order], part[order]
+    cid, copies, column = sets["cid"].to_numpy()[once], sets["copies"].to_numpy()[once], sets["s"].combine_chunks().take(pa.array(once))
+    cuts = np.flatnonzero(np.r_[True, (unit[1:] != unit[:-1]) | (part[1:] != part[:-1]), True])
+    rows = {(int(unit[lo]), int(part[lo])): (int(lo), int(hi)) for lo, hi in zip(cuts[:-1], cuts[1:])}
     data, offsets = raw(column)
     size = np.diff(offsets) // 8
     start = np.concatenate([[0], np.cumsum(size)])
     code = np.unique(np.frombuffer(data[offsets[0] : offsets[-1]].tobytes(), np.uint64), return_inverse=True)[1].astype(np.int32)
-    marked = np.zeros(int(code.max()) + 1, bool)
-    a, b = np.searchsorted(cid, pairs["a"].to_numpy()), np.searchsorted(cid, pairs["b"].to_numpy())
-    both_ends = np.unique(a * len(cid) + b)
-    a, b = both_ends // len(cid), both_ends % len(cid)
+    marked = np.zeros(int(code.max()) + 1, np.int32)
+    meet: dict[tuple[int, int], set[tuple[int, int]]] = {}
+    for a, b, i, j in zip(*(pairs[c].to_pylist() for c in ("a", "b", "pa", "pb"))):
+        if (a, i) in rows and (b, j) in rows:
+            meet.setdefault(rows[a, i], set()).add(rows[b, j])
     linked, parent = np.zeros(len(cid), np.int64), np.arange(len(cid))
 
     def find(i: int) -> int:
         while parent[i] != i:
             parent[i] = parent[parent[i]]
             i = parent[i]
-        return i
-
-    cuts = np.r_[0, np.flatnonzero(a[1:] != a[:-1]) + 1, len(a)]
-    for lo, hi in zip(cuts[:-1], cuts[1:]):
-        i = a[lo]
-        own = code[start[i] : start[i + 1]]
-        marked[own] = True
-        for k in range(lo, hi):
-            j = b[k]
-            both = int(np.count_nonzero(marked[code[start[j] : start[j + 1]]]))
-            if 100 * both >= PERCENT * (size[i] + size[j] - both):
-                linked[i] += copies[j]
-                linked[j] += copies[i]
-                x, y = find(i), find(j)
-                if x != y:
-                    parent[max(x, y)] = min(x, y)
-        marked[own] = False
+        return int(i)
+
+    for (lo, hi), others in meet.items():
+        for i in range(lo, hi):
+            own = code[start[i] : start[i + 1]]
+            marked[own] = 1
+            for j, end in others:
+                if j == lo:
+                    j = i + 1  # of a block with itself, each pair once
+                if j + 1 == end:
+                    both = np.count_nonzero(marked[code[start[j] : start[end]]])
+                elif j < end:
+                    both = np.add.reduceat(marked[code[start[j] : start[end]]], start[j:end] - start[j])
+                else:
+                    continue
+                use = j + np.flatnonzero(100 * both >= PERCENT * (size[i] + size[j:end] - both))
+                if len(use):
+                    linked[i] += copies[use].sum()
+                    linked[use] += copies[i]
+                    roots = {find(k) for k in np.unique(parent[use])} | {find(i)}
+                    least = min(roots)
+                    parent[list(roots)] = least
+                    parent[use] = least
+            marked[own] = 0
     use = np.flatnonzero(linked)
     out = made(cid[use], linked[use], cid[[find(i) for i in use]] if len(use) else [])
     trim()
@@ -349,50 +420,78 @@ def components(edges: DataFrame, save: Saver) -> DataFrame:
         before = now
 
 
+def _groups(classes: DataFrame, ids: list[str]) -> np.ndarray:
+    """The ids of units, sorted: of many classes, of which enough pairs agree in the next order, too."""
+    seen = classes.where(F.col("n") > MAX_LIGHT).select(F.explode(F.array(*[F.struct(F.col(u).alias("g"), F.col(v).alias("other")) for u, v in zip(ids, ids[1:] + ids[:1])])).alias("e"))
+    count = seen.groupBy("e.g", "e.other").agg(F.count("*").cast("double").alias("c")).groupBy("g").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("agree"))
+    found = count.where((F.col("m") >= GROUP) & (F.col("agree") >= DENSE * F.col("m") * F.col("m"))).orderBy(F.desc("m"), "g").limit(MAX_UNITS)
+    return np.sort(np.array([r["g"] for r in found.select("g").collect()], np.int64))
+
+
+def _with_unit(groups: np.ndarray) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            alike = np.stack([b.column(f"u{i}").to_numpy() for i in range(len(LEVELS))], 1)
+            unit = _unit(alike, b.column("cid").to_numpy(), groups)
+            yield pa.record_batch({"cid": b.column("cid"), "unit": pa.array(unit), "copies": b.column("copies"), "first": b.column("first"), "n": b.column("n")})
+
+    return run
+
+
 def jaccard_join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, n_similar, component_id for every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     save = saver(spark)
-    profile = save(docs.mapInArrow(_profile, "doc_id bigint, cid bigint, n int, chunk int, part binary"))
-    own = profile.where("chunk is null").select("doc_id", "cid", "n")
+    ids = [f"u{i}" for i in range(len(LEVELS))]
+    profile = save(docs.mapInArrow(_profile, f"doc_id bigint, cid bigint, n int, {', '.join(f'{u} bigint' for u in ids)}, chunk int, part binary"))
+    own = profile.where("chunk is null").select("doc_id", "cid", "n", *ids)
     sketch = sum_parts(profile.where("chunk is not null").select("chunk", "part"), SKETCH)
     histogram = {r["n"]: r["count"] for r in own.where(F.col("n") <= MAX_LIGHT).groupBy("n").count().collect()}
     x = light_boundary(histogram, float(sketch.mean()))
+    classes = save(own.where("n > 0").groupBy("cid").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first"), F.min("n").alias("n"), *[F.min(u).alias(u) for u in ids]))
+    groups = _groups(classes, ids)
+    units = save(classes.mapInArrow(_with_unit(groups), "cid bigint, unit bigint, copies bigint, first bigint, n int"))
+    save.drop(classes)
     # A set has .3 n + n / 12 rows.
     rows = 0.4 * (own.agg(F.sum("n")).first()[0] or 0)
     tasks = max(spark.sparkContext.defaultParallelism, math.ceil(rows / TASK_ROWS))
-    signatures = docs.mapInArrow(_signatures(sketch, x), "key bigint, cid bigint, at bigint")
+    signatures = docs.mapInArrow(_signatures(sketch, x, groups), "key bigint, unit bigint, at bigint")
+    sizes = units.groupBy("unit").agg(F.count("*").alias("members"), F.sum("n").alias("weight"))
     pairs = save(
         signatures.repartition(tasks, "key")
-        .sortWithinPartitions("key", "at", "cid")
-        .mapInArrow(_pairs(x), "a bigint, b bigint, an int, bn int, shared int")
-        .groupBy("a", "b", "an", "bn")
-        .agg(F.sum("shared").alias("shared"))
-        .where(F.col("shared") >= F.greatest(F.lit(1), F.floor(F.col("an") / 12)))
-        .select("a", "b", "an", "bn")
+        .sortWithinPartitions("key")
+        .mapInArrow(_pairs(x), "a bigint, b bigint, n int, shared int")
+        .groupBy("a", "b")
+        .agg(F.sum("shared").alias("shared"), F.min("n").alias("n"))
+        .where(F.col("shared") >= F.greatest(F.lit(1), F.floor(F.col("n") / 12)))
+        .select("a", "b")
+        .unionByName(sizes.where("members > 1").select(F.col("unit").alias("a"), F.col("unit").alias("b")))
     )
-    classes = save(own.where("n > 0").groupBy("cid").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first")))
-    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("cid"), F.col("an").alias("n")), F.struct(F.col("b").alias("cid"), F.col("bn").alias("n")))).alias("e"), F.least("a", "b").alias("m"))
-    lead = save(ends.groupBy("e.cid", "e.n").agg(F.min("m").alias("lead")))
-    n_wanted, weight = lead.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    blocks = lead.groupBy("lead").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
-    homes = lead.join(blocks, "lead").select("cid", "n", F.struct("lead", F.pmod("cid", F.col("blocks")).alias("block")).alias("home"))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("unit"), F.least("a", "b").alias("m"))
+    lead = save(ends.groupBy("unit").agg(F.min("m").alias("lead")).join(sizes, "unit").withColumn("parts", F.ceil(F.col("weight") / BLOCK)))
+    n_wanted, weight = lead.agg(F.coalesce(F.sum("members"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    blocks = lead.groupBy("lead").agg(F.ceil(F.sum("weight") / BLOCK).alias("blocks"))
+    homes = lead.join(blocks, "lead").select("unit", "parts", "lead", "blocks")
     buckets = max(1, math.ceil(2 * weight / BLOCK))
-    at = lambda c: homes.select(F.col("cid").alias(c), F.col("home").alias(f"{c}_home"))
+    at = lambda c: homes.select(F.col("unit").alias(c), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias(f"p{c}"), F.struct("lead", F.pmod(F.pmod("unit", F.col("blocks")) + F.col(f"p{c}"), F.col("blocks")).alias("block")).alias(f"{c}_home"))
     routed = save(
-        pairs.join(at("a"), "a").join(at("b"), "b").select("a", "b", F.pmod(F.xxhash64(F.least("a_home", "b_home"), F.greatest("a_home", "b_home")), F.lit(buckets)).alias("bucket"))
+        pairs.join(at("a"), "a")
+        .join(at("b"), "b")
+        .where("a <> b or pa <= pb")
+        .select("a", "b", "pa", "pb", F.pmod(F.xxhash64(F.least("a_home", "b_home"), F.greatest("a_home", "b_home")), F.lit(buckets)).alias("bucket"))
     )
-    needed = routed.select(F.col("bucket").alias("place"), F.explode(F.array("a", "b")).alias("cid")).distinct()
-    bits = _filter_bits(lead.select("cid"), n_wanted)
-    sets = docs.mapInArrow(_wanted_sets(bits), "cid bigint, s binary").join(lead.select("cid"), "cid", "left_semi")
-    fetched = needed.join(sets, "cid").join(classes.select("cid", "copies"), "cid")
+    needed = routed.select(F.col("bucket").alias("place"), F.explode(F.array(F.struct(F.col("a").alias("unit"), F.col("pa").alias("part")), F.struct(F.col("b").alias("unit"), F.col("pb").alias("part")))).alias("e")).select("place", "e.*").distinct()
+    wanted = units.join(lead.select("unit", "parts"), "unit").select("cid", "unit", F.pmod("cid", F.col("parts")).alias("part"), "copies")
+    bits = _filter_bits(wanted.select("cid"), n_wanted)
+    sets = docs.mapInArrow(_wanted_sets(bits), "cid bigint, s binary")
+    fetched = needed.join(wanted, ["unit", "part"]).join(sets, "cid")
     checked = save(
         routed.groupBy("bucket").cogroup(fetched.groupBy("place")).applyInArrow(_verify, "cid bigint, n_linked bigint, root bigint")
     )
     save.drop(pairs, lead, routed)
     label = components(checked.select(F.col("cid").alias("u"), F.col("root").alias("v")), save)
-    named = classes.join(label.withColumnRenamed("v", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    named = units.join(label.withColumnRenamed("v", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     roots = named.groupBy("label").agg(F.min("first").alias("component"))
     links = checked.groupBy("cid").agg(F.sum("n_linked").alias("n_linked"))
     found = named.join(roots, "label").join(links, "cid", "left").select("cid", "component", (F.col("copies") - 1 + F.coalesce("n_linked", F.lit(0))).alias("n_similar"))

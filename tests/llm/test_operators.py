@@ -258,6 +258,36 @@ def test_jaccard_small_sets(spark, none):
     assert jaccard_join.jaccard_join(none).count() == 0
 
 
+def test_jaccard_does_not_expand_a_family_in_every_list(spark, monkeypatch, tmp_path):
+    rng = random.Random(13)
+    base = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(240)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(rng.choice((1, 2, 2, 9))):
+            w[rng.randrange(len(w))] = f"own{i}x{rng.randrange(999)}"
+        rows.append((i, " ".join(w)))
+    rows += [(150, rows[3][1]), (151, " ".join(base[:200])), (152, prose(240, rng))]
+    pairs, said = jaccard_join._pairs, str(tmp_path / "rows")
+
+    def counting(x):
+        run = pairs(x)
+
+        def counted(batches):
+            for b in run(batches):
+                with open(said, "a") as f:
+                    f.write(f"{b.num_rows}\n")
+                yield b
+
+        return counted
+
+    monkeypatch.setattr(jaccard_join, "_pairs", counting)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 3000)  # the unit is cut into blocks, too
+    assert order(rows_of(jaccard_join.jaccard_join(frame(spark, rows)))) == order(brute_jaccard(rows))
+    with open(said) as f:
+        assert sum(int(line) for line in f) < 150 * 149 // 2 // 3  # the family's pairs, once: before, once a task
+
+
 def test_jaccard_keeps_one_of_each_group(spark, docs):
     want = {c for d, _, _, c in brute_jaccard(corpus()) if d == c and d is not None}
     kept = jaccard_join.keep_first(docs)
