@@ -10,6 +10,8 @@ s = n - ceil(t n) + 1 by its size n.
    document that holds the share t of an item misses at most n - ceil(t n) of its
    shingles, so it shares one of any s: no pair is lost at any length of the
    document, where banded signatures would lose short items in long documents.
+   While the sketches' shingles begin with few pairs of words (MAX_STARTS, none of
+   one word), only the document's runs that begin with such a pair are hashed.
 2. Verification: a candidate's whole sets are intersected, which gives the exact
    containment. Documents without candidates are not read for it.
 
@@ -29,6 +31,7 @@ they are, whatever they are called.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -40,17 +43,23 @@ SHINGLE = 5
 THRESHOLD = 0.5
 #: 24 bytes a row: 48 MB at most are broadcast.
 MAX_BROADCAST_ROWS = 2_000_000
+#: With many more, most runs would begin like some shingle, and hashing each of them costs less.
+MAX_STARTS = 100_000
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{N}]+"), "")
+
+
+def _hash(w: Column, at: Column, n: int) -> Column:
+    return F.xxhash64(F.lit(n), *[F.get(w, at + j) for j in range(n)])
 
 
 def _shingles(w: Column, n: int) -> Column:
     """Hashes of the runs of n words; empty where there are fewer."""
     return F.when(
         F.size(w) >= n,
-        F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(F.lit(n), *[F.get(w, i + j) for j in range(n)])),
+        F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: _hash(w, i, n)),
     ).otherwise(F.array().cast("array<bigint>"))
 
 
@@ -72,13 +81,38 @@ def item_sketches(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     ).withColumn("in_sketch", F.col("rank") <= F.col("n_shingles") - F.ceil(F.lit(threshold) * F.col("n_shingles")))
 
 
-def candidates(docs: DataFrame, sketches: DataFrame, rows: int, lengths: list[int]) -> DataFrame:
-    """Distinct (_key, item_id, size_class) of documents (_key, w) that share a hash with the sketch of an item."""
+def starts(items: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Distinct (pair, n): the hash of the first two words of each shingle in a sketch, and its length; one-word shingles have none."""
+    w = items.where("item_id is not null").select(words(F.col("text")).alias("w")).where(F.size("w") > 1).distinct()
+    n = F.least(F.size("w"), F.lit(SHINGLE))
+    runs = w.select("w", n.alias("n"), F.explode(F.sequence(F.lit(0), F.size("w") - n)).alias("pos"))
+    own = runs.select(_pair(), "n", _run(range(2, SHINGLE + 1)))
+    return own.join(sketches.where("in_sketch").select("sh"), "sh", "left_semi").select("pair", "n").distinct()
+
+
+def _pair() -> Column:
+    return F.xxhash64(F.get("w", F.col("pos")), F.get("w", F.col("pos") + 1)).alias("pair")
+
+
+def _run(lengths: Iterable[int]) -> Column:
+    """The hash of the n (a column) words from ``pos``."""
+    return F.coalesce(*[F.when(F.col("n") == k, _hash(F.col("w"), F.col("pos"), k)) for k in lengths]).alias("sh")
+
+
+def candidates(docs: DataFrame, sketches: DataFrame, rows: int, lengths: list[int], begin: DataFrame | None = None) -> DataFrame:
+    """Distinct (_key, item_id, size_class) of documents (_key, w) that share a hash with the sketch of an item; begin: their starts, where few."""
     side = sketches.where("in_sketch").select("item_id", "size_class", "sh")
     side = F.broadcast(side) if rows <= MAX_BROADCAST_ROWS else side
+    if begin is None:
+        hashes = docs.select("_key", F.explode(_document_shingles(lengths)).alias("sh"))
+    else:
+        # Exploding an array of it binds ``w``: filters on it would else be pushed down and split the text again.
+        bound = docs.select("_key", F.explode(F.array("w")).alias("w")).where(F.size("w") > 1)
+        places = bound.select("_key", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 2)).alias("pos"))
+        found = places.select("_key", "w", "pos", _pair()).join(F.broadcast(begin), "pair").where(F.col("pos") + F.col("n") <= F.size("w"))
+        hashes = found.select("_key", _run(lengths))
     return (
-        docs.select("_key", F.explode(_document_shingles(lengths)).alias("sh"))
-        .join(side, "sh")
+        hashes.join(side, "sh")
         # Combined map-side: what a document shares with a sketch twice goes before anything is shuffled.
         .groupBy("_key", "item_id", "size_class")
         .agg(F.lit(1).alias("one"))
@@ -96,7 +130,9 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     sketches = save(item_sketches(items, threshold))
     rows, lengths = sketches.count(), sorted(r["n"] for r in sketches.select(F.explode("ns").alias("n")).distinct().collect())  # at most SHINGLE rows
     texts = docs.select("doc_id", row_key("doc_id", "text").alias("_key"), "text")
-    found = save(candidates(texts.select("_key", words(F.col("text")).alias("w")), sketches, rows, lengths))
+    begin = save(starts(items, sketches)) if lengths and lengths[0] > 1 else None
+    begin = begin if begin is not None and begin.count() <= MAX_STARTS else None
+    found = save(candidates(texts.select("_key", words(F.col("text")).alias("w")), sketches, rows, lengths, begin))
     sets = sketches.groupBy("item_id").agg(F.first("n_shingles").alias("n_shingles"), F.collect_list("sh").alias("s"))
     sets = F.broadcast(sets) if rows <= MAX_BROADCAST_ROWS else sets
     # A document with several candidates is read and hashed once.

@@ -400,6 +400,22 @@ def test_decontamination_is_exact(spark, docs, none):
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0 and decontaminate.contaminated(none, bench).count() == 0
 
 
+def test_decontamination_hashes_only_runs_that_begin_like_an_item(spark, monkeypatch):
+    items = [(1, "a b"), (2, "a b c"), (3, "c d e f g h a b c d"), (4, "x a b y z w v"), (None, "q r s"), (5, "A, b! C? d e f")]
+    texts = ["", None, "a", "a b", "b a", "A-b", "c a b", "a b c", "c d e f g", "d e f g h a b c d", "x a b y", "x a b y z", "a b y z w v", "q r s", "a a b a b c d e f", "f g h a b c c d e f"]
+    bench, docs = spark.createDataFrame(items, "item_id bigint, text string"), spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    sketches = decontaminate.item_sketches(bench)
+    begin = decontaminate.starts(bench, sketches)
+    w = docs.select(F.col("doc_id").alias("_key"), decontaminate.words(F.col("text")).alias("w"))
+    every, found = (Counter(map(tuple, decontaminate.candidates(w, sketches, 10, [2, 3, 5], b).collect())) for b in (None, begin))
+    assert found == every and len(found) > 12
+    assert begin.count() <= sketches.where("in_sketch").count()
+    got = [Counter(map(tuple, decontaminate.contaminated(docs, bench).collect()))]
+    monkeypatch.setattr(decontaminate, "MAX_STARTS", 0)
+    got.append(Counter(map(tuple, decontaminate.contaminated(docs, bench).collect())))
+    assert got[0] == got[1] and {(3, 1), (6, 1), (7, 2), (9, 3), (12, 4)} <= {(r[0], r[2]) for r in got[0]}
+
+
 # 7
 
 
