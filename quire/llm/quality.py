@@ -15,7 +15,7 @@ Defined cases: a null text counts as empty and is scored as one; repeated rows
 get equal scores; several labels of a doc_id count as their largest; a null
 doc_id is not held out and not learned from; without labels every score is 0.5;
 an empty table gives an empty result; a very long text is pooled in runs of
-50,000 words, alone in its slice. ``classify`` reads doc_id and text alone;
+RUN words, alone in its slice. ``classify`` reads doc_id and text alone;
 ``score`` and ``keep_good`` return all columns as they are, whatever they are
 called.
 """
@@ -40,6 +40,8 @@ SHAPES, RELATIONS = 1024, 8
 HIDDEN, EPOCHS, BATCH = 32, 40, 256
 #: Tasks over the labelled rows; each sends a sum of BUCKETS x DIM numbers to the driver.
 TASKS = 12
+#: Words, and texts, whose vectors are in memory at once.
+RUN, TEXTS = 12_500, 256
 THRESHOLD, FOLDS = 0.3, 5
 
 
@@ -91,8 +93,8 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bucket, shape, _ = _tokens(w)
             for k in range(1, REACH + 1):
                 near = np.flatnonzero(w.doc[k:] == w.doc[:-k]) if len(bucket) > k else np.zeros(0, np.int64)
-                for lo in range(0, len(near), 50_000):
-                    i = near[lo : lo + 50_000]
+                for lo in range(0, len(near), RUN):
+                    i = near[lo : lo + RUN]
                     for one, other in ((i, i + k), (i + k, i)):
                         order = np.argsort(bucket[one], kind="stable")
                         own = bucket[one][order]
@@ -115,17 +117,24 @@ def features(column: pa.Array, vectors: np.ndarray) -> Iterator[tuple[int, int,
         bounds = w.bounds
         count = np.maximum(np.diff(bounds), 1)[:, None].astype(np.float32)
         mean, square = np.zeros((n, DIM), np.float32), np.zeros((n, DIM), np.float32)
-        for lo in range(0, len(bucket), 50_000):
-            hi = min(lo + 50_000, len(bucket))
+        for lo in range(0, len(bucket), RUN):
+            hi = min(lo + RUN, len(bucket))
             v, doc = vectors[bucket[lo:hi]], w.doc[lo:hi]
             at = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
             mean[doc[at]] += np.add.reduceat(v, at)
             square[doc[at]] += np.add.reduceat(v * v, at)
         mean /= count
         spread = np.sqrt(np.maximum(square / count - mean * mean, 0))
-        per = lambda x, k: np.bincount(w.doc * k + x, minlength=n * k).reshape(n, k).astype(np.float32) / count
-        shapes = per(shape, SHAPES) @ SHAPE_INDEX
-        relations = per(relation, RELATIONS) @ RELATION_INDEX
+
+        def pooled(x: np.ndarray, index: np.ndarray) -> np.ndarray:
+            k, parts = len(index), []
+            for lo in range(0, n, TEXTS):
+                hi = min(lo + TEXTS, n)
+                own = slice(bounds[lo], bounds[hi])
+                parts.append(np.bincount((w.doc[own] - lo) * k + x[own], minlength=(hi - lo) * k).reshape(hi - lo, k).astype(np.float32) / count[lo:hi] @ index)
+            return np.concatenate(parts)
+
+        shapes, relations = pooled(shape, SHAPE_INDEX), pooled(relation, RELATION_INDEX)
         length = np.log1p(np.diff(bounds))[:, None].astype(np.float32) / 10
         yield w.lo, w.hi, np.concatenate([mean, spread, shapes, relations, length], axis=1).astype(np.float32)
 

@@ -183,5 +183,8 @@ class Encoder:
 
 @cache
 def encoder(path: str, keeps_space: bool, end_id: int) -> Encoder:
-    """One encoder a worker process, so tasks that follow each other share its cache."""
+    """One encoder a worker process, so tasks that follow each other share its cache; it goes when the worker begins other work."""
     return Encoder(path, keeps_space, end_id)
+
+
+W.other_work.append(encoder.cache_clear)

@@ -10,13 +10,13 @@ about SLICE bytes, so memory follows the slice or the longest text, not the batc
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
-SLICE = 3 << 19
+SLICE = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _TABLE = np.random.default_rng(20240601).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -101,7 +101,13 @@ def trim() -> None:
         pass
 
 
+#: What drops the caches that a worker keeps for tasks of its own kind; called when it begins work of another.
+other_work: list[Callable[[], None]] = []
+
+
 def words(column: pa.Array, lower: bool = True, breaks: np.ndarray = _SPACE) -> Iterator[Words]:
+    for drop in other_work:
+        drop()
     data, offsets = raw(column)
     for lo, hi in slices(offsets):
         a, b = offsets[lo], offsets[hi]
@@ -123,6 +129,7 @@ def words(column: pa.Array, lower: bool = True, breaks: np.ndarray = _SPACE) ->
         np.cumsum((_LOWER if lower else _TABLE)[d] * up[:n], out=sums[1:], dtype=np.uint64)
         h = mix((sums[end] - sums[start]) * down[start])
         doc = np.searchsorted(o, start, side="right") - 1
+        del inside, edge, before, after, up, down, sums  # else they wait here while the words are used
         yield Words(lo, hi, d, o, h, doc, start, end)
     trim()
 

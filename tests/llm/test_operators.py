@@ -5,6 +5,7 @@ import math
 import os
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -454,6 +455,35 @@ def test_coder_finds_damage_in_its_block_only():
         token_coder.decode(b"x" * 40)
 
 
+def _peak(run):
+    """MB that numpy and Python hold at most while ``run`` goes."""
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_workers_memory_is_bounded():
+    """The memory of a Python worker follows neither the batch nor the number of short texts, and an encoder goes before other work."""
+    rng = random.Random(3)
+    long = pa.record_batch({"doc_id": pa.array(range(1200), pa.int64()), "text": pa.array([prose(400, rng) for _ in range(1200)])})
+    short = pa.record_batch({"doc_id": pa.array(range(10_000), pa.int64()), "text": pa.array([f"w{i} of {i % 7}" for i in range(10_000)])})
+    vectors = quality.WORD_INDEX
+    list(quality._contexts(iter([long.slice(0, 1)])))  # what a worker keeps
+    model = vectors, quality.Network(np.zeros(quality.WIDTH), np.ones(quality.WIDTH), np.zeros((quality.WIDTH, 2)), np.zeros(2), np.zeros(2), 0.0)
+    score = quality._scorer(model, 1)
+    assert _peak(lambda: list(quality._contexts(iter([long])))) < 45
+    assert _peak(lambda: list(score(iter([long])))) < 45
+    assert _peak(lambda: list(score(iter([short])))) < 45
+    path = tokens.tokenizer_path(tokens.WORD_BPE)
+    list(packing._cut(path, 4096)(iter([short])))
+    assert tokens.encoder.cache_info().currsize
+    list(quality._contexts(iter([short])))
+    assert not tokens.encoder.cache_info().currsize
+
+
 def test_token_files(spark, docs, none):
     from tokenizers import Tokenizer
 
