@@ -3,8 +3,13 @@
 import sys
 
 import numpy as np
+import pytest
 
-from quire.sources import raster
+from quire.plans.options import preset
+from quire.plans.tables import fragments
+from quire.sources import fonts, pdf, raster, render
+from quire.sources.objects import Limits
+from quire.sources.writer import document
 
 
 def calls(f, *args):
@@ -33,3 +38,27 @@ def test_painted_lines_are_not_sought_row_by_row():
     assert [r for r in found if r[1] == r[3]] == [(0, y + 1.0, 1068, y + 1.0) for y in range(1, 440, 36)]
     assert [r for r in found if r[0] == r[2]] == [(x + 1.0, 0, x + 1.0, 440) for x in (1, 267, 533, 799, 1065)]
     assert n < 2000
+
+
+def drawn(style):
+    return document(render._pages([[str(k), "F", f"{k}.25", "3-MEDIUM"] for k in range(12)], None, style, 12, 18.0))
+
+
+@pytest.mark.parametrize("style, name, most", [("ruled", "full", 20_000)])
+def test_a_page_is_read_in_few_calls(style, name, most):
+    fragments(drawn(style), preset(name))
+    found, n = calls(fragments, drawn(style), preset(name))
+    assert [c["text"] for c in found[0]["cells"]] == [x for k in range(12) for x in (str(k), "F", f"{k}.25", "3-MEDIUM")]
+    assert n < most, n
+
+
+def test_fonts_of_equal_bytes_are_read_once_and_others_apart():
+    one = drawn("ruled")
+    other = one.replace(b"/Widths [278", b"/Widths [279", 1)
+    width = lambda content: pdf.read("", content, Limits(), frozenset(("runs",)))["runs"][0]["x1"]
+    spaced = one.replace(b"278 278 355 556", b"278 278 355 999", 1).replace(b"556 556 556", b"999 999 999")
+    assert width(one) == width(other) == width(one) != width(spaced)
+    fonts._FONTS.clear()
+    read, before = calls(pdf.read, "", one, Limits(), frozenset(("runs",)))
+    again, after = calls(pdf.read, "", one, Limits(), frozenset(("runs",)))
+    assert again == read and after < before
