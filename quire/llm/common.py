@@ -10,6 +10,8 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.batches import small_batches as small_batches
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data folder."""
@@ -31,20 +33,6 @@ def row_key(*columns: str) -> Column:
     return F.xxhash64(*parts)
 
 
-#: Bytes of text that travel to a Python worker at once: both sides hold a batch, some as long as the worker lives.
-BATCH = 2 << 20
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Bounds Arrow batches by bytes, unless the session has another bound than Spark's own; rows are bounded by Spark.
-
-    The setting is the session's, as results are computed after an operator has returned.
-    """
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(name, "64m") in ("67108864b", "64MB", "64m"):
-        spark.conf.set(name, f"{BATCH}b")
-
-
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

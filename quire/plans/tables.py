@@ -18,6 +18,7 @@ from ..operators import layout
 from ..operators.router import PAGE_AREA, scrubbed
 from ..operators.tables import logical_tables, page_tables, stitch
 from ..sources import pdf
+from ..sources.batches import small_batches
 from ..sources.objects import Limits
 from ..sources.renderer import Renderer, rendered_rules, wants_render
 from .options import TableOptions, TextOptions
@@ -26,7 +27,7 @@ CELL = "struct<row:int,col:int,rowspan:int,colspan:int,x0:double,y0:double,x1:do
 TABLE = f"struct<table_id:string,page:int,ord:int,method:string,confidence:double,rows:int,cols:int,x0:double,y0:double,x1:double,y1:double,fill:double,edge_score:double,joints:int,logical:int,continues:boolean,continued:boolean,notes:array<string>,pages:array<int>,cells:array<{CELL}>>"
 SCHEMA = f"doc_id string, code string, message string, fragments array<{TABLE}>, logical_tables array<{TABLE}>"
 #: Cells of an output batch.
-CELLS = 20_000
+CELLS = 5_000
 
 
 def _named(found: list[dict], doc_id: str) -> list[dict]:
@@ -89,6 +90,7 @@ def detected(docs: DataFrame, options: TableOptions, limits: Limits = Limits(),
         none = F.array().cast(f"array<{TABLE}>")
         return own.select("doc_id", F.lit(None).cast("string").alias("code"), F.lit(None).cast("string").alias("message"), none.alias("fragments"), none.alias("logical_tables"))
     schema = to_arrow_schema(_parse_datatype_string(SCHEMA))
+    small_batches(docs.sparkSession)
     return own.mapInArrow(_kernel(options, limits, pages, schema, renderer), SCHEMA)
 
 

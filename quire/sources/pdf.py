@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .batches import small_batches
 from .content import interpret
 from .objects import Document, Limits, PdfError
 from .raster import image_rules, merged
@@ -101,6 +102,7 @@ def extract(docs: DataFrame, parts: tuple[str, ...] = PARTS, limits: Limits = Li
     from pyspark.sql.types import _parse_datatype_string
 
     schema = to_arrow_schema(_parse_datatype_string(SCHEMA))
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "content").mapInArrow(_kernel(limits, frozenset(parts), schema), SCHEMA)
 
 

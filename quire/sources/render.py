@@ -8,10 +8,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import BATCH, small_batches
 from .writer import Page, document, table, text_width
 
 #: Rows on a page, and their height; the header is repeated on each.
 PER_PAGE, PITCH = 12, 18.0
+#: Rows of a batch that are Python objects at once.
+ROWS = 64
 
 
 def _pages(rows: list[list[str]], header: list[str] | None, style: str, per_page: int, pitch: float) -> list[Page]:
@@ -30,18 +33,33 @@ def _pages(rows: list[list[str]], header: list[str] | None, style: str, per_page
     return pages
 
 
+def _made(df: DataFrame, draw: Callable[[dict], bytes]) -> DataFrame:
+    """doc_id, content of rows that are drawn."""
+    small_batches(df.sparkSession)
+    return df.mapInArrow(_kernel(draw), "doc_id string, content binary")
+
+
 def _kernel(draw: Callable[[dict], bytes]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [draw(r) for r in b.to_pylist()]
-            yield pa.record_batch({"doc_id": b.column("doc_id"), "content": pa.array(made, pa.binary())})
+            ids, made, size = [], [], 0
+            for lo in range(0, len(b), ROWS):
+                for r in b.slice(lo, ROWS).to_pylist():
+                    ids.append(r["doc_id"])
+                    made.append(draw(r))
+                    size += len(made[-1])
+                    if size >= BATCH:
+                        yield pa.record_batch({"doc_id": pa.array(ids, pa.string()), "content": pa.array(made, pa.binary())})
+                        ids, made, size = [], [], 0
+            if made:
+                yield pa.record_batch({"doc_id": pa.array(ids, pa.string()), "content": pa.array(made, pa.binary())})
 
     return run
 
 
 def grids(df: DataFrame, header: list[str] | None = None, style: str = "ruled", per_page: int = PER_PAGE, pitch: float = PITCH) -> DataFrame:
     """doc_id, content of (doc_id, rows array<array<string>>)."""
-    return df.select("doc_id", "rows").mapInArrow(_kernel(lambda r: document(_pages(r["rows"], header, style, per_page, pitch))), "doc_id string, content binary")
+    return _made(df.select("doc_id", "rows"), lambda r: document(_pages(r["rows"], header, style, per_page, pitch)))
 
 
 def prose(df: DataFrame) -> DataFrame:
@@ -56,7 +74,7 @@ def prose(df: DataFrame) -> DataFrame:
             pages.append(p)
         return document(pages)
 
-    return df.select("doc_id", "lines").mapInArrow(_kernel(draw), "doc_id string, content binary")
+    return _made(df.select("doc_id", "lines"), draw)
 
 
 def words(df: DataFrame) -> DataFrame:
@@ -74,7 +92,7 @@ def words(df: DataFrame) -> DataFrame:
             pages.append(p)
         return document(pages)
 
-    return df.select("doc_id", "lines").mapInArrow(_kernel(draw), "doc_id string, content binary")
+    return _made(df.select("doc_id", "lines"), draw)
 
 
 #: Lines of a page in two columns, and the fewest for which a second is begun.
@@ -94,12 +112,12 @@ def columns(df: DataFrame) -> DataFrame:
             pages.append(p)
         return document(pages)
 
-    return df.select("doc_id", "lines").mapInArrow(_kernel(draw), "doc_id string, content binary")
+    return _made(df.select("doc_id", "lines"), draw)
 
 
 def drawn(df: DataFrame, draw: Callable[[dict], bytes]) -> DataFrame:
     """doc_id, content of rows with a doc_id, each drawn by a function of its columns."""
-    return df.mapInArrow(_kernel(draw), "doc_id string, content binary")
+    return _made(df, draw)
 
 
 def objects(df: DataFrame) -> DataFrame:
@@ -112,7 +130,7 @@ def objects(df: DataFrame) -> DataFrame:
         p.images["Im0"] = (2, 2, bytes([0, 255, 255, 0]))
         return document([p], r["title"], r["names"], [(n, n.lower()) for n in r["names"]])
 
-    return df.select("doc_id", "title", "names").mapInArrow(_kernel(draw), "doc_id string, content binary")
+    return _made(df.select("doc_id", "title", "names"), draw)
 
 
 def collected(df: DataFrame, doc_id, order: list[str], columns: list) -> DataFrame:

@@ -3,11 +3,16 @@
 import sys
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from quire.plans import tables
 from quire.plans.options import preset
 from quire.plans.tables import fragments
 from quire.sources import fonts, pdf, raster, render
+from quire.sources.batches import BATCH
 from quire.sources.objects import Limits
 from quire.sources.writer import document
 
@@ -62,3 +67,17 @@ def test_fonts_of_equal_bytes_are_read_once_and_others_apart():
     read, before = calls(pdf.read, "", one, Limits(), frozenset(("runs",)))
     again, after = calls(pdf.read, "", one, Limits(), frozenset(("runs",)))
     assert again == read and after < before
+
+
+def test_drawn_documents_leave_a_worker_in_small_batches():
+    rows = pa.record_batch({"doc_id": [str(k) for k in range(300)], "n": list(range(300))})
+    out = list(render._kernel(lambda r: bytes([r["n"] % 256]) * 50_000)(iter([rows])))
+    assert max(b.nbytes for b in out) < BATCH + 60_000
+    assert [(i, c[0], len(c)) for b in out for i, c in zip(b["doc_id"].to_pylist(), b["content"].to_pylist())] == [(str(k), k % 256, 50_000) for k in range(300)]
+
+
+def test_found_tables_leave_a_worker_in_small_batches():
+    schema = to_arrow_schema(StructType([StructField("doc_id", StringType()), StructField("fragments", ArrayType(StructType([StructField("cells", ArrayType(StructType([StructField("text", StringType())])))])))]))
+    docs = pa.record_batch({"doc_id": [str(k) for k in range(300)], "content": [drawn("ruled")] * 300})
+    out = list(tables._kernel(preset("lattice_only"), Limits(), None, schema, None)(iter([docs])))
+    assert sum(len(b) for b in out) == 300 and max(len(b) for b in out) <= 110
