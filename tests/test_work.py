@@ -49,7 +49,7 @@ def drawn(style):
     return document(render._pages([[str(k), "F", f"{k}.25", "3-MEDIUM"] for k in range(12)], None, style, 12, 18.0))
 
 
-@pytest.mark.parametrize("style, name, most", [("ruled", "full", 20_000), ("columns", "lattice_only", 11_000), ("filled", "lattice_only", 13_000)])
+@pytest.mark.parametrize("style, name, most", [("ruled", "full", 20_000), ("columns", "lattice_only", 11_000), ("filled", "lattice_only", 13_000), ("ruled", "lattice_only", 13_000)])
 def test_a_page_is_read_in_few_calls(style, name, most):
     fragments(drawn(style), preset(name))
     found, n = calls(fragments, drawn(style), preset(name))
